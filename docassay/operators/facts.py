@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from docassay import lexicon as lx
 from docassay.functions import extract, text as tx
 from docassay.functions.patterns import WS, java
+from docassay.functions.rows import explode_rows
 
 META = T.StructType(
     [
@@ -158,22 +159,24 @@ def build_facts(docs: DataFrame) -> DataFrame:
 
 def lines_table(docs: DataFrame) -> DataFrame:
     """One row per line: ``(doc_id, pos, text, bullet, page)``."""
-    return docs.select(
-        "doc_id", F.posexplode(tx.split_lines(F.col("text"))).alias("pos", "line")
-    ).select(
-        "doc_id",
-        "pos",
-        F.col("line").alias("text"),
-        tx.is_bullet(F.col("line")).alias("bullet"),
-        F.lit(1).alias("page"),
+    numbered = F.transform(
+        tx.split_lines(F.col("text")), lambda x, i: F.struct(i.alias("pos"), x.alias("text"))
+    )
+    return explode_rows(docs, ["doc_id"], numbered).select(
+        "doc_id", "pos", "text", tx.is_bullet(F.col("text")).alias("bullet"), F.lit(1).alias("page")
     )
 
 
 def sections_table(facts: DataFrame) -> DataFrame:
     """One row per section: ``(doc_id, section_ord, key, heading, line_index, body)``."""
-    return facts.select(
-        "doc_id", F.posexplode("sections").alias("section_ord", "s")
-    ).select("doc_id", "section_ord", "s.key", "s.heading", "s.line_index", "s.body")
+    numbered = F.transform(
+        "sections",
+        lambda s, i: F.struct(
+            i.alias("section_ord"), s["key"].alias("key"), s["heading"].alias("heading"),
+            s["line_index"].alias("line_index"), s["body"].alias("body"),
+        ),
+    )
+    return explode_rows(facts, ["doc_id"], numbered)
 
 
 def facts_summary(facts: DataFrame) -> DataFrame:

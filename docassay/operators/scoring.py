@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docassay import lexicon as lx
 from docassay.functions.phrasing import percent
+from docassay.functions.rows import explode_rows
 
 
 def band_id(score: Column) -> Column:
@@ -63,6 +64,18 @@ def with_scores(graded: DataFrame) -> DataFrame:
     return df.withColumn("band_id", band_id(F.col("score")))
 
 
+def action_rows(scored: DataFrame, k: int = 5) -> DataFrame:
+    """Long form of :func:`top_actions`: ``(doc_id, rank, id, state, score, weight)``."""
+    ranked = F.transform(
+        top_actions(F.col("checks"), k),
+        lambda x, i: F.struct(
+            (i + 1).alias("rank"), x["id"].alias("id"), x["state"].alias("state"),
+            x["score"].alias("score"), x["weight"].alias("weight"),
+        ),
+    )
+    return explode_rows(scored, ["doc_id"], ranked)
+
+
 def count_states(checks: Column) -> dict[str, Column]:
     """Counts behind the all / to do / passing filter and the passing line."""
 
@@ -89,14 +102,14 @@ def view_checks(checks: Column, view: str) -> Column:
     raise ValueError(f"unknown view {view!r}")
 
 
-def check_results(scored: DataFrame) -> DataFrame:
+def check_results(scored: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Long form: one row per document and check."""
-    return scored.select("doc_id", F.explode("checks").alias("k")).select("doc_id", "k.*")
+    return explode_rows(scored, ["doc_id", *keep], "checks")
 
 
 def category_rows(scored: DataFrame) -> DataFrame:
     """Long form: one row per document and category."""
-    return scored.select("doc_id", F.explode("categories").alias("k")).select("doc_id", "k.*")
+    return explode_rows(scored, ["doc_id"], "categories")
 
 
 def category_scores(results: DataFrame) -> DataFrame:

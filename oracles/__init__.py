@@ -1,0 +1,16 @@
+"""SQL counterparts of the registered queries, for DuckDB."""
+
+from __future__ import annotations
+
+
+def all_oracles() -> dict[str, str]:
+    from oracles import core_sql
+
+    out = dict(core_sql.ORACLES)
+    for name in ("terms_sql", "layout_sql", "stream_sql"):
+        try:
+            module = __import__(f"oracles.{name}", fromlist=["ORACLES"])
+        except ModuleNotFoundError:
+            continue
+        out.update(module.ORACLES)
+    return out
