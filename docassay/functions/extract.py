@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docassay import lexicon as lx
 from docassay.functions.patterns import java
-from docassay.functions.text import js_trim
+from docassay.functions.text import js_trim, literals
 
 EMAIL = java(lx.EMAIL)
 PHONE = java(lx.PHONE)
@@ -77,7 +77,7 @@ def has_location(header: Column) -> Column:
 def typos(lower: Column) -> Column:
     """Distinct known misspellings in order of appearance."""
     tokens = F.array_distinct(F.regexp_extract_all(lower, F.lit("[a-z']{4,}"), F.lit(0)))
-    return F.array_intersect(tokens, F.array(*[F.lit(t) for t in lx.TYPOS]))
+    return F.array_intersect(tokens, literals(lx.TYPOS))
 
 
 def brand_slips(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docassay.functions.patterns import WS
-from docassay.functions.text import js_trim
+from docassay.functions.text import js_trim, lookup
 
 STATE_MARKS = {"pass": "[x]", "warn": "[!]", "fail": "[ ]", "info": "[-]"}
 STATE_WORDS = {"pass": "fine", "warn": "could be better", "fail": "to fix", "info": "not judged"}
@@ -55,16 +55,12 @@ def tone(pct: Column) -> Column:
     return F.when(pct >= 80, F.lit("good")).when(pct >= 50, F.lit("warn")).otherwise(F.lit("bad"))
 
 
-def _lookup(key: Column, table: dict[str, str]) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
-
-
 def state_mark(state: Column) -> Column:
-    return _lookup(state, STATE_MARKS)
+    return lookup(state, STATE_MARKS)
 
 
 def state_words(state: Column) -> Column:
-    return _lookup(state, STATE_WORDS)
+    return lookup(state, STATE_WORDS)
 
 
 def percent(part: Column, whole: Column) -> Column:

@@ -92,7 +92,7 @@ def tokenise(c: Column) -> Column:
 
 def find_phrases(lower: Column, phrases: list[str]) -> Column:
     """Entries of the list contained anywhere in the text, in list order."""
-    return F.filter(_literals(phrases), lambda p: F.contains(lower, p))
+    return F.filter(literals(phrases), lambda p: F.contains(lower, p))
 
 
 def between(array: Column, first: Column, last: Column, change=lambda x: x) -> Column:
@@ -142,23 +142,30 @@ def find_terms(lower: Column, terms: list[str]) -> Column:
     terms with blanks, dashes or slashes are located first and only then checked by regex.
     """
     multi = [t for t in terms if not is_single_run(t)]
-    hits = F.array_intersect(_literals([t for t in terms if is_single_run(t)]), runs(lower))
+    hits = F.array_intersect(literals([t for t in terms if is_single_run(t)]), runs(lower))
     if not multi:
         return hits
-    extra = F.filter(_literals(multi), lambda t: F.contains(lower, t))
+    extra = F.filter(literals(multi), lambda t: F.contains(lower, t))
     sure = F.filter(
         extra,
         lambda t: F.regexp_like(
             lower,
             F.concat(
                 F.lit("(^|[^a-z0-9+#.])"),
-                F.element_at(F.create_map(*[F.lit(x) for t in multi for x in (t, quote(t))]), t),
+                lookup(t, {t: quote(t) for t in multi}),
                 F.lit("($|[^a-z0-9+#])"),
             ),
         ),
     )
-    return F.array_intersect(_literals(terms), F.concat(hits, sure))
+    return F.array_intersect(literals(terms), F.concat(hits, sure))
 
 
-def _literals(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+def literals(values) -> Column:
+    """A constant array of strings, built in one call and folded by the optimizer."""
+    return F.split(F.lit("\x1f".join(values)), "\x1f")
+
+
+def lookup(key: Column, table: dict[str, str]) -> Column:
+    """Value of a small constant table."""
+    flat = "\x1f".join(f"{k}\x1e{v}" for k, v in table.items())
+    return F.element_at(F.str_to_map(F.lit(flat), F.lit("\x1f"), F.lit("\x1e")), key)

@@ -2,33 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docassay import lexicon as lx
 
-_NO_TEXTS = "array<string>"
+#: A text: fixed, or built from columns only when a report asks for texts.
+Text = str | Callable[[], Column]
 
 
-def _col(value) -> Column:
-    return value if isinstance(value, Column) else F.lit(value)
+def _column(value: Text | None) -> Column:
+    return value() if callable(value) else F.lit(value).cast("string")
+
+
+def _sql(value: int | str) -> str:
+    return str(value) if isinstance(value, int) else f"({value})"
 
 
 @dataclass(frozen=True)
 class Branch:
-    """One outcome. ``when=None`` is the last branch and always holds."""
+    """One outcome. ``when=None`` is the last branch and always holds.
+
+    ``score`` is a number or a SQL expression; ``evidence`` builds an array when it is needed.
+    """
 
     state: str
-    score: int | Column
-    summary: str | Column
-    fix: str | None = None
+    score: int | str
+    summary: Text
+    fix: Text | None = None
     when: Column | None = None
-    evidence: Column | None = None
+    evidence: Callable[[], Column] | None = None
 
 
 @dataclass(frozen=True)
@@ -36,7 +42,7 @@ class Rule:
     """A weighted check. It is left out where ``emitted`` is false; ``info`` weighs nothing."""
 
     id: str
-    label: str | Column
+    label: Text
     weight: int
     branches: tuple[Branch, ...]
     emitted: Column | None = None
@@ -57,24 +63,28 @@ class Rule:
                 pick = F.when(b.when, F.lit(i)).otherwise(pick)
         return pick if self.emitted is None else F.when(self.emitted, pick)
 
-    def choose(self, values: Iterable) -> Column:
-        """The value that belongs to the chosen branch."""
+    def _case(self, values: Iterable[str]) -> str:
+        whens = " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values, start=1))
+        return f"CASE {self.column} {whens} END"
+
+    def state(self) -> str:
+        return self._case(f"'{b.state}'" for b in self.branches)
+
+    def score(self) -> str:
+        return self._case(_sql(b.score) for b in self.branches)
+
+    def weighs(self) -> str:
+        return self._case("0" if b.state == "info" else str(self.weight) for b in self.branches)
+
+    def choose(self, values: Iterable[Column]) -> Column:
+        """The text that belongs to the chosen branch."""
         values = list(values)
         at = F.col(self.column)
-        out = F.when(at == 1, _col(values[0]))
+        out = F.when(at == 1, values[0])
         for i, v in enumerate(values[1:], start=2):
-            out = out.when(at == i, _col(v))
+            out = out.when(at == i, v)
         return out
 
-    def state(self) -> Column:
-        return self.choose(b.state for b in self.branches)
-
-    def score(self) -> Column:
-        return self.choose(b.score for b in self.branches)
-
-    def weighs(self) -> Column:
-        return self.choose(0 if b.state == "info" else self.weight for b in self.branches)
-
 
 @dataclass
 class RulePack:
@@ -99,45 +109,43 @@ class RulePack:
 
     def totals(self) -> Column:
         """``categories``: one ``(ord, id, score, weight, pct)`` per category with a rule."""
-        from docassay.functions.phrasing import percent
-
         entries = []
         for i, cat in enumerate(self.categories()):
             own = [r for r in self.rules if r.category == cat]
-            score = reduce(add, [F.coalesce(r.score(), F.lit(0)) for r in own])
-            weight = reduce(add, [F.coalesce(r.weighs(), F.lit(0)) for r in own])
-            some = F.coalesce(*[F.col(r.column) for r in own]).isNotNull()
+            score = " + ".join(f"coalesce({r.score()}, 0)" for r in own)
+            weight = " + ".join(f"coalesce({r.weighs()}, 0)" for r in own)
+            some = " OR ".join(f"{r.column} IS NOT NULL" for r in own)
             entries.append(
-                F.when(
-                    some,
-                    F.struct(
-                        F.lit(i).alias("ord"), F.lit(cat).alias("id"),
-                        score.alias("score"), weight.alias("weight"),
-                        percent(score, weight).alias("pct"),
-                    ),
-                )
+                f"CASE WHEN {some} THEN named_struct('ord', {i}, 'id', '{cat}', "
+                f"'score', {score}, 'weight', {weight}) END"
             )
-        return F.array_compact(F.array(*entries))
+        pct = "int(coalesce(floor(double(t.score) / nullif(double(t.weight), 0D) * 100D + 0.5D), 0))"
+        return F.expr(
+            f"transform(array_compact(array({', '.join(entries)})), t -> named_struct('ord', t.ord, "
+            f"'id', t.id, 'score', t.score, 'weight', t.weight, 'pct', {pct}))"
+        )
 
     def checks(self, texts: bool = True) -> Column:
         """``checks``: one struct per emitted rule, in pack order."""
+        base = [
+            f"named_struct('check_ord', {i}, 'id', '{r.id}', 'category', '{r.category}', "
+            f"'state', {r.state()}, 'score', {r.score()}, 'weight', {r.weighs()})"
+            for i, r in enumerate(self.rules)
+        ]
+        if not texts:
+            cases = [f"CASE WHEN {r.column} IS NOT NULL THEN {b} END" for r, b in zip(self.rules, base)]
+            return F.expr(f"array_compact(array({', '.join(cases)}))")
+        none = F.array().cast("array<string>")
         entries = []
-        for i, r in enumerate(self.rules):
-            fields = [
-                F.lit(i).alias("check_ord"), F.lit(r.id).alias("id"),
-                F.lit(r.category).alias("category"),
-                r.state().alias("state"), r.score().alias("score"), r.weighs().alias("weight"),
-            ]
-            if texts:
-                none = F.array().cast(_NO_TEXTS)
-                fields += [
-                    _col(r.label).alias("label"),
-                    r.choose(_col(b.summary) for b in r.branches).alias("summary"),
-                    r.choose(_col(b.fix).cast("string") for b in r.branches).alias("fix"),
-                    F.coalesce(
-                        r.choose(none if b.evidence is None else b.evidence for b in r.branches),
-                        none,
-                    ).alias("evidence"),
-                ]
-            entries.append(F.when(F.col(r.column).isNotNull(), F.struct(*fields)))
+        for rule, struct in zip(self.rules, base):
+            core = F.expr(struct)
+            evidence = [b.evidence() if b.evidence else none for b in rule.branches]
+            full = F.struct(
+                *[core[k].alias(k) for k in ("check_ord", "id", "category", "state", "score", "weight")],
+                _column(rule.label).alias("label"),
+                rule.choose(_column(b.summary) for b in rule.branches).alias("summary"),
+                rule.choose(_column(b.fix) for b in rule.branches).alias("fix"),
+                F.coalesce(rule.choose(evidence), none).alias("evidence"),
+            )
+            entries.append(F.when(F.col(rule.column).isNotNull(), full))
         return F.array_compact(F.array(*entries))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from docassay import lexicon as lx
 from docassay.functions.patterns import WS, java
-from docassay.functions.phrasing import excerpt, list_phrase, pluralise, thousands
+from docassay.functions import phrasing as ph
+from docassay.functions.text import lookup
 from docassay.operators.rulepack import Branch, Rule, RulePack
 
 c = F.col
@@ -16,12 +17,29 @@ def _n(array: str):
     return F.size(array)
 
 
-def _text(*parts):
-    return F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+def _now(part):
+    return part() if callable(part) else part
 
 
-def _num(col):
-    return col.cast("string")
+def _late(fn):
+    """Put a column function off until a report asks for texts."""
+
+    def build(*args):
+        return lambda: fn(*[_now(a) for a in args])
+
+    return build
+
+
+def _join(*parts):
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+_text = _late(_join)
+_num = _late(lambda x: F.expr(x).cast("string") if isinstance(x, str) else x.cast("string"))
+_either = _late(lambda test, yes, no: F.when(test, F.lit(yes) if isinstance(yes, str) else yes).otherwise(F.lit(no) if isinstance(no, str) else no))
+_head = _late(lambda name, k: F.slice(name, 1, k))
+_all = _late(F.col)
+excerpt, list_phrase, pluralise, thousands = map(_late, (ph.excerpt, ph.list_phrase, ph.pluralise, ph.thousands))
 
 
 def parse_rules() -> list[Rule]:
@@ -37,8 +55,8 @@ def parse_rules() -> list[Rule]:
             Branch("pass", 10, _text(thousands(density), " characters were read."), when=density >= 1200),
             Branch("warn", 5, _text("No more than ", thousands(density), " characters were read."),
                    "Look for content locked into pictures and describe the work in more detail.", when=density >= 400),
-            Branch("fail", 0, F.when(blank_pages > 0, _text(pluralise(blank_pages, "page"), " without any text."))
-                   .otherwise(F.lit("Hardly any text was found.")),
+            Branch("fail", 0, _either(blank_pages > 0, _text(pluralise(blank_pages, "page"), " without any text."),
+                                      "Hardly any text was found."),
                    "Pictures of text look empty to software. Export real text from the editor."),
         )),
         Rule("parse.order", "Order of reading", 6, (
@@ -56,8 +74,8 @@ def parse_rules() -> list[Rule]:
         )),
         Rule("parse.containers", "Boxes and tables", 4, (
             Branch("info", 0, "Plain text has no boxes to judge.", when=pasted),
-            Branch("fail", 0, F.when(boxes > 60, _text(_num(boxes), " characters are inside text boxes."))
-                   .otherwise(F.lit("Table cells carry the layout.")),
+            Branch("fail", 0, _either(boxes > 60, _text(_num(boxes), " characters are inside text boxes."),
+                                      "Table cells carry the layout."),
                    "Boxes are often skipped. Use normal paragraphs.", when=(boxes > 60) | columns),
             Branch("warn", 2, _text(pluralise(meta["tabular_rows"], "row"), " look like a table."),
                    "Cells can be joined in the wrong order. Plain paragraphs are safer.", when=meta["tabular_rows"] >= 6),
@@ -72,7 +90,7 @@ def parse_rules() -> list[Rule]:
         ), emitted=meta["contact_in_header_only"]),
         Rule("parse.format", "File type", 3, (
             Branch("info", 0, "Plain text has no file type to judge.", "Send a PDF unless Word is asked for.", when=pasted),
-            Branch("pass", 3, F.when(c("source_kind") == "pdf", F.lit("PDF: safe.")).otherwise(F.lit("Word file: reads well."))),
+            Branch("pass", 3, _either(c("source_kind") == "pdf", "PDF: safe.", "Word file: reads well.")),
         )),
         Rule("parse.shape", "Line structure", 3, (
             Branch("fail", 0, "Only a few lines are left.", "Line breaks went missing. Export again instead of copying."),
@@ -80,24 +98,28 @@ def parse_rules() -> list[Rule]:
     ]
 
 
+LINK_NAMES = {
+    "linkedin": "LinkedIn", "code": "a code host", "portfolio": "an own site", "writing": "published work",
+}
+GROUP_NAMES = {
+    "languages": "languages", "frontend": "frontend", "backend": "backend", "data": "data",
+    "infra": "infrastructure", "tools": "tools",
+}
+
+
 def contact_rules() -> list[Rule]:
     email, phone = _n("s_emails") > 0, _n("s_phones") > 0
     first_email = F.get("s_emails", F.lit(0))
     links = c("s_links")
     on_linkedin = F.array_contains(links, "linkedin")
     on_code = F.array_contains(links, "code") | F.array_contains(links, "portfolio")
-    names = F.transform(links, lambda k: F.element_at(F.create_map(*[F.lit(x) for kv in {
-        "linkedin": "LinkedIn", "code": "a code host", "portfolio": "an own site", "writing": "published work",
-    }.items() for x in kv]), k))
-    odd_local = F.exists(
-        F.array(*[F.lit(w) for w in lx.EMAIL_NICKNAMES]), lambda w: F.contains(c("s_email_local"), w)
-    ) | (F.length(F.regexp_extract("s_email_local", "[0-9]{4,}", 0)) >= 5)
+    names = _late(lambda kinds: F.transform(kinds, lambda k: lookup(k, LINK_NAMES)))(links)
     return [
         Rule("contact.reachable", "Email and phone", 8, (
             Branch("pass", 8, "Email and phone are given.", when=email & phone,
-                   evidence=F.array(first_email, F.btrim(F.get("s_phones", F.lit(0))))),
-            Branch("warn", 4, F.when(email, F.lit("There is an email address but no phone number."))
-                   .otherwise(F.lit("There is a phone number but no email address.")),
+                   evidence=lambda: F.array(first_email, F.btrim(F.get("s_phones", F.lit(0))))),
+            Branch("warn", 4, _either(email, "There is an email address but no phone number.",
+                                      "There is a phone number but no email address."),
                    "Give both right under the name.", when=email | phone),
             Branch("fail", 0, "Neither email nor phone was found.", "Without either nobody can answer. Put both into the first lines."),
         )),
@@ -107,8 +129,8 @@ def contact_rules() -> list[Rule]:
         ), emitted=email | phone),
         Rule("contact.email-tone", "Serious address", 3, (
             Branch("warn", 1, _text("\"", excerpt(first_email, 44), "\" looks like a private nickname."),
-                   "Use an address made of first and last name.", when=odd_local),
-            Branch("pass", 3, "The address is built on a name.", evidence=F.array(first_email)),
+                   "Use an address made of first and last name.", when=c("s_odd_local")),
+            Branch("pass", 3, "The address is built on a name.", evidence=lambda: F.array(first_email)),
         ), emitted=email),
         Rule("contact.links", "Links to work", 7, (
             Branch("pass", 7, _text("Linked: ", list_phrase(names), "."), when=on_linkedin & on_code, evidence=names),
@@ -120,7 +142,7 @@ def contact_rules() -> list[Rule]:
         )),
         Rule("contact.url-form", "Full addresses", 2, (
             Branch("pass", 2, "Links are complete.", when=c("s_full_url") | (F.size("hyperlinks") > 0)),
-            Branch("warn", 1, F.when(c("s_bare_domain"), F.lit("Links lack https://.")).otherwise(F.lit("Links cannot be clicked.")),
+            Branch("warn", 1, _either(c("s_bare_domain"), "Links lack https://.", "Links cannot be clicked."),
                    "Write the address in full, with https://."),
         ), emitted=F.size(links) > 0),
         Rule("contact.location", "Place", 2, (
@@ -134,16 +156,15 @@ def structure_rules() -> list[Rule]:
     keys = c("section_keys")
     education, skills = F.array_contains(keys, "education"), F.array_contains(keys, "skills")
     evidence = c("s_has_evidence")
-    missing = F.array_compact(F.array(
+    missing = lambda: F.array_compact(F.array(
         F.when(~education, F.lit("Education")), F.when(~skills, F.lit("Skills")),
         F.when(~evidence, F.lit("Projects or Experience")),
     ))
-    points = (
-        F.when(education, 3).otherwise(0) + F.when(skills, 3).otherwise(0) + F.when(evidence, 4).otherwise(0)
-    )
+    points = "s_points"
     expected = [k for k, _, wanted, _ in lx.SECTION_HEADINGS if wanted]
-    headings = F.transform(F.filter("sections", lambda s: s["key"].isin(*expected)), lambda s: s["heading"])
-    n_missing = F.size(missing)
+    headings = lambda: F.transform(
+        F.filter("sections", lambda s: s["key"].isin(*expected)), lambda s: s["heading"]
+    )
     use_plain = "Name the sections Education, Skills, Projects and Experience so that software can file them."
     detail = c("s_detail")
     early = F.get("s_keys", c("s_first_private") - 1)
@@ -154,8 +175,9 @@ def structure_rules() -> list[Rule]:
     )
     return [
         Rule("structure.sections", "Usual headings", 10, (
-            Branch("pass", points, "Education, Skills and Projects or Experience have headings.", when=n_missing == 0, evidence=headings),
-            Branch("warn", points, _text("Not found: ", list_phrase(missing), "."), use_plain, when=n_missing == 1),
+            Branch("pass", points, "Education, Skills and Projects or Experience have headings.", when=education & skills & evidence, evidence=headings),
+            Branch("warn", points, _text("Not found: ", list_phrase(missing), "."), use_plain,
+                   when=c("s_points") >= 6),
             Branch("fail", points, _text("Not found: ", list_phrase(missing), "."), use_plain),
         )),
         Rule("structure.depth", "Detail per entry", 5, (
@@ -166,7 +188,7 @@ def structure_rules() -> list[Rule]:
         ), emitted=evidence),
         Rule("structure.dates", "Dated entries", 4, (
             Branch("pass", 4, _text(pluralise(_n("s_ranges"), "dated entry", "dated entries"), "."),
-                   when=_n("s_ranges") >= 2, evidence=F.slice("s_ranges", 1, 3)),
+                   when=_n("s_ranges") >= 2, evidence=_head("s_ranges", 3)),
             Branch("warn", 2, "Dates are given in part.", "Date every entry in one format.",
                    when=(_n("s_ranges") == 1) | (c("s_years") >= 2)),
             Branch("fail", 0, "No date ranges.", "Add month and year to every entry."),
@@ -177,7 +199,7 @@ def structure_rules() -> list[Rule]:
             Branch("pass", 3, "The strongest sections lead."),
         ), emitted=_n("sections") >= 3),
         Rule("structure.name", "Name on line one", 3, (
-            Branch("pass", 3, _text("Read as \"", first, "\"."), when=name_like, evidence=F.array(first)),
+            Branch("pass", 3, _text("Read as \"", first, "\"."), when=name_like, evidence=lambda: F.array(first)),
             Branch("warn", 1, "Line one does not look like a name.", "Begin with the name alone."),
         )),
     ]
@@ -188,14 +210,15 @@ def impact_rules() -> list[Rule]:
     strong = _n("s_strong")
     share = strong.cast("double") / F.nullif(n.cast("double"), F.lit(0.0))
     opened = _text(_num(strong), " of ", _num(n), " items open with a verb.")
-    some = lambda col, k: F.transform(F.slice(col, 1, k), lambda b: excerpt(b, 70))
+    some = _late(lambda col, k: F.transform(F.slice(col, 1, k), lambda b: ph.excerpt(b, 70)))
     metrics = _n("s_metrics")
-    trimmed_metrics = lambda k: F.transform(F.slice("s_metrics", 1, k), lambda m: F.btrim(m))
+    trimmed_metrics = _late(lambda k: F.transform(F.slice("s_metrics", 1, k), lambda m: F.btrim(m)))
     said_i = c("s_pronouns")
     filler = _n("s_filler")
-    total = F.aggregate("s_bullet_words", F.lit(0), lambda a, x: a + x)
-    average = F.floor(total / F.nullif(n, F.lit(0)) + F.lit(0.5)).cast("string")
-    word_counts = c("s_openers")
+    average = lambda: F.expr(
+        "string(floor(aggregate(s_bullet_words, 0, (a, x) -> a + x) / nullif(size(bullets), 0) + 0.5))"
+    )
+    opener = lambda: F.get("s_openers", F.lit(0))
     return [
         Rule("impact.verbs", "Items open with a verb", 9, (
             Branch("fail", 0, "There are no list items.", "Turn prose into items that start with what was done.", when=n == 0),
@@ -217,14 +240,14 @@ def impact_rules() -> list[Rule]:
         Rule("impact.filler", "No stock phrases", 5, (
             Branch("pass", 5, "No stock phrases.", when=filler == 0),
             Branch("warn", 3, _text("Stock phrases: ", list_phrase(c("s_filler")), "."), "Show it instead of saying it.",
-                   when=filler <= 2, evidence=c("s_filler")),
+                   when=filler <= 2, evidence=_all("s_filler")),
             Branch("fail", 0, _text(pluralise(filler, "stock phrase"), " such as ", list_phrase(c("s_filler"), 2), "."),
-                   "Remove them and use the room for results.", evidence=F.slice("s_filler", 1, 6)),
+                   "Remove them and use the room for results.", evidence=_head("s_filler", 6)),
         )),
         Rule("impact.objective", "A summary worth reading", 4, (
             Branch("pass", 4, "The summary is not a template.", when=_n("s_weak_openers") == 0),
             Branch("fail", 0, _text("Template wording: \"", excerpt(F.get("s_weak_openers", F.lit(0)), 52), "\"."),
-                   "Drop the wish and state in two lines what has been done.", evidence=c("s_weak_openers")),
+                   "Drop the wish and state in two lines what has been done.", evidence=_all("s_weak_openers")),
         ), emitted=F.array_contains("section_keys", "summary") | (_n("s_weak_openers") > 0)),
         Rule("impact.bullet-length", "Length of items", 3, (
             Branch("pass", 3, _text("About ", average, " words per item."), when=(c("s_long") == 0) & (c("s_short") <= 1)),
@@ -232,21 +255,17 @@ def impact_rules() -> list[Rule]:
             Branch("warn", 1, _text(pluralise(c("s_short"), "item"), " with a few words only."), "Say what was made and what came of it."),
         ), emitted=n >= 3),
         Rule("impact.variety", "Varied openings", 2, (
-            Branch("pass", 2, "Openings vary.", when=F.size(word_counts) == 0),
-            Branch("warn", 1, _text("\"", F.get(word_counts, F.lit(0))["word"], "\" opens ",
-                                    _num(F.get(word_counts, F.lit(0))["n"]), " items."),
+            Branch("pass", 2, "Openings vary.", when=_n("s_openers") == 0),
+            Branch("warn", 1, lambda: _join("\"", opener()["word"], "\" opens ", opener()["n"].cast("string"), " items."),
                    "Use different verbs.",
-                   evidence=F.transform(word_counts, lambda o: _text(o["word"], " ×", _num(o["n"])))),
+                   evidence=lambda: F.transform("s_openers", lambda o: _join(o["word"], " ×", o["n"].cast("string")))),
         ), emitted=n >= 4),
     ]
 
 
 def skills_rules() -> list[Rule]:
     n = _n("s_terms")
-    groups = F.transform("s_groups", lambda g: F.element_at(F.create_map(*[F.lit(x) for kv in {
-        "languages": "languages", "frontend": "frontend", "backend": "backend", "data": "data",
-        "infra": "infrastructure", "tools": "tools",
-    }.items() for x in kv]), g))
+    groups = lambda: F.transform("s_groups", lambda g: lookup(g, GROUP_NAMES))
     soft = _n("s_soft")
     ratio = F.when(n > 0, soft.cast("double") / F.nullif(n.cast("double"), F.lit(0.0))).otherwise(soft.cast("double"))
     listed, shown = _n("s_listed"), _n("s_shown")
@@ -254,10 +273,10 @@ def skills_rules() -> list[Rule]:
     known = pluralise(n, "known skill")
     return [
         Rule("skills.named", "Concrete skills", 8, (
-            Branch("pass", 8, _text(known, "."), when=n >= 8, evidence=F.slice("s_terms", 1, 8)),
+            Branch("pass", 8, _text(known, "."), when=n >= 8, evidence=_head("s_terms", 8)),
             Branch("warn", 5, _text(known, ": ", list_phrase(c("s_terms"), 4), "."), "Name every tool that was really used.",
-                   when=n >= 4, evidence=c("s_terms")),
-            Branch("fail", 0, F.when(n == 0, F.lit("No known skills.")).otherwise(_text("Just ", list_phrase(c("s_terms")), ".")),
+                   when=n >= 4, evidence=_all("s_terms")),
+            Branch("fail", 0, _either(n == 0, "No known skills.", _text("Just ", list_phrase(c("s_terms")), ".")),
                    "Name the exact tools people search for."),
         )),
         Rule("skills.breadth", "Range of skills", 3, (
@@ -267,16 +286,16 @@ def skills_rules() -> list[Rule]:
         Rule("skills.fluff", "No padding", 3, (
             Branch("pass", 3, "Only concrete skills.", when=soft == 0),
             Branch("warn", 2, _text("Padding: ", list_phrase(c("s_soft")), "."), "Nobody searches for these. Take them out.",
-                   when=ratio <= 0.35, evidence=c("s_soft")),
+                   when=ratio <= 0.35, evidence=_all("s_soft")),
             Branch("fail", 0, _text(pluralise(soft, "soft entry", "soft entries"), " next to ", _num(n), " concrete ones."),
-                   "Keep only what can be tested.", evidence=F.slice("s_soft", 1, 6)),
+                   "Keep only what can be tested.", evidence=_head("s_soft", 6)),
         ), emitted=(soft > 0) | (n > 0)),
         Rule("skills.evidence", "Skills in use", 4, (
             Branch("pass", 4, _text(_num(shown), " of ", _num(listed), " listed skills are used in the work described."), when=cover >= 0.4),
             Branch("warn", 2, _text("Just ", _num(shown), " of ", _num(listed), " listed skills are used in the work described."),
-                   "Mention each tool where it was used.", when=cover >= 0.2, evidence=F.slice("s_unbacked", 1, 6)),
+                   "Mention each tool where it was used.", when=cover >= 0.2, evidence=_head("s_unbacked", 6)),
             Branch("fail", 0, "Listed skills and described work do not meet.", "Mention each tool where it was used.",
-                   evidence=F.slice("s_unbacked", 1, 6)),
+                   evidence=_head("s_unbacked", 6)),
         ), emitted=(n >= 3) & c("s_skills_section").isNotNull() & (F.length("s_evidence_text") > 80)),
     ]
 
@@ -289,19 +308,17 @@ def hygiene_rules() -> list[Rule]:
         ~base.rlike(java(lx.SLOPPY_FILE, True)) & base.rlike(java(lx.NAMED_FILE, True)) & (F.length(base) >= 6)
     )
     wrong = c("s_spelling")
-    notes = F.concat(
-        F.transform("s_typos", lambda t: _text(t, " → ", F.element_at(
-            F.create_map(*[F.lit(x) for kv in lx.TYPOS.items() for x in kv]), t))),
-        c("s_slips"),
+    notes = lambda: F.concat(
+        F.transform("s_typos", lambda t: _join(t, " → ", lookup(t, lx.TYPOS))), c("s_slips")
     )
     mistakes = _text(pluralise(wrong, "probable mistake"), ".")
     return [
         Rule("hygiene.personal", "No private details", 6, (
             Branch("pass", 6, "No private details.", when=personal == 0),
             Branch("warn", 3, _text("Private details: ", list_phrase(c("s_personal")), "."), "Take them out; nobody may ask for them.",
-                   when=personal <= 2, evidence=c("s_personal")),
+                   when=personal <= 2, evidence=_all("s_personal")),
             Branch("fail", 0, _text(pluralise(personal, "private detail"), " such as ", list_phrase(c("s_personal"), 3), "."),
-                   "Take the whole block out and use the room for work.", evidence=F.slice("s_personal", 1, 8)),
+                   "Take the whole block out and use the room for work.", evidence=_head("s_personal", 8)),
         )),
         Rule("hygiene.length", _text("Size: ", _num(words), " words"), 5, (
             Branch("pass", 5, "A page or so.", when=words.between(300, 700)),
@@ -322,7 +339,7 @@ def hygiene_rules() -> list[Rule]:
         Rule("hygiene.spelling", "Spelling", 4, (
             Branch("pass", 4, "No known misspellings.", when=wrong == 0),
             Branch("warn", 2, mistakes, "Correct these and read it once more.", when=wrong <= 2, evidence=notes),
-            Branch("fail", 0, mistakes, "Use a spell checker and a second reader.", evidence=F.slice(notes, 1, 8)),
+            Branch("fail", 0, mistakes, "Use a spell checker and a second reader.", evidence=lambda: F.slice(notes(), 1, 8)),
         )),
         Rule("hygiene.caps", "Normal case", 2, (
             Branch("warn", 1, "One long line is in capitals.", "Keep capitals for short headings.", when=c("s_shouting") <= 1),

@@ -13,10 +13,6 @@ c = F.col
 EVIDENCE_KEYS = ("projects", "experience")
 
 
-def _lits(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
 def _first_pos(keys: Column, wanted: tuple[str, ...]) -> Column:
     """Smallest 1-based position of any wanted key, null when there is none."""
     return F.array_min(
@@ -106,27 +102,32 @@ def add_signals(facts: DataFrame, lists: dict | None = None) -> DataFrame:
             ),
         }
     )
+    df = df.withColumn("s_email_local", F.lower(F.split(F.get("s_emails", F.lit(0)), "@")[0]))
     df = df.withColumns(
         {
-            "s_email_local": F.lower(F.split(F.get("s_emails", F.lit(0)), "@")[0]),
             "s_groups": F.array_compact(
                 F.array(
                     *[
-                        F.when(F.arrays_overlap("s_terms", _lits(group)), F.lit(name))
+                        F.when(F.arrays_overlap("s_terms", tx.literals(group)), F.lit(name))
                         for name, group in use["skills"].items()
                     ]
                 )
             ),
-            "s_strong": F.filter(
-                "bullets", lambda b, i: F.get("s_first_words", i).isin(list(use["verbs"]))
+            "s_verbs": F.array_intersect("s_first_words", tx.literals(use["verbs"])),
+            "s_points": F.expr(
+                "if(array_contains(section_keys, 'education'), 3, 0)"
+                " + if(array_contains(section_keys, 'skills'), 3, 0)"
+                " + if(arrays_overlap(section_keys, array('projects', 'experience')), 4, 0)"
             ),
+            "s_odd_local": F.expr("length(regexp_extract(s_email_local, '[0-9]{4,}', 0)) >= 5")
+            | F.exists(tx.literals(use["nicknames"]), lambda w: F.contains(c("s_email_local"), w)),
             "s_opener_list": sorted_openers(c("s_first_words")),
             "s_detail": F.size(
                 F.filter("s_evidence_body", lambda x: x.rlike(java(lx.DETAIL_BULLET)))
             ),
             "s_first_evidence": _first_pos(c("s_keys"), EVIDENCE_KEYS),
             "s_first_private": _first_pos(c("s_keys"), ("personal", "declaration")),
-            "s_has_evidence": F.arrays_overlap(c("section_keys"), _lits(EVIDENCE_KEYS)),
+            "s_has_evidence": F.arrays_overlap(c("section_keys"), tx.literals(EVIDENCE_KEYS)),
             "s_long": F.size(F.filter("s_bullet_words", lambda n: n > 34)),
             "s_short": F.size(F.filter("s_bullet_words", lambda n: n < 6)),
             "s_spelling": F.size("s_typos") + F.size("s_slips"),
@@ -137,6 +138,9 @@ def add_signals(facts: DataFrame, lists: dict | None = None) -> DataFrame:
     df = df.withColumns(
         {
             "s_opener_groups": opener_groups(c("s_opener_list")),
+            "s_strong": F.filter(
+                "bullets", lambda b, i: F.array_contains("s_verbs", F.get("s_first_words", i))
+            ),
         }
     )
     # Listed skills are those of the document that stand in the skills section; the rest of the
