@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docassay.functions import text as tx
+from docassay.functions.rows import pin
 
 HEADINGS = [
     "SKILLS", "PROJECTS", "Experience", "EDUCATION", "Summary", "CERTIFICATIONS",
@@ -77,7 +78,7 @@ def structured_documents(prose: DataFrame, keep: tuple[str, ...] = ()) -> DataFr
     d = F.col("doc_id")
     staged = prose.select("doc_id", *keep, tx.words(F.col("text")).alias("words"))
     staged = staged.select("doc_id", *keep, structured_text(d, F.col("words")).alias("raw"))
-    staged = staged.select("doc_id", *keep, tx.normalise_text(F.col("raw")).alias("text"))
+    staged = pin(staged, "text", tx.normalise_text(F.col("raw"))).drop("raw")
     return staged.withColumns(
         {
             "source_kind": pick(KINDS, d % 3),

@@ -26,3 +26,9 @@ def keep_where(df: DataFrame, condition: Column) -> DataFrame:
     """A filter that stays above the columns it reads."""
     kept = df.select("*", F.explode_outer(F.array(condition)).alias("_keep"))
     return kept.filter("_keep").drop("_keep")
+
+
+def pin(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column once: later filters on it are not moved below its computation."""
+    rest = [k for k in df.columns if k != name]
+    return df.select(*rest, F.explode_outer(F.array(value)).alias(name))

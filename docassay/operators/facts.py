@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from docassay import lexicon as lx
 from docassay.functions import extract, text as tx
 from docassay.functions.patterns import WS, java
-from docassay.functions.rows import explode_rows
+from docassay.functions.rows import explode_rows, pin
 
 META = T.StructType(
     [
@@ -56,7 +56,7 @@ def text_documents(df: DataFrame) -> DataFrame:
 
     Adds whatever is missing of ``source_kind, file_name, page_count, meta, hyperlinks``.
     """
-    df = df.withColumn("text", tx.normalise_text(F.col("text")))
+    df = pin(df, "text", tx.normalise_text(F.col("text")))
     have = set(df.columns)
     add = {}
     if "source_kind" not in have:

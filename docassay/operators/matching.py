@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from docassay.functions import text as tx
 from docassay.functions.phrasing import percent
-from docassay.functions.rows import explode_values
+from docassay.functions.rows import explode_values, keep_where
 
 #: Vocabularies up to this many terms are sent to every executor (about 60 bytes each).
 BROADCAST_TERMS = 500_000
@@ -74,7 +74,8 @@ def _verified(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     pattern = F.concat(F.lit("(^|[^a-z0-9+#.])"), escaped, F.lit("($|[^a-z0-9+#])"))
     texts = docs.select("doc_id", F.lower("text").alias("lower"))
     both = candidates.join(texts, "doc_id")
-    return both.filter(F.contains("lower", "term") & F.regexp_like("lower", pattern)).select("doc_id", "term")
+    proof = F.contains("lower", "term") & F.regexp_like("lower", pattern)
+    return keep_where(both, proof).select("doc_id", "term")
 
 
 def _odd_terms(docs: DataFrame, vocab: DataFrame, small: bool) -> DataFrame:

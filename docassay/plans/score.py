@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docassay.functions.rows import pin
 from docassay.operators import scoring
 from docassay.operators.facts import build_facts
 from docassay.operators.rulepack import RulePack
@@ -40,10 +41,10 @@ def score_documents(
         "doc_id", *keep, "source_kind", "file_name",
         "word_count", "char_count", F.size("bullets").alias("bullet_count"), "page_count",
         F.size("sections").alias("section_count"),
-        pack.totals().alias("categories"),
         pack.checks(texts).alias("checks"),
+        pack.totals().alias("categories"),
     )
-    return scoring.with_scores(graded)
+    return scoring.with_scores(pin(graded, "categories", F.col("categories")))
 
 
 def reports(docs: DataFrame, pack: RulePack | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
