@@ -245,3 +245,13 @@ def self_link(kind: str) -> str:
 DOCS = "WITH " + _structured()
 FACTS = DOCS + "," + _facts()
 SIGNALS = FACTS + "," + _signals()
+
+
+def plain_docs(source: str) -> str:
+    """Document CTEs for ``(doc_id, text)`` rows without any layout."""
+    return f"""WITH cleaned AS (SELECT doc_id, {normalise('text')} AS text FROM ({source})),
+docs AS (SELECT doc_id, text, 'text' AS source_kind, NULL::VARCHAR AS file_name,
+  greatest(1, ceil(len(list_filter(string_split(text, chr(10)), lambda ln: {trim('ln')} <> '')) / 46.0))::INT AS page_count,
+  {urls('text')} AS hyperlinks, {char_count('text')} AS text_density, 0 AS blank_pages, false AS multi_column,
+  0.0 AS right_column_ratio, false AS broken_glyphs, 0 AS tabular_rows, 0 AS text_box_chars, 0 AS image_count,
+  false AS contact_in_header_only FROM cleaned)"""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from docassay import lexicon as lx
-from oracles.facts_sql import SIGNALS, excerpt, lit, lits, rx
+from oracles.facts_sql import DOCS, SIGNALS, excerpt, lit, lits, rx
 
 TEXT = "source_kind = 'text'"
 _BASE = r"regexp_replace(file_name, '[.][^.]+$', '')"
@@ -126,8 +126,8 @@ def rule_sql(rule_id: str) -> str:
     )
 
 
-def checks_cte() -> str:
-    """SIGNALS plus ``checks``: one row per document and emitted rule."""
+def checks_cte(signals: str = SIGNALS) -> str:
+    """Signals plus ``checks``: one row per document and emitted rule."""
     entries = []
     for i, (rule_id, (weight, emitted, branches)) in enumerate(RULES.items()):
         entries.append(
@@ -135,7 +135,7 @@ def checks_cte() -> str:
             f"'state': {_pick(branches, 1, quoted=True)}, 'score': ({_pick(branches, 2)})::INT, 'weight': ({_weight(weight, branches)})::INT}} END"
         )
     return (
-        f"{SIGNALS}, per_doc AS (SELECT doc_id, source_kind, unnest([{', '.join(entries)}]) AS k FROM signals), "
+        f"{signals}, per_doc AS (SELECT doc_id, source_kind, unnest([{', '.join(entries)}]) AS k FROM signals), "
         "checks AS (SELECT doc_id, source_kind, k.check_ord, k.id, k.category, k.state, k.score, k.weight FROM per_doc WHERE k IS NOT NULL), "
         "totals AS (SELECT doc_id, sum(score)::INT AS total_score, sum(weight)::INT AS total_weight FROM checks GROUP BY doc_id), "
         "scored AS (SELECT *, coalesce(floor(total_score::DOUBLE / nullif(total_weight::DOUBLE, 0) * 100 + 0.5), 0)::INT AS score FROM totals)"
@@ -144,3 +144,8 @@ def checks_cte() -> str:
 
 BAND = "CASE WHEN score >= 85 THEN 'ready' WHEN score >= 70 THEN 'close' WHEN score >= 50 THEN 'weak' ELSE 'rework' END"
 CHECKS = checks_cte()
+
+
+def checks_for(docs: str) -> str:
+    """The same for other document CTEs."""
+    return checks_cte(docs + SIGNALS[len(DOCS):])
