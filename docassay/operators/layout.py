@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from docassay import lexicon as lx
 from docassay.functions import text as tx
 from docassay.functions.patterns import WS, java
+from docassay.functions.rows import pin
 
 BASELINE_TOLERANCE = 2.6
 COLUMN_GAP = 0.14
@@ -159,50 +160,52 @@ def broken_glyphs(text: Column) -> Column:
     solid = tx.char_count(text)
     letters = F.length(F.regexp_replace(text, "[^A-Za-z]+", ""))
     return (solid >= 200) & (
-        F.contains(text, F.lit("�")) | (letters / F.nullif(solid, F.lit(0)) < 0.45)
+        F.contains(text, F.lit("\ufffd")) | (letters / F.nullif(solid, F.lit(0)) < 0.45)
     )
 
 
-def row_totals(lines: DataFrame) -> DataFrame:
-    """Row counts per document behind the layout verdicts (partial sums map-side)."""
-    return row_flags(lines).groupBy("doc_id").agg(
+def page_table(lines: DataFrame) -> DataFrame:
+    """One row per page with text: its counts and its text, lines in reading order."""
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("anchor")).alias("down"), "text")))
+    return row_flags(lines).groupBy("doc_id", "page").agg(
+        F.sum(tx.char_count(F.col("text"))).alias("chars"),
         F.count(F.lit(1)).alias("rows"),
         F.count_if("split_row").alias("split_rows"),
         F.count_if("tabular_row").alias("tabular_rows"),
         F.count_if("right_start").alias("right_starts"),
+        F.array_join(F.transform(ordered, lambda r: r["text"]), "\n").alias("page_text"),
     )
 
 
-def line_documents(lines: DataFrame) -> DataFrame:
-    """Normalised text per document, lines in reading order."""
-    ordered = F.array_sort(F.collect_list(F.struct("page", (-F.col("anchor")).alias("down"), "text")))
-    raw = lines.groupBy("doc_id").agg(
-        F.array_join(F.transform(ordered, lambda r: r["text"]), "\n").alias("raw")
-    )
-    return raw.select("doc_id", tx.normalise_text(F.col("raw")).alias("text"))
-
-
 def layout_documents(fragments: DataFrame, pages: DataFrame) -> DataFrame:
-    """Document contract (``text, page_count, meta``) of positioned text."""
-    lines = group_into_lines(fragments)
-    df = (
-        image_only_pages(lines, pages)
-        .join(row_totals(lines), "doc_id", "left")
-        .join(line_documents(lines), "doc_id", "left")
-        .withColumn("text", F.coalesce("text", F.lit("")))
+    """Document contract (``text, page_count, meta``) of positioned text.
+
+    Lines shrink to pages and pages to documents, so every line is built once and the long
+    document, not the long corpus, decides the size of a group.
+    """
+    per_page = pages.join(page_table(group_into_lines(fragments)), ["doc_id", "page"], "left")
+    thin = F.when(F.coalesce("chars", F.lit(0)) < MIN_PAGE_CHARS, F.col("page"))
+    texts = F.array_sort(
+        F.collect_list(F.when(F.col("page_text").isNotNull(), F.struct("page", "page_text")))
+    )
+    total = lambda name: F.coalesce(F.sum(name), F.lit(0)).alias(name)
+    df = per_page.groupBy("doc_id").agg(
+        F.sort_array(F.collect_list(thin)).alias("image_only_pages"),
+        F.count(F.lit(1)).cast("int").alias("page_count"),
+        *[total(k) for k in ("rows", "split_rows", "tabular_rows", "right_starts")],
+        F.array_join(F.transform(texts, lambda p: p["page_text"]), "\n").alias("raw"),
     )
-    rows = F.coalesce(F.col("rows"), F.lit(0))
-    split_rows = F.coalesce(F.col("split_rows"), F.lit(0))
-    share = lambda n: F.coalesce(n / F.nullif(rows, F.lit(0)), F.lit(0.0))
+    df = pin(df, "text", tx.normalise_text(F.col("raw")))
+    share = lambda name: F.coalesce(F.col(name) / F.nullif(F.col("rows"), F.lit(0)), F.lit(0.0))
     return df.select(
         "doc_id", "text", F.lit("pdf").alias("source_kind"), "page_count",
         F.struct(
             tx.char_count(F.col("text")).cast("long").alias("text_density"),
             F.col("image_only_pages"),
-            ((share(split_rows) >= 0.2) & (split_rows >= 4)).alias("multi_column"),
-            share(F.coalesce(F.col("right_starts"), F.lit(0))).alias("right_column_ratio"),
+            ((share("split_rows") >= 0.2) & (F.col("split_rows") >= 4)).alias("multi_column"),
+            share("right_starts").alias("right_column_ratio"),
             F.coalesce(broken_glyphs(F.col("text")), F.lit(False)).alias("broken_glyphs"),
-            F.coalesce(F.col("tabular_rows"), F.lit(0)).alias("tabular_rows"),
+            F.col("tabular_rows"),
             F.lit(0).cast("long").alias("text_box_chars"),
             F.size("image_only_pages").cast("long").alias("image_count"),
             F.lit(False).alias("contact_in_header_only"),
@@ -252,7 +255,7 @@ def block_documents(blocks: DataFrame, headers: DataFrame) -> DataFrame:
         F.count_if("is_table_row").alias("rows"),
     )
     df = sums.join(texts, "doc_id", "left").join(headers, "doc_id", "left")
-    df = df.withColumn("text", tx.normalise_text(F.coalesce("raw", F.lit(""))))
+    df = pin(df, "text", tx.normalise_text(F.coalesce("raw", F.lit(""))))
     contact = java(lx.CONTACT_ANY)
     return df.select(
         "doc_id", "text", F.lit("docx").alias("source_kind"), F.lit(1).alias("page_count"),

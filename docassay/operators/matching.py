@@ -69,11 +69,11 @@ def doc_terms(docs: DataFrame, vocab: DataFrame, small: bool) -> DataFrame:
 
 
 def _verified(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Candidates whose term really stands in the text. Texts move once, by document."""
+    """Candidates whose term really stands in the text; only texts with a candidate are kept."""
     escaped = F.regexp_replace("term", r"([^a-z0-9 ])", r"\\$1")
     pattern = F.concat(F.lit("(^|[^a-z0-9+#.])"), escaped, F.lit("($|[^a-z0-9+#])"))
-    texts = docs.select("doc_id", F.lower("text").alias("lower"))
-    both = candidates.join(texts, "doc_id")
+    wanted = docs.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
+    both = candidates.join(wanted.select("doc_id", F.lower("text").alias("lower")), "doc_id")
     proof = F.contains("lower", "term") & F.regexp_like("lower", pattern)
     return keep_where(both, proof).select("doc_id", "term")
 

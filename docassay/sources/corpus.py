@@ -9,13 +9,13 @@ from docassay.functions.text import js_trim
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a small input one partition per core; an input with enough splits stays as it is.
+    """Give a small input four partitions per core; an input with enough splits stays as it is.
 
     Scoring costs milliseconds per document, far more than moving it once, but only inputs with
     fewer splits than cores (one small file) gain from moving.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(4 * cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def read_corpus(

@@ -39,8 +39,19 @@ def classify(path: Column, length: Column, head: Column, limit: int) -> tuple[Co
 
 
 def intake_files(spark: SparkSession, path: str, limit: int = lx.MAX_FILE_BYTES) -> DataFrame:
-    """``(path, file_name, length, kind, reason, message, content)``; rejects carry no content."""
-    files = spark.read.format("binaryFile").load(path)
+    """``(path, file_name, length, kind, reason, message, content)``; rejects carry no content.
+
+    Spark's file sources skip files of length 0. They are taken from the listing Spark has made
+    for the scan, by anti join with the files that were read.
+    """
+    read = spark.read.format("binaryFile").load(path).select("path", "length", "content")
+    listed = spark.createDataFrame([(f,) for f in read.inputFiles()], "path string")
+    one_form = lambda p: F.regexp_replace(p, "^([a-z0-9]+):/+", "$1:/")
+    seen = spark.read.format("binaryFile").load(path).select(one_form("path").alias("path"))
+    empty = listed.select(one_form("path").alias("path")).join(seen, "path", "left_anti").select(
+        "path", F.lit(0).cast("long").alias("length"), F.lit(None).cast("binary").alias("content")
+    )
+    files = read.withColumn("path", one_form("path")).unionByName(empty)
     kind, reason = classify(F.col("path"), F.col("length"), F.col("content"), limit)
     out = files.select(
         "path", F.regexp_extract("path", r"[^/]+\z", 0).alias("file_name"), "length",
