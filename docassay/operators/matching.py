@@ -62,7 +62,8 @@ def doc_terms(docs: DataFrame, vocab: DataFrame, small: bool) -> DataFrame:
     """
     words = vocab.filter(F.col("key") != "")
     words = F.broadcast(words) if small else words
-    hits = doc_keys(docs).join(words, "key")
+    # Read three times below and far smaller than the texts, so it is stored once.
+    hits = checkpoint(doc_keys(docs).join(words, "key").select("doc_id", "term", "sure"))
     sure = hits.filter("sure").select("doc_id", "term")
     maybe = hits.filter(~F.col("sure")).select("doc_id", "term")
     return sure.unionByName(_verified(docs, maybe)).unionByName(_odd_terms(docs, vocab, small)).distinct()
