@@ -6,10 +6,10 @@ later than every register. Two texts agree in a register with the probability Ja
 weights. Texts that agree in a whole band of registers are candidates; candidates are verified on
 their shingle sets.
 
-Copies of a text count once. Within a bucket of a band, every text is first compared with three
-leaders only; what is connected then needs no further comparison. Texts of one bucket still in
-different components are all compared, unless their sizes or signatures rule the similarity out,
-so no link between components is lost.
+Copies of a text count once. Within a bucket of a band, every text is first compared with one
+leader only; what is connected then needs no further comparison. Texts of one bucket still in
+different components are all compared, unless their sizes, the shingles that nobody else has or
+their signatures rule the similarity out, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ from docassay.llm.common import components, spans_of, stored, table
 from docassay.llm.grams import distinct_counts, mix, shingles, text_keys, word_hashes
 
 REGISTERS, ROWS = 144, 6
-#: Share of equal registers below which a pair is not verified: at a similarity of 0.8, six deviations down.
-LEAST_EQUAL = 0.58
+#: Share of equal registers below which a pair is not verified: at a similarity of 0.8, four deviations down.
+LEAST_EQUAL = 0.66
+#: Bits of the table of texts that share a band: 4 MB, whatever their number.
+BITS = 1 << 25
 
 
 def signatures(elements: np.ndarray, weights: np.ndarray, doc: np.ndarray, n_docs: int, registers: int) -> np.ndarray:
@@ -76,6 +78,35 @@ def sketch(texts: list[str], size: int, registers: int, rows: int) -> dict[str,
     }
 
 
+def _slots(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.view(np.uint64) + np.uint64(1)) % np.uint64(BITS)).astype(np.int64)
+
+
+def marked_ids(nodes: DataFrame) -> np.ndarray:
+    """A table of ``BITS`` bits, one of them set for each id: at most BITS / 64 rows come to the driver, whatever the number of ids."""
+
+    def bits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            at = _slots(f["node"].to_numpy(np.int64))
+            yield pd.DataFrame({"word": at >> 6, "bits": (np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64)})
+
+    rows = nodes.mapInPandas(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    out = np.zeros(BITS // 64, np.int64)
+    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def has_ids(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = _slots(ids)
+    return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def still_open(members: DataFrame) -> DataFrame:
+    """Rows of buckets (key) whose texts are in several components (part)."""
+    split = members.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("key")
+    return members.join(split, "key")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, registers: int = REGISTERS, rows: int = ROWS) -> DataFrame:
     """``(doc_id, class_id, n_links)``: the smallest doc_id of the class, and the number of other texts verified against this one.
 
@@ -103,9 +134,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, register
         filled.join(copies, ["one", "two"]).filter("doc_id = node").select("node", "n", "bands", "bytes").dropDuplicates(["node"]), "nodes"
     )
     keys = texts.select("node", F.explode("bands").alias("key"))
-    order = F.struct(F.xxhash64("node", F.col("key").bitwiseAND(3)).alias("h"), F.col("node").alias("leader"))
-    buckets = keys.groupBy("key").agg(F.min(order).alias("lead"), F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    placed = stored(keys.join(buckets.select("key", F.col("lead.leader").alias("leader")), "key"), "buckets")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
+    shared = stored(keys.join(sizes.select("key", "size"), "key"), "shared-keys")
+    # The text that meets most others over all bands is nearest to what its group has in common: it leads.
+    central = shared.groupBy("node").agg(F.sum("size").alias("met"))
+    order = F.struct("met", (-F.col("node")).alias("back"))
+    led_by = shared.join(central, "node").groupBy("key").agg(F.max(order).alias("lead")).select("key", (-F.col("lead.back")).alias("leader"))
+    placed = stored(shared.drop("size").join(led_by, "key"), "buckets")
     light = texts.select("node", "n", "bytes")
 
     def alike(pairs: DataFrame) -> DataFrame:
@@ -143,10 +178,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, register
                 keep.append(shared >= least * (len(x) + len(y) - shared) - 1e-9)
             yield f.loc[keep, ["a", "b"]]
 
+    wanted = placed.select("node").distinct()
+    everywhere = docs.sparkSession.sparkContext.broadcast(marked_ids(wanted))
+
+    def likely(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield from sets([f[has_ids(everywhere.value, f["doc_id"].to_numpy(np.int64))]])
+
+    # Only texts that share a band are needed. Most others fall to the bit table before anything is
+    # shuffled, and the join takes care of the rest.
+    found = spread.filter("text is not null").mapInPandas(likely, "node long, set binary").join(wanted, "node", "left_semi")
+    known = stored(found.dropDuplicates(["node"]), "sets")
+
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        known = spread.filter("text is not null").join(wanted, "doc_id", "left_semi").mapInPandas(sets, "node long, set binary").dropDuplicates(["node"])
-        known = stored(known, "sets")
         both = pairs.join(known.toDF("a", "set_a"), "a").join(known.toDF("b", "set_b"), "b")
         return stored(both.mapInPandas(jaccard, "a long, b long"), name)
 
@@ -154,11 +198,28 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, register
     parts = stored(components(links), "parts")
     # Second round: texts of a bucket that are in different components by now.
     named = placed.join(parts, "node", "left").select("key", "node", F.coalesce("root", "node").alias("part"))
-    open_ = named.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("key")
-    left = stored(named.join(open_, "key").join(texts.select("node", "n"), "node"), "open-buckets")
-    x, y = left.select("key", F.col("node").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na")), left.select("key", F.col("node").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb"))
-    fit = (F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least)
-    more = x.join(y, "key").filter(fit).select("a", "b").distinct().join(led, ["a", "b"], "left_anti")
+    left = stored(still_open(named).join(texts.select("node", "n"), "node"), "open-buckets")
+
+    def exploded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for a, b in spans_of([len(x) for x in f["set"]], 1 << 22):
+                part = f["set"].iloc[a:b]
+                n = [len(x) // 8 for x in part]
+                yield pd.DataFrame({"node": np.repeat(f["node"].to_numpy(np.int64)[a:b], n), "shingle": np.frombuffer(b"".join(part), np.int64)})
+
+    # A shingle that no other open text has is in no intersection, so a text's others bound its
+    # similarity to whatever is in its bucket: texts that are too much their own leave, and again.
+    for turn in range(2):
+        sole = known.join(left.select("node").distinct(), "node", "left_semi").mapInPandas(exploded, "node long, shingle long")
+        sole = sole.groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1").groupBy("node").agg(F.count("*").alias("sole"))
+        cores = left.select("key", "node", "part", "n").join(sole, "node", "left").withColumn("core", F.col("n") - F.coalesce("sole", F.lit(0)))
+        cores = cores.join(cores.groupBy("key").agg(F.min("n").alias("fewest")), "key")
+        cores = cores.filter(F.col("core") >= least * (F.col("n") + F.greatest("fewest", "core") - F.col("core")) - 1e-9)
+        left = stored(still_open(cores.select("key", "node", "part", "n", "core")), f"open-cores-{turn}")
+    x, y = (left.select("key", *[F.col(c).alias(c + side) for c in ("node", "part", "n", "core")]) for side in ("_a", "_b"))
+    both = F.least("core_a", "core_b")
+    fit = (F.col("node_a") < F.col("node_b")) & (F.col("part_a") != F.col("part_b")) & (both >= least * (F.greatest("n_a", "core_b") + F.greatest("n_b", "core_a") - both) - 1e-9)
+    more = x.join(y, "key").filter(fit).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(led, ["a", "b"], "left_anti")
     links = links.union(verified(stored(alike(more), "more-pairs"), "more-links"))
     roots = stored(components(links), "classes")
     degree = links.select("a", "b").union(links.select("b", "a")).groupBy("a").agg(F.count("*").alias("n_links"))
