@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docassay.llm.common import components, spans_of, stored, table
@@ -216,10 +216,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, register
         cores = cores.join(cores.groupBy("key").agg(F.min("n").alias("fewest")), "key")
         cores = cores.filter(F.col("core") >= least * (F.col("n") + F.greatest("fewest", "core") - F.col("core")) - 1e-9)
         left = stored(still_open(cores.select("key", "node", "part", "n", "core")), f"open-cores-{turn}")
-    x, y = (left.select("key", *[F.col(c).alias(c + side) for c in ("node", "part", "n", "core")]) for side in ("_a", "_b"))
+    # Two texts that are alike share one of their rarest shingles: all but as many as they must share.
+    open_sets = stored(known.join(left.select("node").distinct(), "node", "left_semi").mapInPandas(exploded, "node long, shingle long"), "open-shingles")
+    often = open_sets.groupBy("shingle").agg(F.count("*").alias("c"))
+    rarest = Window.partitionBy("node").orderBy("c", "shingle")  # the shingles of one text
+    ranked = open_sets.join(often, "shingle").withColumn("place", F.row_number().over(rarest)).filter("c > 1")
+    fewest = left.groupBy("key").agg(F.min("n").alias("fewest"))
+    must = F.ceil(F.lit(least / (1 + least)) * (F.col("n") + F.greatest("fewest", F.col("n") * least)) - 1e-6)
+    rare = left.join(fewest, "key").join(ranked, "node").filter(F.col("place") <= F.col("n") - must + 1)
+    x, y = (rare.select("key", "shingle", *[F.col(c).alias(c + side) for c in ("node", "part", "n", "core")]) for side in ("_a", "_b"))
     both = F.least("core_a", "core_b")
     fit = (F.col("node_a") < F.col("node_b")) & (F.col("part_a") != F.col("part_b")) & (both >= least * (F.greatest("n_a", "core_b") + F.greatest("n_b", "core_a") - both) - 1e-9)
-    more = x.join(y, "key").filter(fit).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(led, ["a", "b"], "left_anti")
+    more = x.join(y, ["key", "shingle"]).filter(fit).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(led, ["a", "b"], "left_anti")
     links = links.union(verified(stored(alike(more), "more-pairs"), "more-links"))
     roots = stored(components(links), "classes")
     degree = links.select("a", "b").union(links.select("b", "a")).groupBy("a").agg(F.count("*").alias("n_links"))
