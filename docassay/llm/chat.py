@@ -74,8 +74,10 @@ def reply_paths(messages: DataFrame, n_paths: int = 1) -> DataFrame:
     leaves = leaves.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= n_paths)
     path = leaves.select("tree_id", F.col("msg_id").alias("leaf_id"), F.col("msg_id").alias("from"))
     for jump in reversed(jumps):
-        path = path.union(path.join(jump, ["tree_id", "from"]).select("tree_id", "leaf_id", F.col("to").alias("from")))
-    path = path.withColumnRenamed("from", "msg_id").distinct()
+        # One reference to the path so far: each step keeps a message and adds the ancestor it jumps to.
+        both = F.explode(F.array_compact(F.array("from", "to")))
+        path = path.join(jump, ["tree_id", "from"], "left").select("tree_id", "leaf_id", both.alias("from"))
+    path = stored(path.withColumnRenamed("from", "msg_id").distinct(), "paths")
     return path.join(done.select("tree_id", "msg_id", "depth"), ["tree_id", "msg_id"])
 
 
