@@ -21,6 +21,10 @@ QUERIES: dict[str, Query] = {}
 c = F.col
 
 
+#: The tables at hand are single small files; a caller with a large corpus leaves it as it is stored.
+PARTS = 32
+
+
 def register(fn: Query) -> Query:
     QUERIES[fn.__name__] = fn
     return fn
@@ -31,7 +35,7 @@ def joined(array, sep: str = " | "):
 
 
 def prose(spark: SparkSession, sf: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    return read_corpus(spark, f"{sf}/documents.parquet", keep=keep)
+    return read_corpus(spark, f"{sf}/documents.parquet", keep=keep, partitions=PARTS)
 
 
 def structured(spark: SparkSession, sf: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -91,7 +95,7 @@ def b01_normalise_text(spark, sf):
 
 @register
 def b01_normalise_pages(spark, sf):
-    pages = read_corpus(spark, f"{sf}/pages.parquet", "page_id", "html")
+    pages = read_corpus(spark, f"{sf}/pages.parquet", "page_id", "html", partitions=PARTS)
     return pages.select("doc_id", F.md5(tx.normalise_text(c("text"))).alias("text_md5"))
 
 
@@ -169,7 +173,7 @@ def b12_estimate_pages(spark, sf):
 
 @register
 def b13_extract_urls(spark, sf):
-    pages = read_corpus(spark, f"{sf}/pages.parquet", "page_id", "html", keep=("url",))
+    pages = read_corpus(spark, f"{sf}/pages.parquet", "page_id", "html", keep=("url",), partitions=PARTS)
     return pages.select("doc_id", joined(ex.urls(F.concat_ws(" ", "url", "text")), " ").alias("urls"))
 
 
@@ -399,8 +403,5 @@ def all_queries() -> dict[str, Query]:
     import importlib
 
     for extra in ("catalog_terms", "catalog_layout", "catalog_stream"):
-        try:
-            importlib.import_module(f"docassay.{extra}")
-        except ModuleNotFoundError:
-            continue
+        importlib.import_module(f"docassay.{extra}")
     return dict(sorted(QUERIES.items()))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docassay.catalog import c, joined, prose, register
+from docassay.catalog import PARTS, c, joined, prose, register
 from docassay.functions import text as tx
 from docassay.functions.rows import explode_rows, explode_values
 from docassay.operators import layout as ly
@@ -139,7 +139,7 @@ def c12_block_meta(spark, sf):
 
 @register
 def c13_merge_hyperlinks(spark, sf):
-    pages = read_corpus(spark, f"{sf}/pages.parquet", "page_id", "html", keep=("url",))
+    pages = read_corpus(spark, f"{sf}/pages.parquet", "page_id", "html", keep=("url",), partitions=PARTS)
     hrefs = F.regexp_extract_all("text", F.lit('(?:href|src)="([^"]*)"'), F.lit(1))
     links = explode_values(pages.select("doc_id", hrefs.alias("h")), ["doc_id"], "h", "url")
     mails = pages.select("doc_id", F.concat(F.lit("mailto:page"), c("doc_id").cast("string"), F.lit("@example.com")).alias("url"))

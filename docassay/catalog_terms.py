@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docassay import lexicon as lx
-from docassay.catalog import c, joined, prose, register, structured
+from docassay.catalog import PARTS, c, joined, prose, register, structured
 from docassay.functions import text as tx
 from docassay.functions.rows import explode_rows, explode_values
 from docassay.operators import matching as mt, terms as tm
@@ -26,7 +26,7 @@ TAILS = [
 
 def postings(spark, sf):
     """The benchmark table as postings, each with a closing line."""
-    raw = read_corpus(spark, f"{sf}/benchmark.parquet", "item_id", "text")
+    raw = read_corpus(spark, f"{sf}/benchmark.parquet", "item_id", "text", partitions=PARTS)
     tail = F.element_at(F.array(*[F.lit(t) for t in TAILS]), (c("doc_id") % 4 + 1).cast("int"))
     return min_length_gate(
         raw.select(c("doc_id").alias("posting_id"), F.concat("text", F.lit("\n"), tail).alias("text"))

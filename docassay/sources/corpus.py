@@ -8,16 +8,6 @@ from pyspark.sql import functions as F
 from docassay.functions.text import js_trim
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small input four partitions per core; an input with enough splits stays as it is.
-
-    Scoring costs milliseconds per document, far more than moving it once, but only inputs with
-    fewer splits than cores (one small file) gain from moving.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(4 * cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_corpus(
     spark: SparkSession,
     path: str,
@@ -25,13 +15,21 @@ def read_corpus(
     text_col: str = "text",
     keep: tuple[str, ...] = (),
     fmt: str = "parquet",
+    partitions: int | None = None,
 ) -> DataFrame:
-    """``(doc_id, text, *keep)`` from a table; only these columns are read."""
+    """``(doc_id, text, *keep)`` from a table; only these columns are read.
+
+    The input stays as it is stored. A caller that knows it to be one small file passes
+    ``partitions``, since scoring costs far more than moving the documents once. Files of
+    ``fmt="text"`` are documents whose id is the SHA-256 of their path.
+    """
     if fmt == "text":
         df = spark.read.text(path, wholetext=True)
-        return df.select(F.xxhash64("value").alias("doc_id"), F.col("value").alias("text"))
-    df = spark.read.format(fmt).load(path)
-    return spread(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *keep))
+        df = df.select(F.sha2(F.input_file_name(), 256).alias("doc_id"), F.col("value").alias("text"))
+    else:
+        df = spark.read.format(fmt).load(path)
+        df = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *keep)
+    return df.repartition(partitions) if partitions else df
 
 
 def min_length_gate(df: DataFrame, n: int = 120, text_col: str = "text") -> DataFrame:
