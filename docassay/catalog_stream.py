@@ -30,11 +30,11 @@ def j01_debounce_sessions(spark, sf):
 
 @register
 def j01_debounce_stream(spark, sf):
-    stream = st.table_stream(spark, sf, "events.parquet").select(
-        "user_id", "event_id", c("ts").cast("timestamp").alias("ts"), "value"
-    )
-    quiet = st.debounce_stream(stream, ["user_id"], "ts", "event_id", f"{GAP_HOURS} hours", "1 hour")
-    out = st.run_available(quiet, st.work_folder(spark, "debounce"))
+    timed = ("user_id", "event_id", c("ts").cast("timestamp").alias("ts"), "value")
+    how = (["user_id"], "ts", "event_id", f"{GAP_HOURS} hours")
+    quiet = st.debounce_stream(st.table_stream(spark, sf, "events.parquet").select(*timed), *how, "1 hour")
+    emitted = st.run_available(quiet, st.work_folder(spark, "debounce"))
+    out = st.with_open_sessions(emitted, events(spark, sf).select(*timed), *how)
     return out.withColumn("ts", c("ts").cast("timestamp_ntz"))
 
 

@@ -65,7 +65,7 @@ def e01_dict_match(spark, sf):
 def e02_dict_scan(spark, sf):
     docs = structured(spark, sf).select("doc_id", "text")
     vocab = mt.vocabulary(spark.createDataFrame([(t,) for t in lx.all_skills()], "term string"))
-    return mt.doc_terms(docs, vocab, small=True)
+    return mt.doc_terms(docs, vocab)
 
 
 @register
@@ -90,13 +90,13 @@ def e04_drop_phrase_parts(spark, sf):
 
 @register
 def e05_match_postings(spark, sf):
-    return matches(spark, sf).select("doc_id", "posting_id", "rank", "term", "cnt", "is_skill", "matched")
+    return matches(spark, sf).filter("term is not null").select("doc_id", "posting_id", "rank", "term", "cnt", "is_skill", "matched")
 
 
 @register
 def e05_match_naive(spark, sf):
     docs = structured(spark, sf).select("doc_id", "text")
-    return mt.match_postings_naive(docs, mined(spark, sf), pairs(spark, sf, docs)).select(
+    return mt.match_postings_naive(docs, mined(spark, sf), pairs(spark, sf, docs)).filter("term is not null").select(
         "doc_id", "posting_id", "rank", "term", "cnt", "is_skill", "matched"
     )
 
@@ -131,8 +131,8 @@ def f09_coverage(spark, sf):
 @register
 def f10_match_status(spark, sf):
     r = mt.match_report(matches(spark, sf))
-    return r.select("doc_id", "posting_id", F.concat(
-        c("n_matched").cast("string"), F.lit(" of "), c("n_terms").cast("string")).alias("status"))
+    counted = F.concat(c("n_matched").cast("string"), F.lit(" of "), c("n_terms").cast("string"))
+    return r.select("doc_id", "posting_id", F.when(c("compared"), counted).otherwise("not compared").alias("status"))
 
 
 @register

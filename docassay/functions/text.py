@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -106,43 +108,37 @@ def between(array: Column, first: Column, last: Column, change=lambda x: x) -> C
     return F.transform(positions, lambda i: change(F.get(array, i)))
 
 
-#: Longest term looked up as a set member; longer ones are located and checked by regex.
-MAX_RUN = 48
+#: A run's head: leading dots and what follows up to the next dot.
+HEAD = "[.]*[^.]*"
+#: Terms that are the head of every run they start.
+WHOLE_HEAD = "^[.]*[a-z0-9+#]+$"
 
 
-def runs(lower: Column) -> Column:
-    """Maximal runs of ``[a-z0-9+#.]`` and their prefixes that end before a dot.
+def head_of(run: Column) -> Column:
+    return F.regexp_extract(run, HEAD, 0)
 
-    A term of up to :data:`MAX_RUN` such characters stands in the text (left side free, right
-    side free or a dot) exactly when it is one of these. Prefixes stop at that length, so rows
-    of dots stay harmless.
-    """
-    full = F.split(lower, "[^a-z0-9+#.]+")
 
-    def prefixes(run: Column) -> Column:
-        head = F.left(run, F.lit(MAX_RUN + 1))
-        ends = F.filter(
-            F.sequence(F.lit(1), F.length(head) - 1),
-            lambda n: (F.length(head) > 1) & (F.substr(head, n + 1, F.lit(1)) == "."),
-        )
-        return F.transform(ends, lambda n: F.left(head, n))
+def heads(lower: Column) -> Column:
+    """Heads of the maximal runs of ``[a-z0-9+#.]``.
 
-    dotted = F.filter(full, lambda r: F.contains(r, F.lit(".")))
-    return F.concat(full, F.flatten(F.transform(F.array_distinct(dotted), prefixes)))
+    A term of the form :data:`WHOLE_HEAD` stands in the text (left side free, right side free
+    or a dot) exactly when it is one of these.
+    """
+    return F.transform(F.split(lower, "[^a-z0-9+#.]+"), head_of)
 
 
-def is_single_run(term: str) -> bool:
-    return len(term) <= MAX_RUN and set(term) <= set("abcdefghijklmnopqrstuvwxyz0123456789+#.")
+def is_whole_head(term: str) -> bool:
+    return re.fullmatch(WHOLE_HEAD[1:-1], term) is not None
 
 
 def find_terms(lower: Column, terms: list[str]) -> Column:
     """Entries of the list that stand as whole terms, in list order.
 
-    Single-run terms are looked up among the :func:`runs` of the text, all at once; the few
-    terms with blanks, dashes or slashes are located first and only then checked by regex.
+    Terms that are heads are looked up among the :func:`heads` of the text, all at once; the few
+    with inner dots, blanks, dashes or slashes are located first and only then checked by regex.
     """
-    multi = [t for t in terms if not is_single_run(t)]
-    hits = F.array_intersect(literals([t for t in terms if is_single_run(t)]), runs(lower))
+    multi = [t for t in terms if not is_whole_head(t)]
+    hits = F.array_intersect(literals([t for t in terms if is_whole_head(t)]), heads(lower))
     if not multi:
         return hits
     extra = F.filter(literals(multi), lambda t: F.contains(lower, t))

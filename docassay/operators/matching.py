@@ -1,8 +1,8 @@
 """Match documents with postings on the terms the postings ask for.
 
-The containment test is an equi-join. A term of ``[a-z0-9+#.]`` stands in a text exactly when it
-is one of the text's runs, or a run's prefix that ends before a dot. Other terms share the head
-of their first run with some run of the text; those few candidates are verified on the text.
+The containment test is an equi-join on the heads of the text's runs of ``[a-z0-9+#.]``: what
+stands before the first inner dot. A term that is a head itself is proven by the key. Other terms
+share the head of their first run with some run of the text; those few are verified on the text.
 
 Only the pairs asked for are compared, so the result is as large as the request.
 """
@@ -16,11 +16,6 @@ from docassay.functions import text as tx
 from docassay.functions.phrasing import percent
 from docassay.functions.rows import explode_values, keep_where
 
-#: Vocabularies up to this many terms are sent to every executor (about 60 bytes each).
-BROADCAST_TERMS = 500_000
-
-_RUN = "^[a-z0-9+#.]+$"
-_HEAD = "[.]*[^.]*"
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -42,33 +37,32 @@ def vocabulary(terms: DataFrame) -> DataFrame:
     """Distinct ``term`` with its join key and whether a hit on the key is already proof."""
     t = F.col("term")
     first_run = F.regexp_extract(t, "[a-z0-9+#.]+", 0)
-    sure = t.rlike(_RUN) & (F.length(t) <= tx.MAX_RUN)
+    sure = t.rlike(tx.WHOLE_HEAD)
+    dots = first_run.rlike("^[.]*$")
     return terms.select("term").distinct().select(
         "term", sure.alias("sure"),
-        F.when(sure, t).otherwise(F.regexp_extract(first_run, _HEAD, 0)).alias("key"),
+        F.when(sure, t).when(dots, "").otherwise(tx.head_of(first_run)).alias("key"),
     )
 
 
 def doc_keys(docs: DataFrame) -> DataFrame:
-    """Distinct join keys of every document: runs, their dotted prefixes and their heads."""
-    keyed = docs.select("doc_id", tx.runs(F.lower("text")).alias("runs"))
-    heads = F.transform("runs", lambda r: F.regexp_extract(r, _HEAD, 0))
-    return explode_values(keyed, ["doc_id"], F.array_distinct(F.concat("runs", heads)), "key")
+    """Distinct join keys of every document: the heads of its runs."""
+    keyed = docs.select("doc_id", F.array_distinct(tx.heads(F.lower("text"))).alias("heads"))
+    return explode_values(keyed, ["doc_id"], "heads", "key")
 
 
-def doc_terms(docs: DataFrame, vocab: DataFrame, small: bool) -> DataFrame:
+def doc_terms(docs: DataFrame, vocab: DataFrame) -> DataFrame:
     """``(doc_id, term)`` for every vocabulary term that stands in a document.
 
-    ``small`` vocabularies are broadcast, so documents never move for single-run terms. Larger
-    ones are joined by key; keys nobody asks for fall away in the runtime filter.
+    Spark picks the join by the vocabulary's size in bytes; with a broadcast, documents never
+    move for terms that their key proves.
     """
     words = vocab.filter(F.col("key") != "")
-    words = F.broadcast(words) if small else words
-    # Read three times below and far smaller than the texts, so it is stored once.
+    # Read twice below and far smaller than the texts, so it is stored once.
     hits = checkpoint(doc_keys(docs).join(words, "key").select("doc_id", "term", "sure"))
     sure = hits.filter("sure").select("doc_id", "term")
     maybe = hits.filter(~F.col("sure")).select("doc_id", "term")
-    return sure.unionByName(_verified(docs, maybe)).unionByName(_odd_terms(docs, vocab, small)).distinct()
+    return sure.unionByName(_verified(docs, maybe)).unionByName(_odd_terms(docs, vocab)).distinct()
 
 
 def _verified(docs: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -81,14 +75,14 @@ def _verified(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     return keep_where(both, proof).select("doc_id", "term")
 
 
-def _odd_terms(docs: DataFrame, vocab: DataFrame, small: bool) -> DataFrame:
-    """Terms without any run (``-``, ``///``): joined on their first character."""
+def _odd_terms(docs: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Terms without a run other than dots (``-``, ``///``): joined on their first character."""
     odd = vocab.filter(F.col("key") == "").select("term", F.left("term", F.lit(1)).alias("mark"))
     marks = explode_values(
-        docs.select("doc_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[/-]"), F.lit(0))).alias("m")),
+        docs.select("doc_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[./-]"), F.lit(0))).alias("m")),
         ["doc_id"], "m", "mark",
     )
-    return _verified(docs, marks.join(F.broadcast(odd) if small else odd, "mark").select("doc_id", "term"))
+    return _verified(docs, marks.join(odd, "mark").select("doc_id", "term"))
 
 
 def match_postings(docs: DataFrame, terms: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -96,14 +90,14 @@ def match_postings(docs: DataFrame, terms: DataFrame, pairs: DataFrame) -> DataF
 
     ``terms`` is the long form of the mined postings, ``pairs`` is ``(doc_id, posting_id)``.
     The last join is on document and term together: a document or a posting in a third of the
-    pairs spreads over its terms, and the looked-up side holds each key once.
+    pairs spreads over its terms, and the looked-up side holds each key once. A pair whose posting
+    has no terms keeps one row, with a null term.
     """
     terms = checkpoint(terms)
     vocab = checkpoint(vocabulary(terms))
-    small = vocab.count() <= BROADCAST_TERMS
     asked = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
-    present = doc_terms(asked, vocab, small).withColumn("matched", F.lit(True))
-    wanted = pairs.join(terms, "posting_id")
+    present = doc_terms(asked, vocab).withColumn("matched", F.lit(True))
+    wanted = pairs.join(terms, "posting_id", "left")
     return wanted.join(present, ["doc_id", "term"], "left").withColumn(
         "matched", F.coalesce("matched", F.lit(False))
     )
@@ -113,14 +107,17 @@ def match_postings_naive(docs: DataFrame, terms: DataFrame, pairs: DataFrame) ->
     """Reference plan: every pair carries the text and tests every term by regex."""
     escaped = F.regexp_replace("term", r"([^a-z0-9 ])", r"\\$1")
     pattern = F.concat(F.lit("(^|[^a-z0-9+#.])"), escaped, F.lit("($|[^a-z0-9+#])"))
-    wanted = pairs.join(terms, "posting_id").join(
+    wanted = pairs.join(terms, "posting_id", "left").join(
         docs.select("doc_id", F.lower("text").alias("lower")), "doc_id"
     )
-    return wanted.withColumn("matched", F.regexp_like("lower", pattern)).drop("lower")
+    return wanted.withColumn("matched", F.coalesce(F.regexp_like("lower", pattern), F.lit(False))).drop("lower")
 
 
 def match_report(matches: DataFrame) -> DataFrame:
-    """Coverage and ordered term lists per pair; at most ``k`` rows meet in one group."""
+    """Coverage and ordered term lists per pair; at most ``k`` rows meet in one group.
+
+    A pair whose posting has no terms is reported with zeros, empty lists and ``compared`` false.
+    """
     m, s = F.col("matched"), F.col("is_skill")
 
     def listed(test: Column) -> Column:
@@ -128,9 +125,10 @@ def match_report(matches: DataFrame) -> DataFrame:
         return F.array_join(F.transform(rows, lambda x: x["term"]), ", ")
 
     return matches.groupBy("doc_id", "posting_id").agg(
-        F.count(F.lit(1)).cast("int").alias("n_terms"),
+        F.count("term").cast("int").alias("n_terms"),
+        (F.count("term") > 0).alias("compared"),
         F.count_if(m).cast("int").alias("n_matched"),
-        percent(F.count_if(m), F.count(F.lit(1))).alias("coverage"),
+        percent(F.count_if(m), F.count("term")).alias("coverage"),
         percent(F.count_if(m & s), F.count_if(s)).alias("skill_coverage"),
         listed(m).alias("matched"),
         listed(~m).alias("missing"),

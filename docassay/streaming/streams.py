@@ -55,6 +55,18 @@ def debounce_stream(events: DataFrame, keys: list[str], ts: str, order: str, gap
     return debounce_sessions(events.withWatermark(ts, late), keys, ts, order, gap)
 
 
+def with_open_sessions(
+    emitted: DataFrame, source: DataFrame, keys: list[str], ts: str, order: str, gap: str
+) -> DataFrame:
+    """At the end of a finite source: the emitted rows and those of the sessions still open.
+
+    Sessions of a key are emitted in order, so what is open starts after the last emitted row.
+    """
+    last = emitted.groupBy(*keys).agg(F.max(ts).alias("_last"))
+    rest = source.join(last, keys, "left").filter(F.col("_last").isNull() | (F.col(ts) > F.col("_last")))
+    return emitted.unionByName(debounce_sessions(rest.drop("_last"), keys, ts, order, gap))
+
+
 def score_stream(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Scores of a document stream: a projection, no state."""
     scored = score_documents(text_documents(docs), keep=keep)
@@ -92,18 +104,19 @@ def delta_stream(scores: DataFrame) -> DataFrame:
 def match_stream(docs: DataFrame, mined: DataFrame) -> DataFrame:
     """Coverage of each revision against its posting: a stream-static join, no state.
 
-    ``docs`` is ``(doc_id, rev, posting_id, text)``, ``mined`` has one row per posting.
+    ``docs`` is ``(doc_id, rev, posting_id, text)``, ``mined`` has one row per posting. A revision
+    whose posting has no terms is reported with zeros.
     """
-    joined = docs.join(mined, "posting_id").withColumn("lower", F.lower("text"))
-    joined = joined.withColumn("runs", tx.runs(F.col("lower")))
+    joined = docs.join(mined, "posting_id", "left").withColumn("lower", F.lower("text"))
+    joined = joined.withColumn("heads", tx.heads(F.col("lower")))
     present = F.expr(
-        "transform(filter(terms, t -> array_contains(runs, t.term) OR (NOT (t.term rlike '^[a-z0-9+#.]{1,48}$') AND contains(lower, t.term) "
+        "transform(filter(terms, t -> array_contains(heads, t.term) OR (NOT (t.term rlike '^[.]*[a-z0-9+#]+$') AND contains(lower, t.term) "
         "AND regexp_like(lower, concat('(^|[^a-z0-9+#.])', regexp_replace(t.term, '([^a-z0-9 ])', '\\\\\\\\$1'), '($|[^a-z0-9+#])')))), t -> t.term)"
     )
     joined = joined.withColumn("present", present)
+    asked, found = (F.greatest(F.size(name), F.lit(0)) for name in ("terms", "present"))
     return joined.select(
-        "doc_id", "rev", "posting_id", F.size("terms").alias("n_terms"), F.size("present").alias("n_matched"),
-        percent(F.size("present"), F.size("terms")).alias("coverage"),
+        "doc_id", "rev", "posting_id", asked.alias("n_terms"), found.alias("n_matched"), percent(found, asked).alias("coverage"),
     )
 
 

@@ -14,10 +14,7 @@ QUIET = (
     "WITH n AS (SELECT user_id, event_id, ts, value, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) "
     "SELECT user_id, event_id, ts, value FROM n WHERE (nxt IS NULL OR nxt - ts > INTERVAL 6 HOUR)"
 )
-O["j01_debounce"] = O["j01_debounce_sessions"] = QUIET
-O["j01_debounce_stream"] = (
-    f"{QUIET} AND ts + INTERVAL 6 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)"
-)
+O["j01_debounce"] = O["j01_debounce_sessions"] = O["j01_debounce_stream"] = QUIET
 RAW = checks_for(plain_docs("SELECT doc_id, text FROM documents"))
 O["f02_flagship"] = O["j02_score_stream"] = (
     f"{RAW} SELECT doc_id, score, {BAND} AS band_id, total_score, total_weight FROM scored"
@@ -30,9 +27,9 @@ O["g09_score_delta"] = O["j03_delta_stream"] = (
 )
 O["j04_match_stream"] = (
     f"WITH {POSTS}, {TERMS}, d AS (SELECT conv_id AS doc_id, turn AS rev, conv_id % (SELECT count(*) FROM benchmark) AS posting_id, lower(text) AS lower FROM conversations), "
-    "m AS (SELECT d.doc_id, d.rev, d.posting_id, regexp_matches(d.lower, '(^|[^a-z0-9+#.])' || regexp_escape(t.term) || '($|[^a-z0-9+#])') AS hit FROM d JOIN terms t USING (posting_id)) "
-    "SELECT doc_id, rev, posting_id, count(*)::INT AS n_terms, (count(*) FILTER (hit))::INT AS n_matched, "
-    "floor((count(*) FILTER (hit))::DOUBLE / count(*)::DOUBLE * 100 + 0.5)::INT AS coverage FROM m GROUP BY doc_id, rev, posting_id"
+    "m AS (SELECT d.doc_id, d.rev, d.posting_id, regexp_matches(d.lower, '(^|[^a-z0-9+#.])' || regexp_escape(t.term) || '($|[^a-z0-9+#])') AS hit FROM d LEFT JOIN terms t USING (posting_id)) "
+    "SELECT doc_id, rev, posting_id, count(hit)::INT AS n_terms, (count(*) FILTER (hit))::INT AS n_matched, "
+    "coalesce(floor((count(*) FILTER (hit))::DOUBLE / nullif(count(hit), 0)::DOUBLE * 100 + 0.5), 0)::INT AS coverage FROM m GROUP BY doc_id, rev, posting_id"
 )
 O["a07_report_tables"] = core_sql.ORACLES["f01_category_scores_long"]
 _slug = "regexp_replace(regexp_replace(lower(regexp_replace(coalesce(file_name, 'resume'), '[.][^.]+$', '')), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')"

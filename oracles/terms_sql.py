@@ -74,18 +74,21 @@ lows AS (SELECT doc_id, lower(text) AS lower FROM docs),
 matches AS (SELECT p.doc_id, p.posting_id, t.rank, t.term, t.cnt::INT AS cnt, t.is_skill,
   regexp_matches(l.lower, '(^|[^a-z0-9+#.])' || regexp_escape(t.term) || '($|[^a-z0-9+#])') AS matched
   FROM pairs p JOIN terms t USING (posting_id) JOIN lows l ON l.doc_id = p.doc_id),
-report AS (SELECT doc_id, posting_id, count(*)::INT AS n_terms, (count(*) FILTER (matched))::INT AS n_matched,
+found AS (SELECT doc_id, posting_id, count(*)::INT AS n_terms, (count(*) FILTER (matched))::INT AS n_matched,
   coalesce(floor((count(*) FILTER (matched))::DOUBLE / nullif(count(*)::DOUBLE, 0) * 100 + 0.5), 0)::INT AS coverage,
   coalesce(floor((count(*) FILTER (matched AND is_skill))::DOUBLE / nullif((count(*) FILTER (is_skill))::DOUBLE, 0) * 100 + 0.5), 0)::INT AS skill_coverage,
   coalesce(string_agg(term, ', ' ORDER BY rank) FILTER (matched), '') AS matched,
-  coalesce(string_agg(term, ', ' ORDER BY rank) FILTER (NOT matched), '') AS missing FROM matches GROUP BY doc_id, posting_id)"""
+  coalesce(string_agg(term, ', ' ORDER BY rank) FILTER (NOT matched), '') AS missing FROM matches GROUP BY doc_id, posting_id),
+report AS (SELECT doc_id, posting_id, coalesce(n_terms, 0) AS n_terms, n_terms IS NOT NULL AS compared, coalesce(n_matched, 0) AS n_matched,
+  coalesce(coverage, 0) AS coverage, coalesce(skill_coverage, 0) AS skill_coverage, coalesce(matched, '') AS matched, coalesce(missing, '') AS missing
+  FROM pairs LEFT JOIN found USING (doc_id, posting_id))"""
 O["e05_match_postings"] = O["e05_match_naive"] = (
     f"{MATCH} SELECT doc_id, posting_id, rank, term, cnt, is_skill, matched FROM matches"
 )
 O["i05_term_matches"] = f"{MATCH} SELECT doc_id, posting_id, term FROM matches WHERE matched"
 O["i06_match_report"] = f"{MATCH} SELECT * FROM report"
 O["f09_coverage"] = f"{MATCH} SELECT doc_id, posting_id, coverage, skill_coverage FROM report"
-O["f10_match_status"] = f"{MATCH} SELECT doc_id, posting_id, n_matched::VARCHAR || ' of ' || n_terms::VARCHAR AS status FROM report"
+O["f10_match_status"] = f"{MATCH} SELECT doc_id, posting_id, CASE WHEN compared THEN n_matched::VARCHAR || ' of ' || n_terms::VARCHAR ELSE 'not compared' END AS status FROM report"
 O["a10_missing_terms_text"] = f"{MATCH} SELECT doc_id, posting_id, missing FROM report"
 O["e01_dict_match"] = (
     f"{DOCS}, w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z'']{{4,}}')) AS token FROM docs), "

@@ -1,36 +1,31 @@
 """Golden documents: invented people, counted out to known outcomes."""
 
 WEAK = "\n".join([
-    "ROHAN MEHTA",
-    "Email: rohan.mehta@example.com | Phone: +91 98765 43210",
+    "Leena Fernandes",
+    "leena.fernandes@example.org, +91 91234 56780",
     "",
-    "CAREER OBJECTIVE",
-    "I am a hardworking and passionate web developer looking for a good opportunity in a",
-    "reputed organisation where I can utilise my skills and learn along with the team.",
+    "PROFILE",
+    "Seeking a position near the coast. I like tidy screens, my notes are kept with care and friends ask me for help.",
     "",
     "EXPERIENCE",
-    "Acme",
-    "- Responsible for working on Angular and Ruby on Rails modules",
-    "- Was involved in the payment service setup as well",
-    "- Worked on Tag Manager and the error tracker",
-    "Lakeside Cable",
-    "- Responsible for handling customer questions",
-    "",
-    "EDUCATION",
-    "B.Tech (IT), Lakeside College",
-    "12th, State Board",
+    "Harbour Freight Forms",
+    "* Responsible for the Java booking screens of the depot at night",
+    "* Exposure to MySQL lookups whenever the day shift was short of hands",
+    "Tern and Gull Travel",
+    "* Familiar with moving old Bootstrap pages to another brand",
+    "* Known for calm answers in the Jira queue of the front office",
     "",
     "SKILLS",
-    "Angular, Rails, HTML, CSS, MS Office, Good communication skills, Team player, Hardworking",
-    "",
-    "PERSONAL DETAILS",
-    "Nationality: Indian",
-    "Hobbies: Photography, web designing",
+    "Java, JavaScript, MySQL, Bootstrap, Jira, Punctuality, quick learner",
     "",
-    "DECLARATION",
-    "I hereby declare that the above information is true to the best of my knowledge.",
+    "EDUCATION",
+    "Diploma in Computing, Coastal Polytechnic",
     "",
-    "Rohan Mehta",
+    "PERSONAL DETAILS",
+    "Marital status: single",
+    "Languages known: Konkani and English",
+    "Blood group: on request",
+    "Interests: tide tables, chess",
 ])
 
 WEAK_CHECKS = {
@@ -58,11 +53,6 @@ STRONG = "\n".join([
     "SUMMARY",
     "Backend developer with four years of practice in Python and PostgreSQL, at home in payments and reporting.",
     "",
-    "SKILLS",
-    "Languages: Python, TypeScript, SQL, HTML, CSS",
-    "Frameworks: Django, React, FastAPI",
-    "Data and tools: PostgreSQL, Redis, Docker, Git, GitHub, Jest",
-    "",
     "EXPERIENCE",
     "Lead Developer, Acme, Pune (May 2022 - Present)",
     *[_ITEM.format(v, n, u) for v, n, u in [
@@ -73,27 +63,31 @@ STRONG = "\n".join([
         ("Developed", "TypeScript client", 130), ("Tested", "FastAPI gateway", 220), ("Improved", "SQL export", 340),
         ("Measured", "Git hosting", 250), ("Launched", "HTML mail", 670), ("Maintained", "CSS theme", 820)]],
     "",
-    "EDUCATION",
-    "B.Tech, Computer Science, Lakeside College (2015 - 2019)",
-    "",
     "CERTIFICATIONS",
     *[f"- Passed the {n} course with distinction after a term of evening classes (20{y} - 20{y + 1})"
       for n, y in [("cloud", 18), ("database", 19)]],
     "",
+    "SKILLS",
+    "Languages: Python, TypeScript, SQL, HTML, CSS",
+    "Frameworks: Django, React, FastAPI",
+    "Data and tools: PostgreSQL, Redis, Docker, Git, GitHub, Jest",
+    "",
+    "EDUCATION",
+    "B.Tech, Computer Science, Lakeside College (2015 - 2019)",
+    "",
     "ACHIEVEMENTS",
-    "- Won the college design contest against forty other groups from the region (Sep 2018)",
-    "- Led the student chapter with weekly meetings and a yearly conference (2017 - 2019)",
+    "- Published a field guide to slow queries that several user groups hand out (Sep 2018)",
+    "- Organised repair evenings for old laptops at the town library (2017 - 2019)",
 ])
 
 DEGENERATE = ["", "   ", "x", "a\nb\nc", "•" * 200, "12345 67890"]
 
 POSTING = "\n".join([
-    "Software Engineer - Full Stack (Python, React)",
+    "Payments crew, backend seat (Python)",
     "",
-    "We run learning tools for many students across the country and look for people to build them.",
-    "- Build and maintain features in Python and TypeScript on our platform",
-    "- Design REST APIs in Django backed by PostgreSQL and Redis",
-    "- Keep payment and reporting services reliable with Docker and Git",
-    "- Review code, write unit tests and mentor junior developers",
-    "Experience with Angular, GraphQL or Kubernetes is a bonus. Machine learning and machine learning tools too.",
+    "Small shops send their daily takings through our ledger, and the ledger must never lose a cent.",
+    "* Own the Django services and the PostgreSQL schema behind them",
+    "* Write Python jobs that reconcile bank files every night",
+    "* Ship with Docker and Git, and answer for what you ship",
+    "Helpful: Kubernetes, GraphQL, Redis. Machine learning is a plus, since fraud checks use machine learning.",
 ])

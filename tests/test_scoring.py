@@ -30,7 +30,7 @@ def test_weak_document(golden):
     assert {k.id: (k.state, k.score, k.weight) for k in r.checks} == WEAK_CHECKS
     assert (r.total_score, r.total_weight, r.score, r.band_id) == (61, 125, 49, "rework")
     assert [a.id for a in r.actions] == WEAK_ACTIONS
-    assert r.bullet_count == 4 and r.section_count == 7  # "Hobbies: ..." opens one too
+    assert r.bullet_count == 4 and r.section_count == 7  # "Languages known: ..." and "Interests: ..." open one too
 
 
 def test_strong_document(golden):

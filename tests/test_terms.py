@@ -62,8 +62,8 @@ def test_strong_document_matches_better(spark):
 
 
 def test_key_join_equals_regex_join(spark):
-    texts = ["use node.js. and .net", "asp.net ci/cd", "/foo bar", "foo.bar baz-qux", "--- ///", "a.b.c", "machine learning-x", "machine  learning"]
-    asked = ["node.js", ".net", "ci/cd", "/foo", "foo", "foo.bar", "baz-qux", "///", "a", "a.b", "b", "machine learning", "bar foo", "x" * 60]
+    texts = ["use node.js. and .net", "asp.net ci/cd", "/foo bar", "foo.bar baz-qux", "--- ///", "a.b.c", "machine learning-x", "machine  learning", "x" * 60, "so... on", "a -... b"]
+    asked = ["node.js", ".net", "ci/cd", "/foo", "foo", "foo.bar", "baz-qux", "///", "a", "a.b", "b", "machine learning", "bar foo", "x" * 60, "..", "...", "-.."]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     terms = spark.createDataFrame([(0, i, t, 1, False) for i, t in enumerate(asked)], "posting_id long, rank int, term string, cnt int, is_skill boolean")
     pairs = docs.select("doc_id", F.lit(0).cast("long").alias("posting_id"))
@@ -71,6 +71,11 @@ def test_key_join_equals_regex_join(spark):
     got = {tuple(r) for r in mt.match_postings(docs, terms, pairs).select(cols).collect()}
     want = {tuple(r) for r in mt.match_postings_naive(docs, terms, pairs).select(cols).collect()}
     assert got == want and any(m for _, _, m in got)
-    vocab = mt.vocabulary(terms)
-    large = {tuple(r) for r in mt.doc_terms(docs, vocab, small=False).collect()}
-    assert large == {(d, t) for d, t, m in want if m}
+
+
+def test_pairs_without_terms_stay(spark):
+    docs = spark.createDataFrame([(1, "python")], "doc_id long, text string")
+    terms = spark.createDataFrame([(0, 1, "python", 1, True)], "posting_id long, rank int, term string, cnt int, is_skill boolean")
+    pairs = spark.createDataFrame([(1, 0), (1, 9)], "doc_id long, posting_id long")
+    got = {r.posting_id: (r.compared, r.n_terms, r.coverage, r.matched, r.missing) for r in mt.match_report(mt.match_postings(docs, terms, pairs)).collect()}
+    assert got == {0: (True, 1, 100, "python", ""), 9: (False, 0, 0, "", "")}

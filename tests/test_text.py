@@ -98,5 +98,4 @@ def test_term_lookup_equals_the_regex(spark, texts):
 
 
 def test_rows_of_dots_stay_small(spark):
-    sizes = one(spark, F.size(tx.runs(F.lit("." * 100_000))))
-    assert sizes < 100
+    assert one(spark, F.size(tx.heads(F.lit("." * 100_000)))) == 1
