@@ -78,7 +78,7 @@ def parse_rules() -> list[Rule]:
                                       "Table cells carry the layout."),
                    "Boxes are often skipped. Use normal paragraphs.", when=(boxes > 60) | columns),
             Branch("warn", 2, _text(pluralise(meta["tabular_rows"], "row"), " look like a table."),
-                   "Cells can be joined in the wrong order. Plain paragraphs are safer.", when=meta["tabular_rows"] >= 6),
+                   "Software may mix up the cells of a table. Write them out as sentences.", when=meta["tabular_rows"] >= 6),
             Branch("pass", 4, "Nothing but plain paragraphs."),
         )),
         Rule("parse.images", "Pictures", 2, (

@@ -79,7 +79,7 @@ def report_markdown(reports: DataFrame, generated: Column | None = None) -> Data
         parts.append(
             F.array_compact(F.array(
                 F.lit("## Posting\n"),
-                _text("Has ", _s(F.col("coverage")), "% of the key terms and ", _s(F.col("skill_coverage")), "% of the named tools; not part of the score.\n"),
+                _text("Has ", _s(F.col("coverage")), "% of the terms mined from the posting and ", _s(F.col("skill_coverage")), "% of its tools; this does not move the score.\n"),
                 named("Present", "matched"), named("Absent", "missing"),
             ))
         )

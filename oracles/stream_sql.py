@@ -57,7 +57,7 @@ O["a08_report_markdown"] = (
 )
 O["a08_markdown_with_posting"] = (
     f"{MATCH}, one AS (SELECT * FROM report QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY posting_id) = 1) "
-    "SELECT d.doc_id, CASE WHEN coverage IS NULL THEN '' ELSE 'Has ' || coverage || '% of the key terms and ' || skill_coverage || '% of the named tools; not part of the score.' || "
+    "SELECT d.doc_id, CASE WHEN coverage IS NULL THEN '' ELSE 'Has ' || coverage || '% of the terms mined from the posting and ' || skill_coverage || '% of its tools; this does not move the score.' || "
     "CASE WHEN matched <> '' THEN chr(10) || '**Present:** ' || matched ELSE '' END || CASE WHEN missing <> '' THEN chr(10) || '**Absent:** ' || missing ELSE '' END END AS posting_part "
     "FROM docs d LEFT JOIN one ON one.doc_id = d.doc_id"
 )
