@@ -278,7 +278,7 @@ def f05_passed_of_scored(spark, sf):
 
 @register
 def f06_todo_per_category(spark, sf):
-    return sc.todo_per_category(sc.check_results(scored(spark, sf)))
+    return sc.todo_per_category(scored(spark, sf))
 
 
 @register
@@ -363,10 +363,11 @@ def g08_first_section(spark, sf):
 
 @register
 def g10_filter_checks(spark, sf):
-    todo = scored(spark, sf).select("doc_id", sc.view_checks(c("checks"), "todo").alias("checks"))
-    return explode_rows(todo, ["doc_id"], "checks").groupBy("doc_id", "category").agg(
-        F.count(F.lit(1)).alias("n_visible")
-    )
+    def shown(view):
+        n = sc.per_category(sc.view_checks(c("checks"), view), lambda of: [F.size(of).cast("long").alias("n_visible")])
+        return F.transform(n, lambda r: F.struct(F.lit(view).alias("view"), r["category"].alias("category"), r["n_visible"].alias("n_visible")))
+
+    return explode_rows(scored(spark, sf), ["doc_id"], F.concat(*[shown(v) for v in ("all", "todo", "pass")]))
 
 
 @register

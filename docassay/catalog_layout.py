@@ -50,7 +50,7 @@ def headers(spark, sf):
     d = c("doc_id")
     return prose(spark, sf).select(
         "doc_id", F.when(d % 3 == 0, F.lit("asha@example.com")).otherwise(F.lit("page")).alias("header_text"),
-        (d % 3).cast("int").alias("media_count"),
+        (d % 3).cast("int").alias("media_count"), F.nullif(d % 4, F.lit(0)).cast("int").alias("page_count"),
     )
 
 

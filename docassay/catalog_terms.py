@@ -106,11 +106,7 @@ def e06_skills_demonstrated(spark, sf):
     from docassay.operators.rules import default_pack
 
     pack = RulePack([r for r in default_pack().rules if r.id == "skills.evidence"])
-    graded = decide(structured(spark, sf), pack).select("doc_id", "s_listed", "s_in_evidence")
-    listed = explode_values(graded, ["doc_id"], "s_listed", "term")
-    shown = explode_values(graded, ["doc_id"], "s_in_evidence", "term")
-    with_proof, without = mt.demonstrated(listed, shown)
-    return with_proof.withColumn("shown", F.lit(True)).unionByName(without.withColumn("shown", F.lit(False)))
+    return mt.demonstrated(decide(structured(spark, sf), pack))
 
 
 @register

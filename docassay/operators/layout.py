@@ -243,7 +243,10 @@ def lines_from_blocks(blocks: DataFrame) -> DataFrame:
 
 
 def block_documents(blocks: DataFrame, headers: DataFrame) -> DataFrame:
-    """Document contract of paragraph tables; ``headers`` is ``(doc_id, header_text, media_count)``."""
+    """Document contract of paragraph tables; ``headers`` is ``(doc_id, header_text, media_count, page_count)``.
+
+    A document whose page count is unknown has one page.
+    """
     lines = lines_from_blocks(blocks)
     ordered = F.array_sort(F.collect_list(F.struct("ord", "part", "text")))
     texts = lines.groupBy("doc_id").agg(
@@ -258,7 +261,7 @@ def block_documents(blocks: DataFrame, headers: DataFrame) -> DataFrame:
     df = pin(df, "text", tx.normalise_text(F.coalesce("raw", F.lit(""))))
     contact = java(lx.CONTACT_ANY)
     return df.select(
-        "doc_id", "text", F.lit("docx").alias("source_kind"), F.lit(1).alias("page_count"),
+        "doc_id", "text", F.lit("docx").alias("source_kind"), F.coalesce(F.col("page_count"), F.lit(1)).alias("page_count"),
         F.struct(
             tx.char_count(F.col("text")).cast("long").alias("text_density"),
             F.array().cast("array<int>").alias("image_only_pages"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from docassay.functions import text as tx
 from docassay.functions.phrasing import percent
-from docassay.functions.rows import explode_values, keep_where
+from docassay.functions.rows import explode_rows, explode_values, keep_where
 
 
 
@@ -140,10 +140,13 @@ def dict_match(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     return tokens.join(dictionary, "token")
 
 
-def demonstrated(listed: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Listed terms that do and do not appear in the evidence, both ``(doc_id, term)``."""
-    keys = ["doc_id", "term"]
-    return listed.join(evidence, keys, "left_semi"), listed.join(evidence, keys, "left_anti")
+def demonstrated(graded: DataFrame) -> DataFrame:
+    """``(doc_id, term, shown)``: the listed terms, and whether the evidence has them; within the row."""
+
+    def marked(terms: str, shown: bool) -> Column:
+        return F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(shown).alias("shown")))
+
+    return explode_rows(graded, ["doc_id"], F.concat(marked("s_shown", True), marked("s_unbacked", False)))
 
 
 def pair_up(docs: DataFrame, n_postings: int, per_doc: int = 5) -> DataFrame:

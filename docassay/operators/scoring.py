@@ -21,8 +21,8 @@ def band_id(score: Column) -> Column:
 
 
 def bands_table(spark) -> DataFrame:
-    """The four bands as a range table ``(band_id, low, high)``; ``high`` is exclusive."""
-    highs = [1_000_000] + [low for _, low in lx.BANDS[:-1]]
+    """The four bands as a range table ``(band_id, low, high)``; ``high`` is exclusive, and null in the top band."""
+    highs = [None] + [low for _, low in lx.BANDS[:-1]]
     rows = [(name, low, high) for (name, low), high in zip(lx.BANDS, highs)]
     return spark.createDataFrame(rows, "band_id string, low int, high int")
 
@@ -126,36 +126,46 @@ def category_scores(results: DataFrame) -> DataFrame:
     )
 
 
-def todo_per_category(results: DataFrame) -> DataFrame:
+def per_category(checks: Column, make) -> Column:
+    """One struct per category of ``checks``: its name and what ``make`` derives from its checks, within the row."""
+    names = F.array_distinct(F.transform(checks, lambda x: x["category"]))
+    return F.transform(names, lambda k: F.struct(k.alias("category"), *make(F.filter(checks, lambda x: x["category"] == k))))
+
+
+def todo_per_category(scored: DataFrame) -> DataFrame:
     """Open points per document and category, and whether the group starts open."""
-    return results.groupBy("doc_id", "category").agg(
-        F.count_if(needs_work(F.col("state"))).alias("n_todo"),
-        F.bool_or(needs_work(F.col("state"))).alias("is_open"),
-    )
+
+    def todo(of: Column) -> tuple[Column, Column]:
+        n = F.size(F.filter(of, lambda x: needs_work(x["state"]))).cast("long")
+        return n.alias("n_todo"), (n > 0).alias("is_open")
+
+    return explode_rows(scored, ["doc_id"], per_category(F.col("checks"), todo))
 
 
 def band_lookup(scored: DataFrame, bands: DataFrame) -> DataFrame:
     """Range-join form of :func:`band_id`; ``bands`` has four fixed rows."""
     s = F.col("score")
     return scored.drop("band_id").join(
-        F.broadcast(bands), (s >= F.col("low")) & (s < F.col("high")), "left"
+        F.broadcast(bands), (s >= F.col("low")) & (F.col("high").isNull() | (s < F.col("high"))), "left"
     ).drop("low", "high")
 
 
 def corpus_rollup(results: DataFrame, dims: list[str], how: str = "rollup") -> DataFrame:
     """How often each rule passes, warns or fails, and the points lost, by any dimensions.
 
-    ``how`` is ``rollup``, ``cube`` or ``group``. Few result rows and additive measures: the
-    map side reduces every partition before anything moves, so hot dimensions do not matter.
+    ``how`` is ``rollup``, ``cube`` or ``group``. All measures add up: the checks are counted once
+    per combination of the dimensions (combined map-side, so hot dimensions do not matter), and
+    only these counts are repeated for the upper levels.
     """
-    grouped = {"rollup": results.rollup, "cube": results.cube, "group": results.groupBy}[how](*dims)
-    level = [F.grouping_id().alias("level")] if how != "group" else [F.lit(0).alias("level")]
     state = F.col("state")
-    return grouped.agg(
-        *level,
+    base = results.groupBy(*dims).agg(
         F.count(F.lit(1)).alias("n_checks"),
         F.count_if(state == "pass").alias("n_pass"),
         F.count_if(state == "warn").alias("n_warn"),
         F.count_if(state == "fail").alias("n_fail"),
         F.sum(F.col("weight") - F.col("score")).alias("points_lost"),
     )
+    grouped = {"rollup": base.rollup, "cube": base.cube, "group": base.groupBy}[how](*dims)
+    level = [F.grouping_id().alias("level")] if how != "group" else [F.lit(0).alias("level")]
+    measures = ("n_checks", "n_pass", "n_warn", "n_fail", "points_lost")
+    return grouped.agg(*level, *[F.sum(m).alias(m) for m in measures])

@@ -119,7 +119,10 @@ O["g08_first_section"] = (
     f"{FACTS}, s AS (SELECT doc_id, list_filter(sections, lambda s: s.key = 'skills')[1] AS s FROM facts) "
     "SELECT doc_id, s.line_index::INT AS line_index, len(s.body)::INT AS n_body FROM s"
 )
-O["g10_filter_checks"] = f"{CHECKS} SELECT doc_id, category, count(*) AS n_visible FROM checks WHERE {_TODO} GROUP BY doc_id, category"
+O["g10_filter_checks"] = f"{CHECKS} " + " UNION ALL ".join(
+    f"SELECT doc_id, '{view}' AS view, category, count(*) AS n_visible FROM checks WHERE {test} GROUP BY doc_id, category"
+    for view, test in (("all", "true"), ("todo", _TODO), ("pass", "state = 'pass'"))
+)
 O["k07_tone"] = (
     f"{CHECKS} SELECT doc_id, category AS id, CASE WHEN {_PCT} >= 80 THEN 'good' WHEN {_PCT} >= 50 THEN 'warn' ELSE 'bad' END AS tone FROM checks GROUP BY doc_id, category"
 )

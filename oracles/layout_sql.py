@@ -73,7 +73,7 @@ btext AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY ord, part) AS raw, co
 bsum AS (SELECT doc_id, sum(CASE WHEN from_textbox THEN {fs.char_count('text')} ELSE 0 END) AS boxes, count(*) FILTER (is_table_row) AS trows FROM blocks GROUP BY doc_id),
 bd AS (SELECT doc_id, boxes, trows, coalesce(n, 0) AS n, coalesce({fs.normalise('raw')}, '') AS text,
   CASE WHEN doc_id % 3 = 0 THEN 'asha@example.com' ELSE 'page' END AS header_text FROM bsum LEFT JOIN btext USING (doc_id)),
-docx AS (SELECT doc_id, 'docx' AS source_kind, 1 AS page_count, text, {fs.char_count('text')} AS text_density, []::INT[] AS pages, trows > 0 AND trows >= n * 0.25 AS multi_column,
+docx AS (SELECT doc_id, 'docx' AS source_kind, CASE WHEN doc_id % 4 = 0 THEN 1 ELSE doc_id % 4 END::INT AS page_count, text, {fs.char_count('text')} AS text_density, []::INT[] AS pages, trows > 0 AND trows >= n * 0.25 AS multi_column,
   0.0::DOUBLE AS ratio, false AS broken, trows AS tabular, boxes, doc_id % 3 AS images,
   regexp_matches(header_text, {rx(lx.CONTACT_ANY)}) AND NOT regexp_matches(text, {rx(lx.CONTACT_ANY)}) AS header_only FROM bd)"""
 _OUT = (

@@ -62,8 +62,10 @@ def test_blocks(spark):
     )
     lines = [r.text for r in ly.lines_from_blocks(blocks).orderBy("ord", "part").collect()]
     assert lines == ["Title", "second", "• an item", "- marked", "x" * 61, "cell   cell"]
-    headers = spark.createDataFrame([("d", "me@example.com", 2)], "doc_id string, header_text string, media_count int")
-    meta = ly.block_documents(blocks, headers).first().meta
+    headers = spark.createDataFrame([("d", "me@example.com", 2, 3)], "doc_id string, header_text string, media_count int, page_count int")
+    row = ly.block_documents(blocks, headers).first()
+    meta = row.meta
+    assert row.page_count == 3
     assert (meta.text_box_chars, meta.tabular_rows, meta.image_count) == (61, 1, 2)
     assert meta.contact_in_header_only and not meta.multi_column
 
