@@ -58,6 +58,21 @@ def a01_read_corpus(spark, sf):
     )
 
 
+@register
+def a02_classify_files(spark, sf):
+    """Pages as files of many kinds, some empty and some over a limit of 4,000."""
+    from docassay.sources.intake import classify
+
+    ends = ["txt", "md", "rtf", "doc", "pages", "pdf", "docx", "bin", "PDF", "html"]
+    pages = read_corpus(spark, f"{sf}/pages.parquet", "page_id", "html", partitions=PARTS)
+    d = c("doc_id")
+    path = F.concat(F.lit("box/"), d.cast("string"), F.lit("."), F.element_at(F.array(*map(F.lit, ends)), (d % 10 + 1).cast("int")))
+    head = F.concat(F.when(d % 7 == 1, "%PDF").when(d % 7 == 2, "PK").otherwise(""), F.left("text", F.lit(8)))
+    files = pages.select("doc_id", path.alias("path"), F.when(d % 13 == 0, 0).otherwise(F.length("text")).alias("n"), F.encode(head, "UTF-8").alias("head"))
+    kind, reason = classify(c("path"), c("n"), c("head"), 4000)
+    return files.select("doc_id", kind.alias("kind"), reason.alias("reason"))
+
+
 @register
 def a03_split_rejects(spark, sf):
     from docassay.sources.intake import split_rejects
@@ -71,6 +86,17 @@ def a03_split_rejects(spark, sf):
     )
 
 
+@register
+def a04_strip_rtf(spark, sf):
+    """The documents as RTF bodies with escapes, breaks, a tab and a hidden group, read back as text."""
+    from docassay.sources.intake import strip_rtf
+
+    coded = F.replace(F.replace("text", F.lit("e"), F.lit("\\'e9")), F.lit("\n"), F.lit("\\par\n"))
+    body = F.concat(F.lit("{\\rtf1\\ansi{\\*\\generator own;}\\pard "), coded, F.lit("\\tab end\\line }"))
+    plain = prose(spark, sf).select("doc_id", strip_rtf(body).alias("plain"))
+    return plain.select("doc_id", F.md5("plain").alias("text_md5"), F.length("plain").alias("n"))
+
+
 @register
 def a05_min_length_gate(spark, sf):
     return min_length_gate(prose(spark, sf)).select("doc_id", F.length("text").alias("n"))

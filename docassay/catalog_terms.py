@@ -33,9 +33,14 @@ def postings(spark, sf):
     )
 
 
+def all_prose(spark, sf):
+    """Every document, whatever its length, taken as a posting."""
+    return prose(spark, sf).select(c("doc_id").alias("posting_id"), "text")
+
+
 def prose_postings(spark, sf):
     """Every document long enough, taken as a posting."""
-    return min_length_gate(prose(spark, sf)).select(c("doc_id").alias("posting_id"), "text")
+    return min_length_gate(all_prose(spark, sf))
 
 
 def mined(spark, sf):
@@ -111,12 +116,12 @@ def e06_skills_demonstrated(spark, sf):
 
 @register
 def f07_term_counts(spark, sf):
-    return tm.term_counts(tm.token_table(prose_postings(spark, sf)))
+    return tm.term_counts(tm.token_table(all_prose(spark, sf)))
 
 
 @register
 def f08_bigram_counts(spark, sf):
-    return tm.bigram_counts(tm.bigrams(prose_postings(spark, sf), STOP))
+    return tm.bigram_counts(tm.bigrams(all_prose(spark, sf), STOP))
 
 
 @register

@@ -11,6 +11,25 @@ PSEUDO = ["tion", "rewh", "orre", "thatin", "ononst", "inoran"]
 O: dict[str, str] = {}
 
 CLEAN = f"WITH d AS (SELECT doc_id, {fs.normalise('text')} AS text FROM documents)"
+_FILES = (
+    "WITH f AS (SELECT page_id AS doc_id, ['txt', 'md', 'rtf', 'doc', 'pages', 'pdf', 'docx', 'bin', 'pdf', 'html'][page_id % 10 + 1] AS ext, "
+    "CASE WHEN page_id % 13 = 0 THEN 0 ELSE length(html) END AS n, "
+    "CASE page_id % 7 WHEN 1 THEN '%PDF' WHEN 2 THEN 'PK' ELSE '' END || left(html, 8) AS head FROM pages), "
+    "k AS (SELECT doc_id, ext, n, CASE WHEN ext IN ('txt', 'md') THEN 'text' WHEN ext = 'rtf' THEN 'rtf' WHEN ext IN ('doc', 'pages') THEN NULL "
+    "WHEN ext = 'pdf' OR starts_with(head, '%PDF') THEN 'pdf' WHEN ext = 'docx' OR starts_with(head, 'PK') THEN 'docx' END AS kind FROM f), "
+    "r AS (SELECT *, CASE WHEN n = 0 THEN 'empty' WHEN n > 4000 THEN 'too_large' WHEN ext = 'doc' THEN 'old_word' WHEN ext = 'pages' THEN 'apple_pages' "
+    "WHEN kind IS NULL THEN 'unknown' END AS reason FROM k) "
+)
+O["a02_classify_files"] = f"{_FILES} SELECT doc_id, CASE WHEN reason IS NULL THEN kind END AS kind, reason FROM r"
+_RTF = r"""'{\rtf1\ansi{\*\generator own;}\pard ' || replace(replace(text, 'e', '\''e9'), chr(10), '\par' || chr(10)) || '\tab end\line }'"""
+_BYTES = r"""array_to_string(list_transform(string_split(raw, '\'''), lambda p, i: CASE WHEN i > 1 THEN chr(('0x' || p[1:2])::INT) || p[3:] ELSE p END), '')"""
+_BREAKS = r"""regexp_replace(regexp_replace(regexp_replace(t, '\\pard?\b', chr(10), 'g'), '\\line\b', chr(10), 'g'), '\\tab\b', '   ', 'g')"""
+_BARE = r"""regexp_replace(regexp_replace(t, '\{\\\*[^{}]*\}', '', 'g'), '\\[a-zA-Z]+-?[0-9]*\s?', '', 'g')"""
+O["a04_strip_rtf"] = (
+    f"WITH b AS (SELECT doc_id, {_RTF} AS raw FROM documents), d AS (SELECT doc_id, {_BYTES} AS t FROM b), e AS (SELECT doc_id, {_BREAKS} AS t FROM d), "
+    f"g AS (SELECT doc_id, {_BARE} AS t FROM e), p AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[{{}}]', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g') AS t FROM g) "
+    "SELECT doc_id, md5(t) AS text_md5, length(t)::INT AS n FROM p"
+)
 O["a01_read_corpus"] = (
     f"{CLEAN} SELECT doc_id, md5(text) AS text_md5, 'text' AS source_kind, NULL::VARCHAR AS file_name, "
     f"greatest(1, ceil(len(list_filter(string_split(text, chr(10)), lambda l: {fs.trim('l')} <> '')) / 46.0))::INT AS page_count, "

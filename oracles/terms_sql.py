@@ -49,12 +49,12 @@ def ranked(source: str) -> str:
 
 
 TERMS = f"{MINE}, terms AS (SELECT posting_id, rank::INT AS rank, term, cnt, is_skill FROM ({ranked('cands')}) WHERE rank <= 28)"
-ON_POSTS, ON_LONG = f"WITH {POSTS}, {MINE}", f"WITH {LONG}, {MINE}"
+ON_POSTS, ON_ALL = f"WITH {POSTS}, {MINE}", f"WITH posts AS (SELECT doc_id AS posting_id, text FROM documents), {MINE}"
 
 O["e03_stopword_filter"] = f"{ON_POSTS} SELECT posting_id, pos, token FROM toks WHERE NOT {among('token', STOP)}"
 O["e04_drop_phrase_parts"] = f"{ON_POSTS} SELECT posting_id, term, cnt FROM left_words"
-O["f07_term_counts"] = f"{ON_LONG} SELECT posting_id, token AS term, count(*) AS cnt FROM toks GROUP BY ALL"
-O["f08_bigram_counts"] = f"{ON_LONG} SELECT posting_id, term, cnt FROM gram_counts"
+O["f07_term_counts"] = f"{ON_ALL} SELECT posting_id, token AS term, count(*) AS cnt FROM toks GROUP BY ALL"
+O["f08_bigram_counts"] = f"{ON_ALL} SELECT posting_id, term, cnt FROM gram_counts"
 O["g02_top_terms"] = (
     f"{ON_POSTS}, u AS (SELECT * FROM words UNION ALL SELECT * FROM phrases) "
     f"SELECT posting_id, rank::INT AS rank, term, cnt, is_skill FROM ({ranked('u')}) WHERE rank <= 28"
