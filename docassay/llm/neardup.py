@@ -224,11 +224,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, register
     fewest = left.groupBy("key").agg(F.min("n").alias("fewest"))
     must = F.ceil(F.lit(least / (1 + least)) * (F.col("n") + F.greatest("fewest", F.col("n") * least)) - 1e-6)
     # The widest prefix that any of a text's buckets asks for serves all of them: one row a shingle.
-    widest = left.join(fewest, "key").groupBy("node", "part", "n", "core").agg(F.min("fewest").alias("fewest"))
+    widest = left.join(fewest, "key").groupBy("node", "part", "n").agg(F.min("fewest").alias("fewest"))
     rare = widest.join(ranked, "node").filter(F.col("place") <= F.col("n") - must + 1)
-    x, y = (rare.select("shingle", *[F.col(c).alias(c + side) for c in ("node", "part", "n", "core")]) for side in ("_a", "_b"))
-    both = F.least("core_a", "core_b")
-    fit = (F.col("node_a") < F.col("node_b")) & (F.col("part_a") != F.col("part_b")) & (both >= least * (F.greatest("n_a", "core_b") + F.greatest("n_b", "core_a") - both) - 1e-9)
+    x, y = (rare.select("shingle", *[F.col(c).alias(c + side) for c in ("node", "part", "n", "place")]) for side in ("_a", "_b"))
+    # All that two texts share comes, in both, no earlier than the first shingle that they share, so
+    # this bounds the intersection there; a text's own shingles come before all others.
+    both = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + 1
+    fit = (F.col("node_a") < F.col("node_b")) & (F.col("part_a") != F.col("part_b")) & (both >= least * (F.col("n_a") + F.col("n_b") - both) - 1e-9)
     more = x.join(y, "shingle").filter(fit).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(led, ["a", "b"], "left_anti")
     links = links.union(verified(stored(alike(more), "more-pairs"), "more-links"))
     roots = stored(components(links), "classes")

@@ -82,6 +82,30 @@ def test_near_duplicates_against_brute_force(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def classes_by_brute_force(texts):
+    words = [t.split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    root = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            old, new = max(root[a], root[b]), min(root[a], root[b])
+            root = [new if r == old else r for r in root]
+    return dict(enumerate(root))
+
+
+def test_near_duplicates_of_other_sizes_that_miss_their_leader(spark):
+    base, rng, texts = sentence(40, 600).split(), random.Random(8), []
+    for i in range(100):
+        words = list(base)
+        for at in range(10, 600, 20):  # others hold either form, so no shingle is a text's own
+            form = rng.choice("ab")
+            words[at : at + 4] = [form + str(j) for j in range(at, at + 4)]
+        texts += [" ".join(words), " ".join(words[: 495 + i % 20])]
+    want = classes_by_brute_force(texts)
+    assert len(set(want.values())) > 20
+    assert {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(documents(spark, texts)).collect()} == want
+
+
 def test_personal_data_against_plain_patterns():
     rng = random.Random(4)
     pieces = ["a@b.c", "x@y", "@", ".", "+1 (743) 555-3824", "4111 1111 1111 1111", "4111111111111112", "1.2.3.4", "256.1.1.1", "0001.2.3.4.5.6.7.8", " ", "a", "-", "\n", "+", "é", "9" * 30]
