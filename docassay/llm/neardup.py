@@ -2,9 +2,9 @@
 
 Each distinct shingle of a text starts a Poisson process whose rate is its weight; arrivals go to
 random registers, the earliest arrival wins a register, and a shingle's process ends as soon as it is
-later than every register. Two texts agree in a register with the probability Jaccard of their
-weights. Texts that agree in a whole band of registers are candidates; candidates are verified on
-their shingle sets.
+later than every register. All weights are 1, however often a text repeats a shingle, so two texts
+agree in a register with the Jaccard similarity of their shingle sets, by which candidates are also
+verified. Texts that agree in a whole band of registers are candidates.
 
 Copies of a text count once. Within a bucket of a band, every text is first compared with one
 leader only; what is connected then needs no further comparison. Texts of one bucket still in
@@ -63,8 +63,8 @@ def sketch(texts: list[str], size: int, registers: int, rows: int) -> dict[str,
     """Keys, numbers of shingles, band keys and one byte a register of each text."""
     words, doc = word_hashes(texts)
     one, two = text_keys(words, doc, len(texts))
-    values, owner, counts = distinct_counts(*shingles(words, doc, size))
-    won = signatures(values, 1.0 + np.log(counts), owner, len(texts), registers)
+    values, owner, _ = distinct_counts(*shingles(words, doc, size))
+    won = signatures(values, np.ones(len(values)), owner, len(texts), registers)
     bands = won.reshape(len(texts), registers // rows, rows)
     key = np.arange(registers // rows, dtype=np.uint64)[None, :] + np.zeros((len(texts), 1), np.uint64)
     for r in range(rows):

@@ -106,6 +106,16 @@ def test_near_duplicates_of_other_sizes_that_miss_their_leader(spark):
     assert {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(documents(spark, texts)).collect()} == want
 
 
+def test_near_duplicates_that_repeat_passages_unequally(spark):
+    texts = []
+    for i in range(12):
+        passage, rest = sentence(100 + i, 40), sentence(200 + i, 60)
+        texts += [passage + " " + rest, (passage + " ") * 200 + rest]
+    want = classes_by_brute_force(texts)
+    assert want == {i: i - i % 2 for i in range(24)}
+    assert {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(documents(spark, texts)).collect()} == want
+
+
 def test_personal_data_against_plain_patterns():
     rng = random.Random(4)
     pieces = ["a@b.c", "x@y", "@", ".", "+1 (743) 555-3824", "4111 1111 1111 1111", "4111111111111112", "1.2.3.4", "256.1.1.1", "0001.2.3.4.5.6.7.8", " ", "a", "-", "\n", "+", "é", "9" * 30]
