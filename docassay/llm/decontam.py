@@ -8,6 +8,8 @@ surroundings travel as word hashes, so no document text is shuffled or read twic
 
 from __future__ import annotations
 
+import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,11 +21,14 @@ from docassay.llm.common import spans_of, stored, table
 from docassay.llm.grams import mix, word_hashes
 
 #: 1: the word counts, 0: any word may stand there.
-MASKS = ("1101101011", "1110010111", "1011110101", "1111111000")
+#: In 13 words, any two of them replaced, one of these masks meets none of the two.
+MASKS = ("1111101001", "1110111100", "1101001111", "1001110111")
 #: Words of a window that must agree, but for a sixth of them.
 WINDOW = 13
-#: Shorter items, in words, cannot be told from common phrases and are not searched.
-LEAST_WORDS = 5
+#: Shorter items, in words, are not searched. Those of under 6 words are found as exact copies.
+LEAST_WORDS = 1
+#: Thai, Lao, Burmese, Khmer, kana and Han are written without blanks: each character is a word.
+_UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30fa\u30fc-\u312f\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])|[\u3000-\u3004\u3008-\u303f\u30fb\uff00-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
 #: Bits of the table of benchmark seeds: 4 MB, whatever the size of the benchmark.
 BITS = 1 << 25
 
@@ -38,10 +43,21 @@ def seeds(words: np.ndarray, mask: str, number: int) -> np.ndarray:
     return mix(acc)
 
 
-def masks_of(lengths: list[int], masks: tuple[str, ...]) -> list[str]:
-    """The masks, and for items shorter than the longest mask one over all their words."""
-    span = max(map(len, masks))
-    return list(masks) + ["1" * n for n in sorted(set(lengths)) if n < span]
+def own_masks(n: int) -> list[str]:
+    """Masks over all ``n`` words of a short item: parts, two more than words may be replaced, less any choice of so many."""
+    k = n // 6
+    cuts = [n * i // (k + 2) for i in range(k + 3)]
+    return ["".join(("0" if i in gone else "1") * (cuts[i + 1] - cuts[i]) for i in range(k + 2)) for gone in itertools.combinations(range(k + 2), k)]
+
+
+def masks_of(lengths: list[int], masks: tuple[str, ...], window: int = WINDOW) -> list[str]:
+    """The masks, and for items shorter than the window masks of their own."""
+    return list(masks) + [m for n in sorted(set(lengths)) if n < window for m in own_masks(n)]
+
+
+def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text number of every word; a character of a script without blanks is a word."""
+    return word_hashes([t if t.isascii() else _UNSPACED.sub(r" \1 ", t) for t in texts], "alnum")
 
 
 def slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +83,8 @@ def contaminated(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MAS
     """One row for each document and item that overlap: doc_id, item_id, doc_start, n_tokens, n_matched (in words).
 
     ``window`` consecutive words (all of a shorter item) must agree but for a sixth of them. Words
-    are runs of letters and digits, lower-cased. Null and empty texts have none; rows without doc_id
+    are runs of letters and digits, lower-cased, and single characters of scripts that are written
+    without blanks. Items of fewer than ``least`` words are not searched. Null and empty texts have none; rows without doc_id
     or item_id are left out, repeated rows count once. The longest overlap of a pair is reported.
     """
     spark = docs.sparkSession
@@ -76,16 +93,16 @@ def contaminated(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MAS
         for f in frames:
             rows = []
             for item, text in zip(f["item_id"], f["text"], strict=True):
-                words, _ = word_hashes([text], "alnum")
+                words, _ = words_of([text])
                 if len(words) >= least:
                     rows.append((item, len(words), words.tobytes()))
             yield pd.DataFrame(rows, columns=["item_id", "n", "words"])
 
     known = items.filter("item_id is not null and text is not null").select("item_id", "text").distinct()
     known = stored(known.mapInPandas(item_words, "item_id long, n long, words binary"), "items")
-    span = max(map(len, masks))
     longest = known.agg(F.max("n")).first()[0] or 0
-    every = masks_of([r[0] for r in known.filter(F.col("n") < span).select("n").distinct().collect()], masks)
+    every = masks_of([r[0] for r in known.filter(F.col("n") < window).select("n").distinct().collect()], masks, window)
+    span = max(map(len, every))
 
     def item_seeds(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -118,7 +135,7 @@ def contaminated(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MAS
         for f in frames:
             ids, texts = f["doc_id"].to_numpy(np.int64), f["text"].tolist()
             for a, b in spans_of([len(t) for t in texts]):
-                words, doc = word_hashes(texts[a:b], "alnum")
+                words, doc = words_of(texts[a:b])
                 found = []
                 for number, mask in enumerate(every):
                     h = seeds(words, mask, number)

@@ -185,6 +185,29 @@ def test_decontamination_tolerates_substitutions(spark):
     assert decontam.contaminated(documents(spark, texts).limit(0), items).count() == 0
 
 
+def test_decontamination_seeds_meet_every_allowed_substitution():
+    for n in range(1, 14):
+        masks = decontam.own_masks(n) if n < 13 else decontam.MASKS
+        counted = [{s + j for j, bit in enumerate(m) if bit == "1"} for m in masks for s in range(n - len(m) + 1)]
+        assert all(any(c.isdisjoint(gone) for c in counted) for gone in itertools.combinations(range(n), n // 6))
+
+
+def test_decontamination_of_short_and_unspaced_items(spark):
+    items, texts, want = [], [], set()
+    for n in (1, 4, 6, 8, 10, 12):
+        words = sentence(300 + n, n).split()
+        for i, gone in enumerate(itertools.combinations(range(n), n // 6)):
+            if i % 3 == 0:
+                want.add((len(texts), n))
+                texts.append("before it " + " ".join("qq" if j in gone else w for j, w in enumerate(words)) + " behind it")
+        items.append((n, " ".join(words)))
+    items += [(50, "".join(chr(0x4E00 + 37 * j) for j in range(20))), (51, sentence(351, 4))]
+    want.add((len(texts), 50))
+    texts += ["\u3042\u3044\u3002" + items[-2][1] + "\u3046\u3048", items[-1][1].replace(items[-1][1].split()[2], "qq")]
+    found = decontam.contaminated(documents(spark, texts), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == want
+
+
 def test_neighbours_recall_and_order(spark):
     rng = np.random.default_rng(3)
     v = rng.standard_normal((600, 16)).astype(np.float32)
