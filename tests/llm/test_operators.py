@@ -137,6 +137,15 @@ def test_personal_data_against_plain_patterns():
         assert pii.base_spans(t) == [(pii.KINDS[k], s, e) for s, k, e in sorted(want)]
 
 
+def test_personal_data_proposes_every_form_it_learns_from():
+    spans = [("email", "joe.b-x@mail3.example.com"), ("ip", "192.168.0.1"), ("ip", "10.20.3.254"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (743) 555-3824")]
+    for before, after in (("", ""), ("write to ", " today"), ("look at ", ". 3 more"), ("no. 5. ", ". We meet at 7")):
+        for kind, span in spans:
+            for other, good in (pii.altered(span, kind, turn) for turn in range(4)):
+                if good and (kind in ("email", "ip") or "." not in before + after):
+                    assert (kind, len(before), len(before) + len(other)) in pii.proposals(before + other + after)
+
+
 def test_personal_data_takes_spelt_out_forms(spark):
     texts = [f"write to me.{i}@mail{i % 9}.example.com or call +1 (743) 555-{3000 + i} from 10.0.{i % 250}.7 {i * 37} times" for i in range(400)]
     model, least = pii.learn(documents(spark, texts))
