@@ -146,6 +146,14 @@ def test_personal_data_proposes_every_form_it_learns_from():
                     assert (kind, len(before), len(before) + len(other)) in pii.proposals(before + other + after)
 
 
+def test_personal_data_bounds_are_parameters(spark):
+    few = documents(spark, [f"write to me.{i}@mail.example.com" for i in range(10)])
+    assert pii.learn(few)[0] is None and pii.learn(few, least_sample=10)[0] is not None
+    x, y = np.zeros((5, pii.N_FEATURES)), np.ones(5)
+    model = pii.Trees.grow(x, y)
+    assert np.isinf(pii.thresholds(model, x, y)[0]) and np.isfinite(pii.thresholds(model, x, y, 5)[0])
+
+
 def test_personal_data_takes_spelt_out_forms(spark):
     texts = [f"write to me.{i}@mail{i % 9}.example.com or call +1 (743) 555-{3000 + i} from 10.0.{i % 250}.7 {i * 37} times" for i in range(400)]
     model, least = pii.learn(documents(spark, texts))
