@@ -47,9 +47,13 @@ def mined(spark, sf):
     return tm.posting_terms(tm.mine_terms(postings(spark, sf), STOP, SKILLS))
 
 
+#: The request of the matching queries: each document with so many postings. It is their input, not a cut of a result.
+ASKED_POSTINGS = 5
+
+
 def pairs(spark, sf, docs):
     n = spark.read.parquet(f"{sf}/benchmark.parquet").count()
-    return mt.pair_up(docs, n)
+    return mt.pair_up(docs, n, per_doc=ASKED_POSTINGS)
 
 
 def matches(spark, sf):
@@ -73,6 +77,18 @@ def e02_dict_scan(spark, sf):
     return mt.doc_terms(docs, vocab)
 
 
+@register
+def e02_phrase_scan(spark, sf):
+    """Substrings: the skills, and three words of every posting from each of its first six places."""
+    from docassay.operators.substrings import phrase_scan
+
+    words = F.split(F.lower("text"), " ")
+    runs = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.array_join(F.slice(words, i, 3), " "))
+    items = read_corpus(spark, f"{sf}/benchmark.parquet", "item_id", "text", partitions=PARTS)
+    phrases = items.select(F.explode(runs).alias("phrase")).union(spark.createDataFrame([(t,) for t in lx.all_skills()], "phrase string"))
+    return phrase_scan(prose(spark, sf), phrases.filter("phrase <> ''"))
+
+
 @register
 def e03_stopword_filter(spark, sf):
     stop = spark.createDataFrame([(t,) for t in STOP], "token string")

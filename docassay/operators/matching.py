@@ -1,21 +1,25 @@
 """Match documents with postings on the terms the postings ask for.
 
-The containment test is an equi-join on the heads of the text's runs of ``[a-z0-9+#.]``: what
-stands before the first inner dot. A term that is a head itself is proven by the key. Other terms
-share the head of their first run with some run of the text; those few are verified on the text.
+A text is read as words of ``[a-z0-9+#]`` and the signs between them. A term of one or two words
+without outer signs stands in the text exactly when it equals a word, or two words with what is
+between them; a term of signs alone when it equals a part of a stretch of signs. These are keys that
+prove the term. Any other term is met word pair by word pair: its pairs are looked up in postings of
+(document, position), and it stands where all of them follow each other. So everything is an
+equi-join on short keys, and no text is ever moved.
 
 Only the pairs asked for are compared, so the result is as large as the request.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docassay.functions import text as tx
 from docassay.functions.phrasing import percent
-from docassay.functions.rows import explode_rows, explode_values, keep_where
-
+from docassay.functions.rows import explode_rows, explode_values, pin
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -33,56 +37,139 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def vocabulary(terms: DataFrame) -> DataFrame:
-    """Distinct ``term`` with its join key and whether a hit on the key is already proof."""
-    t = F.col("term")
-    first_run = F.regexp_extract(t, "[a-z0-9+#.]+", 0)
-    sure = t.rlike(tx.WHOLE_HEAD)
-    dots = first_run.rlike("^[.]*$")
-    return terms.select("term").distinct().select(
-        "term", sure.alias("sure"),
-        F.when(sure, t).when(dots, "").otherwise(tx.head_of(first_run)).alias("key"),
-    )
+WORD = "[a-z0-9+#]+"
+
 
+@dataclass(frozen=True)
+class Vocabulary:
+    """Terms by their join keys, and what a text must be cut into to meet them."""
 
-def doc_keys(docs: DataFrame) -> DataFrame:
-    """Distinct join keys of every document: the heads of its runs."""
-    keyed = docs.select("doc_id", F.array_distinct(tx.heads(F.lower("text"))).alias("heads"))
-    return explode_values(keyed, ["doc_id"], "heads", "key")
+    #: ``(key, placed, term, step, steps, lead, trail)``; a key that is not placed proves its term.
+    keys: DataFrame
+    #: Longest stretch of signs within a term; lengths of the terms of signs alone.
+    signs: int
+    sign_terms: tuple[int, ...]
+    #: Whether terms are to be met by position: single words with signs around them, word pairs.
+    words: bool
+    pairs: bool
 
 
-def doc_terms(docs: DataFrame, vocab: DataFrame) -> DataFrame:
-    """``(doc_id, term)`` for every vocabulary term that stands in a document.
+def vocabulary(terms: DataFrame) -> Vocabulary:
+    """Distinct terms with the keys that texts are joined on; an empty term stands nowhere.
 
-    Spark picks the join by the vocabulary's size in bytes; with a broadcast, documents never
-    move for terms that their key proves.
+    Reads the terms once for the few figures that the texts' side depends on. Only the lengths of
+    terms made of signs alone reach the driver.
     """
-    words = vocab.filter(F.col("key") != "")
-    # Read twice below and far smaller than the texts, so it is stored once.
-    hits = checkpoint(doc_keys(docs).join(words, "key").select("doc_id", "term", "sure"))
-    sure = hits.filter("sure").select("doc_id", "term")
-    maybe = hits.filter(~F.col("sure")).select("doc_id", "term")
-    return sure.unionByName(_verified(docs, maybe)).unionByName(_odd_terms(docs, vocab)).distinct()
+    t = F.col("term")
+    cut = terms.select("term").distinct().filter("term <> ''").select(
+        "term", F.regexp_extract_all(t, F.lit(WORD), F.lit(0)).alias("w"), F.split(t, WORD, -1).alias("s")
+    )
+    cut = cut.withColumns({"lead": F.get("s", F.lit(0)), "trail": F.element_at("s", -1), "n": F.size("w")})
+    outer = (F.col("lead") != "") | (F.col("trail") != "")
+    proof = (F.col("n") == 0) | ((F.col("n") <= 2) & ~outer)
+    steps = F.when(F.col("n") == 1, F.array(F.get("w", F.lit(0)))).otherwise(
+        F.transform(
+            tx.between(F.col("w"), F.lit(0), F.col("n") - 2),
+            lambda w, i: F.concat(w, F.get("s", i + 1), F.get("w", i + 1)),
+        )
+    )
+    placed = F.when(proof, F.array(t)).otherwise(steps)
+    keys = checkpoint(
+        cut.select(
+            "term", "lead", "trail", "n", (~proof).alias("placed"), F.array_max(F.transform("s", F.length)).alias("signs"),
+            F.posexplode(placed).alias("step", "key"), F.size(placed).alias("steps"),
+        )
+    )
+    by_place, alone = F.col("placed"), F.col("n") == 0
+    signs, words, pairs, lengths = keys.agg(
+        F.max("signs"), F.bool_or(by_place & (F.col("n") == 1)), F.bool_or(by_place & (F.col("n") > 1)),
+        F.collect_set(F.when(alone, F.length("term"))),
+    ).first()
+    return Vocabulary(
+        keys.select("key", "placed", "term", "step", "steps", "lead", "trail"), int(signs or 0), tuple(sorted(lengths)), bool(words), bool(pairs)
+    )
 
 
-def _verified(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Candidates whose term really stands in the text; only texts with a candidate are kept."""
-    escaped = F.regexp_replace("term", r"([^a-z0-9 ])", r"\\$1")
-    pattern = F.concat(F.lit("(^|[^a-z0-9+#.])"), escaped, F.lit("($|[^a-z0-9+#])"))
-    wanted = docs.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
-    both = candidates.join(wanted.select("doc_id", F.lower("text").alias("lower")), "doc_id")
-    proof = F.contains("lower", "term") & F.regexp_like("lower", pattern)
-    return keep_where(both, proof).select("doc_id", "term")
-
-
-def _odd_terms(docs: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Terms without a run other than dots (``-``, ``///``): joined on their first character."""
-    odd = vocab.filter(F.col("key") == "").select("term", F.left("term", F.lit(1)).alias("mark"))
-    marks = explode_values(
-        docs.select("doc_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[./-]"), F.lit(0))).alias("m")),
-        ["doc_id"], "m", "mark",
+def doc_keys(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """``(doc_id, key, place, left, right)``: what a text holds, cut as the vocabulary needs it.
+
+    ``place`` is -1 for keys that prove a term; these are distinct within a text. ``left`` and
+    ``right`` are the signs around a placed key, as many as a term can have and one character more;
+    a word beyond them counts as that character.
+    """
+    lower = F.lower("text")
+    cut = F.struct(F.regexp_extract_all(lower, F.lit(WORD), F.lit(0)).alias("w"), F.split(lower, WORD, -1).alias("s"))
+    df = pin(docs.select("doc_id", cut.alias("cut")), "cut", F.col("cut"))
+    w, s = F.col("cut.w"), F.col("cut.s")
+    after = lambda i: F.get(s, i + 1)
+    free = lambda i: ~F.endswith(F.get(s, i), F.lit("."))
+    followed = lambda i: (i < F.size(w) - 1) & (F.length(after(i)) <= vocab.signs)
+    pair = lambda word, i: F.concat(word, after(i), F.get(w, i + 1))
+    sure = [F.transform(w, lambda x, i: F.when(free(i), x)), F.transform(w, lambda x, i: F.when(free(i) & followed(i), pair(x, i)))]
+    if vocab.sign_terms:
+        sure.append(_sign_parts(s, vocab.sign_terms))
+    parts = [
+        F.transform(
+            F.array_distinct(F.array_compact(F.concat(*sure))),
+            lambda k: F.struct(k.alias("key"), F.lit(-1).alias("place"), F.lit("").alias("left"), F.lit("").alias("right")),
+        )
+    ]
+    left = lambda i: F.right(F.concat(F.when(i > 0, F.lit("w")).otherwise(F.lit("")), F.get(s, i)), F.lit(vocab.signs + 1))
+    right = lambda i: F.left(F.concat(after(i), F.when(i < F.size(w) - 1, F.lit("w")).otherwise(F.lit(""))), F.lit(vocab.signs + 1))
+    entry = lambda key, i, last: F.struct(key.alias("key"), i.alias("place"), left(i).alias("left"), right(last).alias("right"))
+    if vocab.words:
+        parts.append(F.transform(w, lambda x, i: entry(x, i, i)))
+    if vocab.pairs:
+        parts.append(F.filter(F.transform(w, lambda x, i: F.when(followed(i), entry(pair(x, i), i, i + 1))), lambda e: e.isNotNull()))
+    return explode_rows(df, ["doc_id"], F.concat(*parts) if len(parts) > 1 else parts[0])
+
+
+def _sign_parts(s: Column, lengths: tuple[int, ...]) -> Column:
+    """Parts of the text's stretches of signs, of the given lengths, that no word or left dot touches.
+
+    Of a stretch, its ends count as touched by a word unless they are the text's own ends.
+    """
+    last = F.size(s) - 1
+    ends = F.array_distinct(F.transform(s, lambda x, i: F.struct(x.alias("signs"), (i == 0).alias("opens"), (i == last).alias("ends"))))
+    # Characters become a field, so that they are split once a piece and not once for every part.
+    pieces = F.transform(
+        F.filter(ends, lambda p: p["signs"] != ""), lambda p: F.struct(F.split(p["signs"], "").alias("chars"), p["opens"].alias("opens"), p["ends"].alias("ends"))
     )
-    return _verified(docs, marks.join(odd, "mark").select("doc_id", "term"))
+
+    def parts(p: Column, length: int) -> Column:
+        chars = p["chars"]
+        count = F.size(chars) - length + 1
+        fits = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+
+        def at(o: Column) -> Column:
+            left = F.when(o == 0, p["opens"]).otherwise(F.get(chars, o - 1) != ".")
+            right = (o < count - 1) | p["ends"]
+            return F.when(left & right, F.concat(*[F.get(chars, o + j) for j in range(length)]))
+
+        return F.array_distinct(F.array_compact(F.transform(fits, at)))
+
+    return F.flatten(F.transform(pieces, lambda p: F.flatten(F.array(*[parts(p, n) for n in lengths]))))
+
+
+def doc_terms(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """``(doc_id, term)`` for every vocabulary term that stands in a document, as a whole.
+
+    Spark picks the join by the vocabulary's size in bytes; with a broadcast, documents' keys never
+    move. Null and empty texts hold no term but those that an empty text has room for, none.
+    """
+    found = doc_keys(docs, vocab).withColumn("placed", F.col("place") >= 0).join(vocab.keys, ["key", "placed"])
+    if not (vocab.words or vocab.pairs):
+        return found.select("doc_id", "term").distinct()
+    hits = checkpoint(found)  # read twice below, and small: only keys of the vocabulary
+    before = F.left("left", F.length("left") - F.length("lead"))
+    beyond = F.substr("right", F.length("trail") + 1)
+    starts = (F.col("step") > 0) | (F.endswith("left", F.col("lead")) & ~before.rlike(r"[a-z0-9+#.]\z"))
+    stops = (F.col("step") < F.col("steps") - 1) | (F.startswith("right", F.col("trail")) & ~beyond.rlike("^[a-z0-9+#]"))
+    rows = hits.filter(F.col("placed") & starts & stops)
+    met = rows.groupBy("doc_id", "term", (F.col("place") - F.col("step")).alias("start")).agg(
+        F.count("*").alias("n"), F.first("steps").alias("steps")
+    ).filter("n = steps")
+    return hits.filter("not placed").select("doc_id", "term").union(met.select("doc_id", "term")).distinct()
 
 
 def match_postings(docs: DataFrame, terms: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -94,9 +181,7 @@ def match_postings(docs: DataFrame, terms: DataFrame, pairs: DataFrame) -> DataF
     has no terms keeps one row, with a null term.
     """
     terms = checkpoint(terms)
-    vocab = checkpoint(vocabulary(terms))
-    asked = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
-    present = doc_terms(asked, vocab).withColumn("matched", F.lit(True))
+    present = doc_terms(docs, vocabulary(terms)).withColumn("matched", F.lit(True))
     wanted = pairs.join(terms, "posting_id", "left")
     return wanted.join(present, ["doc_id", "term"], "left").withColumn(
         "matched", F.coalesce("matched", F.lit(False))
@@ -149,7 +234,7 @@ def demonstrated(graded: DataFrame) -> DataFrame:
     return explode_rows(graded, ["doc_id"], F.concat(marked("s_shown", True), marked("s_unbacked", False)))
 
 
-def pair_up(docs: DataFrame, n_postings: int, per_doc: int = 5) -> DataFrame:
+def pair_up(docs: DataFrame, n_postings: int, per_doc: int) -> DataFrame:
     """A request table: each document with ``per_doc`` postings numbered from 0."""
     turns = F.sequence(F.lit(0), F.lit(min(per_doc, n_postings) - 1))
     step = max(1, n_postings // per_doc)

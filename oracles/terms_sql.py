@@ -98,6 +98,12 @@ O["e01_dict_match"] = (
 O["e02_dict_scan"] = (
     f"{DOCS}, l AS (SELECT doc_id, lower(text) AS lower FROM docs) SELECT doc_id, unnest({fs.terms('lower', lx.all_skills())}) AS term FROM l"
 )
+O["e02_phrase_scan"] = (
+    "WITH w AS (SELECT string_split(lower(text), ' ') AS w FROM benchmark), "
+    "p AS (SELECT array_to_string(w[i : i + 2], ' ') AS phrase FROM w, range(1, 7) r(i) "
+    f"UNION SELECT unnest([{', '.join(lit(t) for t in lx.all_skills())}])) "
+    "SELECT d.doc_id, p.phrase FROM documents d JOIN p ON p.phrase <> '' AND contains(lower(d.text), p.phrase)"
+)
 O["e06_skills_demonstrated"] = (
     f"{SIGNALS}, u AS (SELECT doc_id, in_evidence, unnest(listed) AS term FROM signals) "
     "SELECT doc_id, term, list_contains(in_evidence, term) AS shown FROM u"

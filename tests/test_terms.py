@@ -1,7 +1,10 @@
+import random
+
 from pyspark.sql import functions as F
 
 from docassay import lexicon as lx
 from docassay.operators import matching as mt, terms as tm
+from docassay.operators.substrings import phrase_scan
 from tests.samples import POSTING, STRONG, WEAK
 
 
@@ -79,3 +82,47 @@ def test_pairs_without_terms_stay(spark):
     pairs = spark.createDataFrame([(1, 0), (1, 9)], "doc_id long, posting_id long")
     got = {r.posting_id: (r.compared, r.n_terms, r.coverage, r.matched, r.missing) for r in mt.match_report(mt.match_postings(docs, terms, pairs)).collect()}
     assert got == {0: (True, 1, 100, "python", ""), 9: (False, 0, 0, "", "")}
+
+
+def test_terms_of_any_form_equal_the_regex_join(spark):
+    rng = random.Random(4)
+    bits = ["a", "b", "net", "c++", "x#", "1", ".", "..", "-", "/", " ", "  ", "é", "\n", ",", "İ", ""]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(150)] + [None, "", "." * 5000, "a" * 5000, "a.b-" * 2000]
+    asked = {"".join(rng.choice(bits[:12]) for _ in range(rng.randint(1, 6))) for _ in range(250)} | {"a b a", ".net", "net.", "a/b/net", "é", "- é"}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    terms = spark.createDataFrame([(0, i, t, 1, False) for i, t in enumerate(sorted(asked))], "posting_id long, rank int, term string, cnt int, is_skill boolean")
+    pairs = docs.select("doc_id", F.lit(0).cast("long").alias("posting_id"))
+    cols = ["doc_id", "term", "matched"]
+    got = {tuple(r) for r in mt.match_postings(docs, terms, pairs).select(cols).collect()}
+    want = {tuple(r) for r in mt.match_postings_naive(docs, terms, pairs).select(cols).collect()}
+    assert got == want and sum(m for _, _, m in got) > 500
+
+
+def test_matching_moves_no_text(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    vocab = mt.vocabulary(spark.createDataFrame([("machine learning",), (".net",), ("a b c",), ("//",)], "term string"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        keys = mt.doc_keys(docs, vocab).withColumn("placed", F.col("place") >= 0).join(vocab.keys, ["key", "placed"])
+        plan = keys._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = [line for line in plan.split("\n") if "Exchange" in line]
+    assert moved and "NestedLoop" not in plan and "Cartesian" not in plan
+    assert "text" not in "".join(line for line in plan.split("\n") if "Exchange" in line or "Project" in line and "cut" not in line)
+
+
+def test_phrase_scan_equals_contains(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    texts = [(r.doc_id, (r.text or "").lower()) for r in docs.collect()]
+    rng, phrases = random.Random(6), {"", "é", "the", "zzzzzz", "ABC", "é de", "\n"}
+    for _ in range(11_000):
+        t = rng.choice(texts)[1]
+        at, n = rng.randrange(max(1, len(t))), rng.randint(1, 24)
+        phrases.add("".join(rng.sample(t[at : at + n], len(t[at : at + n]))) if rng.random() < 0.3 else t[at : at + n])
+    table = spark.createDataFrame([(p,) for p in phrases] + [(None,)], "phrase string")
+    got = phrase_scan(docs, table, together=100)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert {tuple(r) for r in got.collect()} == {(i, p) for i, t in texts for p in phrases if p in t}
+    assert phrase_scan(docs, table.limit(0)).count() == 0 == phrase_scan(docs.limit(0), table).count()
