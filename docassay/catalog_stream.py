@@ -9,7 +9,7 @@ from docassay.catalog_terms import SKILLS, STOP, postings
 from docassay.operators import facts as fc, revisions as rv, scoring as sc, terms as tm
 from docassay.plans.score import reports, score_documents
 from docassay.sources import sinks
-from docassay.streaming import streams as st
+from docassay.streaming import stateful as sl, streams as st
 
 GAP_HOURS = 6
 
@@ -30,11 +30,9 @@ def j01_debounce_sessions(spark, sf):
 
 @register
 def j01_debounce_stream(spark, sf):
-    timed = ("user_id", "event_id", c("ts").cast("timestamp").alias("ts"), "value")
-    how = (["user_id"], "ts", "event_id", f"{GAP_HOURS} hours")
-    quiet = st.debounce_stream(st.table_stream(spark, sf, "events.parquet").select(*timed), *how, "1 hour")
-    emitted = st.run_available(quiet, st.work_folder(spark, "debounce"))
-    out = st.with_open_sessions(emitted, events(spark, sf).select(*timed), *how)
+    stream = st.table_stream(spark, sf, "events.parquet").select("user_id", "event_id", c("ts").cast("timestamp").alias("ts"), "value")
+    quiet = lambda s: sl.quiet_stream(s, ["user_id"], "ts", "event_id", GAP_HOURS * 3600, "1 hour")
+    out = sl.run_to_end(stream, st.work_folder(spark, "debounce"), "ts", quiet)
     return out.withColumn("ts", c("ts").cast("timestamp_ntz"))
 
 
@@ -60,9 +58,11 @@ def g09_score_delta(spark, sf):
 
 @register
 def j03_delta_stream(spark, sf):
-    stream = turns(st.table_stream(spark, sf, "conversations.parquet"))
-    scored = st.score_stream(stream, keep=("generation", "rev")).select("doc_id", "generation", "rev", "score")
-    return st.run_available(st.delta_stream(scored), st.work_folder(spark, "deltas"))
+    """A turn's number is its second of 2 January 1970; within a day of lateness no turn is late, whatever file it is in."""
+    stream = turns(st.table_stream(spark, sf, "conversations.parquet")).withColumn("ts", F.timestamp_seconds(c("rev") + 86400))
+    scored = st.score_stream(stream, keep=("generation", "rev", "ts")).select("doc_id", "generation", "rev", "score", "ts")
+    changes = lambda s: sl.change_stream(s, "ts", "1 day", keep_seconds=86400)
+    return sl.run_to_end(scored, st.work_folder(spark, "deltas"), "ts", changes)
 
 
 @register

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,52 +53,12 @@ def debounce_stream(events: DataFrame, keys: list[str], ts: str, order: str, gap
     return debounce_sessions(events.withWatermark(ts, late), keys, ts, order, gap)
 
 
-def with_open_sessions(
-    emitted: DataFrame, source: DataFrame, keys: list[str], ts: str, order: str, gap: str
-) -> DataFrame:
-    """At the end of a finite source: the emitted rows and those of the sessions still open.
-
-    Sessions of a key are emitted in order, so what is open starts after the last emitted row.
-    """
-    last = emitted.groupBy(*keys).agg(F.max(ts).alias("_last"))
-    rest = source.join(last, keys, "left").filter(F.col("_last").isNull() | (F.col(ts) > F.col("_last")))
-    return emitted.unionByName(debounce_sessions(rest.drop("_last"), keys, ts, order, gap))
-
-
 def score_stream(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Scores of a document stream: a projection, no state."""
     scored = score_documents(text_documents(docs), keep=keep)
     return scored.select("doc_id", *keep, "score", "total_score", "total_weight", "band_id")
 
 
-def _deltas(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(batches)).sort_values(["generation", "rev"], kind="stable")
-    last = state.get if state.exists else (None, None)
-    generation = rows["generation"].shift()
-    before = rows["score"].shift().astype("float64")
-    generation.iloc[0], before.iloc[0] = last[0], last[1]
-    delta = rows["score"] - before.where(generation == rows["generation"])
-    state.update((int(rows["generation"].iloc[-1]), int(rows["score"].iloc[-1])))
-    yield rows.assign(delta=delta.where(delta != 0).astype("Int32"))[
-        ["doc_id", "generation", "rev", "score", "delta"]
-    ]
-
-
-def delta_stream(scores: DataFrame) -> DataFrame:
-    """Change against the last score of the same document and generation, kept as keyed state.
-
-    Input ``(doc_id, generation, rev, score)``. A key's rows within one trigger are handled
-    together; ``maxFilesPerTrigger`` bounds them.
-    """
-    return scores.groupBy("doc_id").applyInPandasWithState(
-        _deltas,
-        "doc_id long, generation long, rev long, score int, delta int",
-        "generation long, score int",
-        "append",
-        "NoTimeout",
-    )
-
-
 def match_stream(docs: DataFrame, mined: DataFrame) -> DataFrame:
     """Coverage of each revision against its posting: a stream-static join, no state.
 

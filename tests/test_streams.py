@@ -1,10 +1,11 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
 from docassay.operators import revisions as rv
 from docassay.sources import intake
-from docassay.streaming import streams as st
+from docassay.streaming import stateful as sl, streams as st
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -31,17 +32,57 @@ def test_previous_crosses_blocks(spark):
     assert got == want
 
 
-def test_delta_stream_over_triggers(spark, tmp_path):
-    folder = str(tmp_path / "in")
-    rows = [[(1, 0, 0, 50), (1, 0, 1, 55)], [(1, 0, 2, 55), (2, 0, 0, 10)], [(1, 1, 0, 70), (2, 0, 1, 4)]]
-    for i, part in enumerate(rows):
-        df = spark.createDataFrame(part, "doc_id long, generation long, rev long, score int")
-        df.coalesce(1).write.mode("append").parquet(folder)
-    stream = st.table_stream(spark, folder, "*.parquet", files_per_batch=1)
-    out = st.run_available(st.delta_stream(stream), str(tmp_path / "out"))
-    batch = rv.score_delta(spark.createDataFrame([r for p in rows for r in p], "doc_id long, generation long, rev long, score int"))
+SCORES = "doc_id long, generation long, rev long, score int, ts timestamp"
+
+
+def write_parts(spark, folder, parts, schema):
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_changes_of_shuffled_revisions_equal_the_batch(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(d, r // 5, r, rng.randint(0, 9) * 10, T0 + dt.timedelta(seconds=r)) for d in range(4) for r in range(20)]
+    rng.shuffle(rows)
+    write_parts(spark, str(tmp_path / "in"), [rows[i::4] for i in range(4)], SCORES)
+    stream = st.table_stream(spark, str(tmp_path / "in"), "*.parquet", files_per_batch=1)
+    out = sl.run_to_end(stream, str(tmp_path / "out"), "ts", lambda s: sl.change_stream(s, "ts", "1 hour", 3600))
     cols = ["doc_id", "generation", "rev", "score", "delta"]
-    assert {tuple(r) for r in out.select(cols).collect()} == {tuple(r) for r in batch.select(cols).collect()}
+    want = rv.score_delta(spark.createDataFrame(rows, SCORES))
+    assert sorted(map(str, out.select(cols).collect())) == sorted(map(str, want.select(cols).collect()))
+
+
+def test_a_forgotten_score_leaves_no_state(spark, tmp_path):
+    later = [(1, 0, 0, 50, T0), (2, 0, 0, 10, T0)], [(3, 0, 0, 1, T0 + dt.timedelta(seconds=30))], [(3, 0, 1, 2, T0 + dt.timedelta(hours=9))], [(1, 0, 1, 60, T0 + dt.timedelta(hours=9))]
+    write_parts(spark, str(tmp_path / "in"), later, SCORES)
+    stream = st.table_stream(spark, str(tmp_path / "in"), "*.parquet", files_per_batch=1)
+    seen = []
+    with sl.state_store(spark):
+        query = sl.change_stream(stream, "ts", "1 second", 3600).writeStream.format("memory").queryName("forgotten").outputMode("append").option(
+            "checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        seen = [sum(int(v) for op in p.stateOperators for v in [op.numRowsTotal]) for p in query.recentProgress]
+    got = {(r.doc_id, r.rev): r.delta for r in spark.table("forgotten").collect()}
+    assert got == {(1, 0): None, (2, 0): None, (3, 0): None} and max(seen) > seen[-1]
+
+
+def test_quiet_periods_of_rows_out_of_order(spark, tmp_path):
+    times = [0, 400, 800, 1400, 1500, 2500, 2900, 2900, 9000]
+    rows = [(1, i, T0 + dt.timedelta(milliseconds=ms)) for i, ms in enumerate(times)]
+    parts = [[rows[2], rows[6]], [rows[0], rows[4], rows[7]], [rows[1], rows[5]], [rows[3], rows[8]]]
+    write_parts(spark, str(tmp_path / "in"), parts, "key long, rev long, ts timestamp")
+    stream = st.table_stream(spark, str(tmp_path / "in"), "*.parquet", files_per_batch=1)
+    out = sl.run_to_end(stream, str(tmp_path / "out"), "ts", lambda s: sl.quiet_stream(s, ["key"], "ts", "rev", 0.5, "1 minute"))
+    want = rv.debounce(spark.createDataFrame(rows, "key long, rev long, ts timestamp"), ["key"], "ts", "rev", 0.5)
+    assert sorted(r.rev for r in out.collect()) == sorted(r.rev for r in want.collect()) == [2, 4, 7, 8]
+
+
+def test_quiet_stream_drops_rows_behind_the_watermark(spark, tmp_path):
+    parts = [[(1, i, T0 + dt.timedelta(milliseconds=ms)) for i, ms in enumerate(part)] for part in ([0, 100, 60_000], [120_000], [200, 180_000])]
+    write_parts(spark, str(tmp_path / "in"), parts, "key long, rev long, ts timestamp")
+    stream = st.table_stream(spark, str(tmp_path / "in"), "*.parquet", files_per_batch=1)
+    out = sl.run_to_end(stream, str(tmp_path / "out"), "ts", lambda s: sl.quiet_stream(s, ["key"], "ts", "rev", 0.5, "1 second"))
+    assert {r.ts for r in out.collect()} == {T0 + dt.timedelta(milliseconds=m) for m in (100, 60_000, 120_000, 180_000)}
 
 
 def test_late_rows_are_dropped(spark, tmp_path):
