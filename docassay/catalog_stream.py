@@ -32,7 +32,7 @@ def j01_debounce_sessions(spark, sf):
 def j01_debounce_stream(spark, sf):
     stream = st.table_stream(spark, sf, "events.parquet").select("user_id", "event_id", c("ts").cast("timestamp").alias("ts"), "value")
     quiet = lambda s: sl.quiet_stream(s, ["user_id"], "ts", "event_id", GAP_HOURS * 3600, "1 hour")
-    out = sl.run_to_end(stream, st.work_folder(spark, "debounce"), "ts", quiet)
+    out = sl.run_to_end([(stream, "ts")], st.work_folder(spark, "debounce"), quiet)
     return out.withColumn("ts", c("ts").cast("timestamp_ntz"))
 
 
@@ -62,7 +62,7 @@ def j03_delta_stream(spark, sf):
     stream = turns(st.table_stream(spark, sf, "conversations.parquet")).withColumn("ts", F.timestamp_seconds(c("rev") + 86400))
     scored = st.score_stream(stream, keep=("generation", "rev", "ts")).select("doc_id", "generation", "rev", "score", "ts")
     changes = lambda s: sl.change_stream(s, "ts", "1 day", keep_seconds=86400)
-    return sl.run_to_end(scored, st.work_folder(spark, "deltas"), "ts", changes)
+    return sl.run_to_end([(scored, "ts")], st.work_folder(spark, "deltas"), changes)
 
 
 @register
@@ -75,6 +75,19 @@ def j04_match_stream(spark, sf):
     return st.run_available(st.match_stream(stream, mined), st.work_folder(spark, "matches"))
 
 
+@register
+def j04_compare_stream(spark, sf):
+    """Every third turn, from the second on, asks for a comparison with another posting from then on."""
+    n = spark.read.parquet(f"{sf}/benchmark.parquet").count()
+    timed = st.table_stream(spark, sf, "conversations.parquet").select(
+        c("conv_id").alias("doc_id"), c("turn").alias("rev"), F.timestamp_seconds(c("turn") + 86400).alias("ts"), "text"
+    )
+    asked = timed.filter("rev % 3 = 1").select("doc_id", ((c("doc_id") + c("rev")) % n).alias("posting_id"), c("ts").alias("asked_at"))
+    mined = tm.mine_terms(postings(spark, sf), STOP, SKILLS)
+    build = lambda a, r: st.match_stream(sl.comparisons(a, r, "1 day", 86400), mined)
+    return sl.run_to_end([(asked, "asked_at"), (timed, "ts")], st.work_folder(spark, "compare"), build)
+
+
 @register
 def f02_flagship(spark, sf):
     return flagship(spark, sf)

@@ -135,6 +135,34 @@ class Changes(Held):
         return iter(out)
 
 
+class Asked(Held):
+    """Revisions with the posting asked for last, for ``keep`` milliseconds."""
+
+    LAST = StructType([StructField(n, LongType()) for n in ("posting_id", "expires")])
+
+    def __init__(self, schema: StructType, keep: int):
+        super().__init__(schema)
+        self.keep = keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.last = handle.getValueState("last", self.LAST)
+
+    def release(self, key, ready: list[Row], rest: list[Row], now: int, watermark: int) -> Iterator[Row]:
+        last, out, new = (self.last.get() if self.last.exists() else None), [], False
+        for r in sorted(ready, key=lambda r: (r["_at"], r["rev"] is not None, r["posting_id"] or 0, r["rev"] or 0)):
+            if r["rev"] is None:
+                last, new = (r["posting_id"], r["_at"] // 1000 + self.keep), True
+            elif last is not None and r["_at"] // 1000 <= last[1]:
+                out.append(Row("doc_id", "rev", "ts", "posting_id", "text")(key[0], r["rev"], r["ts"], last[0], r["text"]))
+        if last is not None and last[1] < max(now, watermark) and not any(r["_at"] // 1000 <= last[1] for r in rest):
+            self.last.clear()  # nothing it holds for can come any more
+        elif new:
+            self.last.update(last)
+            self.handle.registerTimer(last[1] + 1)
+        return iter(out)
+
+
 def quiet_stream(events: DataFrame, keys: list[str], ts: str, order: str, gap_seconds: float, late: str) -> DataFrame:
     """The last of ``events`` before every quiet period longer than ``gap_seconds``, when the watermark has passed it.
 
@@ -161,19 +189,40 @@ def change_stream(scores: DataFrame, ts: str, late: str, keep_seconds: int) -> D
     )
 
 
-def run_to_end(stream: DataFrame, path: str, ts: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """All results of ``build`` on a finite stream, also those that wait for the watermark at its end.
+def run_to_end(streams: list[tuple[DataFrame, str]], path: str, build: Callable[..., DataFrame]) -> DataFrame:
+    """All results of ``build(*streams)`` on finite streams, also those that wait for the watermark at the end.
 
-    The stream is joined by one of closing rows. After everything there is has been processed, one
-    row without a key and with the last possible time is put there and the same query goes on: its
-    watermark passes all timers, and nothing is read again. No rows can follow after that.
+    ``streams`` come with the names of their times. Each is joined by one of closing rows. After
+    everything there is has been processed, one row without a key and with the last possible time is
+    put into each of these and the same query goes on: its watermark passes everything that waits, and
+    nothing is read again. No rows can follow after that.
     """
-    spark, folder = stream.sparkSession, f"{path}/closing"
-    spark.createDataFrame([], stream.schema).write.parquet(folder)
-    closing = spark.readStream.schema(stream.schema).parquet(folder)
-    out = build(stream.union(closing))
+    spark, closed = streams[0][0].sparkSession, []
+    for i, (stream, _) in enumerate(streams):
+        spark.createDataFrame([], stream.schema).write.parquet(f"{path}/closing-{i}")
+        closed.append(stream.union(spark.readStream.schema(stream.schema).parquet(f"{path}/closing-{i}")))
+    out = build(*closed)
     with state_store(spark):
         run_available(out, path)
-        end = [F.lit("9999-01-01").cast("timestamp") if f.name == ts else F.lit(None).cast(f.dataType) for f in stream.schema]
-        spark.range(1).select(*[c.alias(f.name) for c, f in zip(end, stream.schema, strict=True)]).write.mode("append").parquet(folder)
+        for i, (stream, ts) in enumerate(streams):
+            end = [F.lit("9999-01-01").cast("timestamp") if f.name == ts else F.lit(None).cast(f.dataType) for f in stream.schema]
+            spark.range(1).select(*[c.alias(f.name) for c, f in zip(end, stream.schema, strict=True)]).write.mode("append").parquet(f"{path}/closing-{i}")
         return run_available(out, path)
+
+
+def comparisons(asked: DataFrame, revisions: DataFrame, late: str, lasts_seconds: int) -> DataFrame:
+    """``(doc_id, rev, ts, posting_id, text)``: every revision with the comparison asked for last before it.
+
+    ``asked`` is a stream ``(doc_id, posting_id, asked_at)``, ``revisions`` one of ``(doc_id, rev, ts,
+    text)``. A comparison holds for revisions of its time and later ones for ``lasts_seconds``, until
+    another is asked for; of two of one time that of the larger posting counts. Revisions without one
+    are left out. Both are held until the watermark of the slower stream, then a document needs one
+    comparison only, so state does not grow with the past.
+    """
+    a = asked.withWatermark("asked_at", late).select(
+        "doc_id", F.lit(None).cast("long").alias("rev"), F.col("asked_at").alias("ts"), "posting_id", F.lit(None).cast("string").alias("text")
+    )
+    r = revisions.withWatermark("ts", late).select("doc_id", "rev", "ts", F.lit(None).cast("long").alias("posting_id"), "text")
+    both = a.union(r)
+    timed = both.withColumns({"_at": F.unix_micros("ts"), "_due": F.floor(F.unix_micros("ts") / 1000) + 1})
+    return timed.groupBy("doc_id").transformWithState(Asked(timed.schema, lasts_seconds * 1000), both.schema, "append", "eventTime")

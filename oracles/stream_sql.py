@@ -31,6 +31,14 @@ O["j04_match_stream"] = (
     "SELECT doc_id, rev, posting_id, count(hit)::INT AS n_terms, (count(*) FILTER (hit))::INT AS n_matched, "
     "coalesce(floor((count(*) FILTER (hit))::DOUBLE / nullif(count(hit), 0)::DOUBLE * 100 + 0.5), 0)::INT AS coverage FROM m GROUP BY doc_id, rev, posting_id"
 )
+_ASKED = "(SELECT max(q.turn) FROM conversations q WHERE q.conv_id = c.conv_id AND q.turn <= c.turn AND q.turn % 3 = 1)"
+O["j04_compare_stream"] = (
+    f"WITH {POSTS}, {TERMS}, r AS (SELECT conv_id AS doc_id, turn AS rev, {_ASKED} AS asked, text FROM conversations c), "
+    "d AS (SELECT doc_id, rev, (doc_id + asked) % (SELECT count(*) FROM benchmark) AS posting_id, lower(text) AS lower FROM r WHERE asked IS NOT NULL), "
+    "m AS (SELECT d.doc_id, d.rev, d.posting_id, regexp_matches(d.lower, '(^|[^a-z0-9+#.])' || regexp_escape(t.term) || '($|[^a-z0-9+#])') AS hit FROM d LEFT JOIN terms t USING (posting_id)) "
+    "SELECT doc_id, rev, posting_id, count(hit)::INT AS n_terms, (count(*) FILTER (hit))::INT AS n_matched, "
+    "coalesce(floor((count(*) FILTER (hit))::DOUBLE / nullif(count(hit), 0)::DOUBLE * 100 + 0.5), 0)::INT AS coverage FROM m GROUP BY doc_id, rev, posting_id"
+)
 O["a07_report_tables"] = core_sql.ORACLES["f01_category_scores_long"]
 _slug = "regexp_replace(regexp_replace(lower(regexp_replace(coalesce(file_name, 'resume'), '[.][^.]+$', '')), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')"
 O["a09_report_file_name"] = f"{DOCS} SELECT doc_id, 'report-' || coalesce(nullif(left({_slug}, 48), ''), 'resume') || '-2024-05-06.md' AS name FROM docs"

@@ -46,7 +46,7 @@ def test_changes_of_shuffled_revisions_equal_the_batch(spark, tmp_path):
     rng.shuffle(rows)
     write_parts(spark, str(tmp_path / "in"), [rows[i::4] for i in range(4)], SCORES)
     stream = st.table_stream(spark, str(tmp_path / "in"), "*.parquet", files_per_batch=1)
-    out = sl.run_to_end(stream, str(tmp_path / "out"), "ts", lambda s: sl.change_stream(s, "ts", "1 hour", 3600))
+    out = sl.run_to_end([(stream, "ts")], str(tmp_path / "out"), lambda s: sl.change_stream(s, "ts", "1 hour", 3600))
     cols = ["doc_id", "generation", "rev", "score", "delta"]
     want = rv.score_delta(spark.createDataFrame(rows, SCORES))
     assert sorted(map(str, out.select(cols).collect())) == sorted(map(str, want.select(cols).collect()))
@@ -72,7 +72,7 @@ def test_quiet_periods_of_rows_out_of_order(spark, tmp_path):
     parts = [[rows[2], rows[6]], [rows[0], rows[4], rows[7]], [rows[1], rows[5]], [rows[3], rows[8]]]
     write_parts(spark, str(tmp_path / "in"), parts, "key long, rev long, ts timestamp")
     stream = st.table_stream(spark, str(tmp_path / "in"), "*.parquet", files_per_batch=1)
-    out = sl.run_to_end(stream, str(tmp_path / "out"), "ts", lambda s: sl.quiet_stream(s, ["key"], "ts", "rev", 0.5, "1 minute"))
+    out = sl.run_to_end([(stream, "ts")], str(tmp_path / "out"), lambda s: sl.quiet_stream(s, ["key"], "ts", "rev", 0.5, "1 minute"))
     want = rv.debounce(spark.createDataFrame(rows, "key long, rev long, ts timestamp"), ["key"], "ts", "rev", 0.5)
     assert sorted(r.rev for r in out.collect()) == sorted(r.rev for r in want.collect()) == [2, 4, 7, 8]
 
@@ -81,10 +81,21 @@ def test_quiet_stream_drops_rows_behind_the_watermark(spark, tmp_path):
     parts = [[(1, i, T0 + dt.timedelta(milliseconds=ms)) for i, ms in enumerate(part)] for part in ([0, 100, 60_000], [120_000], [200, 180_000])]
     write_parts(spark, str(tmp_path / "in"), parts, "key long, rev long, ts timestamp")
     stream = st.table_stream(spark, str(tmp_path / "in"), "*.parquet", files_per_batch=1)
-    out = sl.run_to_end(stream, str(tmp_path / "out"), "ts", lambda s: sl.quiet_stream(s, ["key"], "ts", "rev", 0.5, "1 second"))
+    out = sl.run_to_end([(stream, "ts")], str(tmp_path / "out"), lambda s: sl.quiet_stream(s, ["key"], "ts", "rev", 0.5, "1 second"))
     assert {r.ts for r in out.collect()} == {T0 + dt.timedelta(milliseconds=m) for m in (100, 60_000, 120_000, 180_000)}
 
 
+def test_a_comparison_holds_for_later_revisions_only(spark, tmp_path):
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    asked = [(1, 7, at(10)), (1, 8, at(20)), (1, 9, at(20)), (2, 7, at(0)), (3, 5, at(50))]
+    revisions = [(1, 0, at(5), "a"), (1, 1, at(10), "b"), (1, 2, at(19), "c"), (1, 3, at(20), "d"), (2, 0, at(1), "e"), (2, 1, at(90_000), "f"), (4, 0, at(9), "g"), (3, 0, at(49), "h")]
+    write_parts(spark, str(tmp_path / "a"), [asked[3:], asked[:3]], "doc_id long, posting_id long, asked_at timestamp")
+    write_parts(spark, str(tmp_path / "r"), [revisions[4:], revisions[:4]], "doc_id long, rev long, ts timestamp, text string")
+    a, r = (st.table_stream(spark, str(tmp_path / n), "*.parquet", files_per_batch=1) for n in "ar")
+    out = sl.run_to_end([(a, "asked_at"), (r, "ts")], str(tmp_path / "out"), lambda a, r: sl.comparisons(a, r, "2 days", 86400))
+    assert sorted((x.doc_id, x.rev, x.posting_id, x.text) for x in out.collect()) == [(1, 1, 7, "b"), (1, 2, 7, "c"), (1, 3, 9, "d"), (2, 0, 7, "e")]
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     folder = str(tmp_path / "in")
     for offsets in ([0, 100, 60_000], [120_000], [200, 180_000]):
