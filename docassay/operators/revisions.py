@@ -39,15 +39,20 @@ def debounce_sessions(events: DataFrame, keys: list[str], ts: str, order: str, g
 def previous(df: DataFrame, keys: list[str], order: str, value: str, name: str, width: int = 4096) -> DataFrame:
     """Add the value of the row before, in two levels.
 
-    Rows look back inside their block of ``width`` order numbers; only the first of a block
-    looks at the last value of the block before. A long history is spread over its blocks.
+    Rows look back inside their block of ``width`` order numbers. The first and last rows of the
+    blocks, which come out of that same exchange, then look back among each other, where the row
+    before a first one is the last one of the block before. So a long history is spread over its
+    blocks, at most two rows of a block meet the others', and ``df`` is computed once.
     """
-    blocked = df.withColumn("_block", F.floor(F.col(order) / width))
     inner = Window.partitionBy(*keys, "_block").orderBy(order)
-    edges = blocked.groupBy(*keys, "_block").agg(F.max_by(value, order).alias("_edge"))
-    edges = edges.withColumn("_edge", F.lag("_edge").over(Window.partitionBy(*keys).orderBy("_block")))
-    out = blocked.withColumn("_in", F.lag(value).over(inner)).join(edges, [*keys, "_block"])
-    return out.withColumn(name, F.coalesce("_in", "_edge")).drop("_block", "_in", "_edge")
+    marked = df.withColumn("_block", F.floor(F.col(order) / width)).withColumns(
+        {"_in": F.lag(value).over(inner), "_nth": F.row_number().over(inner), "_last": F.lead(F.lit(True), 1, False).over(inner)}
+    )
+    first, last = F.col("_nth") == 1, ~F.col("_last")
+    among = Window.partitionBy(*keys).orderBy(order)
+    edges = marked.filter(first | last).withColumn("_in", F.lag(value).over(among)).filter(first)
+    helpers = ("_block", "_nth", "_last")
+    return marked.filter(~first).union(edges).drop(*helpers).withColumnRenamed("_in", name)
 
 
 def change(score: Column, before: Column) -> Column:

@@ -38,31 +38,47 @@ def classify(path: Column, length: Column, head: Column, limit: int) -> tuple[Co
     return F.when(reason.isNull(), kind), reason
 
 
-def intake_files(spark: SparkSession, path: str, limit: int = lx.MAX_FILE_BYTES) -> DataFrame:
+SCHEMA = "path string, file_name string, length long, kind string, reason string, message string, content binary"
+
+
+def one_form(path: Column) -> Column:
+    """Spark's sources write ``file:/``, Hadoop's and inventories also ``file:///``."""
+    return F.regexp_replace(path, "^([a-z0-9]+):/+", "$1:/")
+
+
+def listed(spark: SparkSession, path: str, tasks: int = 64) -> DataFrame:
+    """``(path)`` of every file of a folder, those of length 0 among them, as rows of a scan.
+
+    Spark's own file sources leave files of length 0 out. Hadoop's input splits do not; only their
+    keys are read here, inside the JVM, no content and nothing through Python or the driver.
+    """
+    names = spark.sparkContext._jsc.binaryFiles(path, tasks).keys().rdd()
+    jvm = spark.sparkContext._jvm
+    frame = DataFrame(spark._jsparkSession.createDataset(names, jvm.org.apache.spark.sql.Encoders.STRING()).toDF(), spark)
+    return frame.select(one_form(F.col("value")).alias("path"))
+
+
+def intake_files(spark: SparkSession, path: str, limit: int = lx.MAX_FILE_BYTES, inventory: DataFrame | None = None) -> DataFrame:
     """``(path, file_name, length, kind, reason, message, content)``; rejects carry no content.
 
-    Spark's file sources skip files of length 0. They are taken from the listing Spark has made
-    for the scan, by anti join with the files that were read.
+    The length bound is pushed into the scan that reads content, so files beyond it are never opened;
+    their rows come from a scan of names and lengths. Files of length 0 come from ``inventory``
+    (``path, length``; object stores write such tables), by default from :func:`listed`.
     """
-    read = spark.read.format("binaryFile").load(path).select("path", "length", "content")
-    listed = spark.createDataFrame([(f,) for f in read.inputFiles()], "path string")
-    one_form = lambda p: F.regexp_replace(p, "^([a-z0-9]+):/+", "$1:/")
-    seen = spark.read.format("binaryFile").load(path).select(one_form("path").alias("path"))
-    empty = listed.select(one_form("path").alias("path")).join(seen, "path", "left_anti").select(
-        "path", F.lit(0).cast("long").alias("length"), F.lit(None).cast("binary").alias("content")
-    )
-    files = read.withColumn("path", one_form("path")).unionByName(empty)
+    source = spark.read.format("binaryFile").load(path)
+    no_content = F.lit(None).cast("binary").alias("content")
+    readable = source.filter(F.col("length") <= limit).select(one_form(F.col("path")).alias("path"), "length", "content")
+    beyond = source.filter(F.col("length") > limit).select(one_form(F.col("path")).alias("path"), "length", no_content)
+    if inventory is None:
+        empty = listed(spark, path).join(source.select(one_form(F.col("path")).alias("path")), "path", "left_anti")
+    else:
+        empty = inventory.filter("length = 0").select(one_form(F.col("path")).alias("path"))
+    files = readable.union(beyond).union(empty.select("path", F.lit(0).cast("long").alias("length"), no_content))
     kind, reason = classify(F.col("path"), F.col("length"), F.col("content"), limit)
-    out = files.select(
-        "path", F.regexp_extract("path", r"[^/]+\z", 0).alias("file_name"), "length",
-        kind.alias("kind"), reason.alias("reason"), "content",
-    )
     messages = F.create_map(*[F.lit(x) for kv in MESSAGES.items() for x in kv])
-    return out.withColumns(
-        {
-            "message": F.when(F.col("reason").isNotNull(), F.element_at(messages, F.col("reason"))),
-            "content": F.when(F.col("reason").isNull(), F.col("content")),
-        }
+    return files.select(
+        "path", F.regexp_extract("path", r"[^/]+\z", 0).alias("file_name"), "length", kind.alias("kind"), reason.alias("reason"),
+        F.when(reason.isNotNull(), F.element_at(messages, reason)).alias("message"), F.when(reason.isNull(), F.col("content")).alias("content"),
     )
 
 
@@ -95,9 +111,9 @@ def strip_rtf(raw: Column) -> Column:
 
 
 def text_files(intake: DataFrame) -> DataFrame:
-    """Readable text of the accepted ``text`` and ``rtf`` files, ready for scoring."""
+    """Readable text of the accepted ``text`` and ``rtf`` files, ready for scoring; the id is the SHA-256 of the path."""
     body = F.decode("content", "UTF-8")
     return intake.filter(F.col("kind").isin("text", "rtf")).select(
-        F.xxhash64("path").alias("doc_id"), "file_name",
+        F.sha2("path", 256).alias("doc_id"), "file_name",
         F.when(F.col("kind") == "rtf", strip_rtf(body)).otherwise(body).alias("text"),
     )

@@ -32,6 +32,18 @@ def test_previous_crosses_blocks(spark):
     assert got == want
 
 
+def test_previous_computes_its_input_once_and_spreads_one_history(spark, tmp_path):
+    path = str(tmp_path / "history")
+    spark.range(1_000_000).selectExpr("1L AS doc_id", "0L AS generation", "id AS rev", "cast(id * id % 97 AS int) AS score").write.parquet(path)
+    out = rv.score_delta(spark.read.parquet(path))
+    assert out.filter("delta <=> nullif(score - cast((rev - 1) * (rev - 1) % 97 AS int), 0) OR rev = 0").count() == 1_000_000
+    out.collect()[:1]
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") == 1 and "ReusedExchange" in plan and "Join" not in plan
+    blocks = spark.read.parquet(path).selectExpr("rev div 4096 AS b").groupBy("b").count()
+    assert blocks.count() == 245 and blocks.agg(F.max("count")).first()[0] == 4096
+
+
 SCORES = "doc_id long, generation long, rev long, score int, ts timestamp"
 
 
@@ -113,7 +125,12 @@ def test_intake(spark, tmp_path):
     }
     for name, body in files.items():
         (tmp_path / name).write_bytes(body)
-    rows = intake.intake_files(spark, str(tmp_path), limit=59)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 59)  # content of a longer file raises
+    try:
+        rows = spark.createDataFrame(intake.intake_files(spark, str(tmp_path), limit=59).collect(), intake.SCHEMA)
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert {r.file_name: r.length for r in rows.collect()} == {n: len(b) for n, b in files.items()}
     got = {r.file_name: r.kind or r.reason for r in rows.collect()}
     assert got == {
         "a.txt": "text", "b.md": "text", "c.rtf": "rtf", "d.doc": "old_word", "e.pages": "apple_pages", "f.pdf": "pdf", "g": "pdf",
@@ -124,3 +141,15 @@ def test_intake(spark, tmp_path):
     assert rejects.filter(F.col("message").isNull() | F.col("content").isNotNull()).count() == 0
     texts = {r.file_name: r.text for r in intake.text_files(rows).collect()}
     assert texts["c.rtf"] == "café\n next    end"
+    ids = [r.doc_id for r in intake.text_files(rows).collect()]
+    assert len(set(ids)) == len(ids) and all(len(i) == 64 for i in ids)
+
+
+def test_intake_of_a_folder_of_empty_files_and_with_an_inventory(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"")
+    (tmp_path / "b c#é.md").write_bytes(b"")
+    got = intake.intake_files(spark, str(tmp_path)).collect()
+    assert sorted((r.file_name, r.length, r.reason) for r in got) == [("a.txt", 0, "empty"), ("b c#é.md", 0, "empty")]
+    known = spark.createDataFrame([("s3:/x/z.txt", 0), ("s3:/x/y.txt", 5)], "path string, length long")
+    got = intake.intake_files(spark, str(tmp_path), inventory=known).collect()
+    assert [(r.file_name, r.reason) for r in got] == [("z.txt", "empty")]
