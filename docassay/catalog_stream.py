@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docassay.catalog import c, flagship, prose, register, structured
 from docassay.catalog_terms import SKILLS, STOP, postings
+from docassay.corpora import structured_documents
 from docassay.operators import facts as fc, revisions as rv, scoring as sc, terms as tm
 from docassay.plans.score import reports, score_documents
 from docassay.sources import sinks
@@ -101,6 +102,30 @@ def a07_report_tables(spark, sf):
     return sc.category_scores(stored)
 
 
+def streamed_reports(spark, sf):
+    """The folder with the report tables of the documents taken as a stream."""
+    path = st.work_folder(spark, "report-stream")
+    stream = st.table_stream(spark, sf, "documents.parquet").select("doc_id", "text").repartition(32)  # one small file
+    sinks.report_stream(score_documents(structured_documents(stream)), path).trigger(availableNow=True).start().awaitTermination()
+    return path
+
+
+@register
+def a07_report_stream(spark, sf):
+    return sc.category_scores(spark.read.parquet(f"{streamed_reports(spark, sf)}/check_results"))
+
+
+@register
+def a07_report_stream_actions(spark, sf):
+    return spark.read.parquet(f"{streamed_reports(spark, sf)}/actions").drop("batch")
+
+
+@register
+def a07_report_stream_reports(spark, sf):
+    stored = spark.read.parquet(f"{streamed_reports(spark, sf)}/reports")
+    return stored.select("doc_id", "score", "total_score", "total_weight", "band_id")
+
+
 @register
 def a08_report_markdown(spark, sf):
     text = sinks.report_markdown(reports(structured(spark, sf)))

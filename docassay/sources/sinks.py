@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from docassay import lexicon as lx
 from docassay.functions.phrasing import state_mark
@@ -21,6 +22,26 @@ def write_report_tables(reports: DataFrame, path: str) -> None:
     scoring.action_rows(stored).write.mode("overwrite").parquet(f"{path}/actions")
 
 
+def write_report_batch(reports: DataFrame, path: str, batch_id: int) -> None:
+    """One batch of ``reports`` as a partition ``batch`` of every table; writing it again replaces it.
+
+    The long tables are derived from the reports as stored, so they are of the same attempt.
+    """
+    spark, part = reports.sparkSession, f"batch={batch_id}"
+    reports.write.mode("overwrite").partitionBy("band_id").parquet(f"{path}/reports/{part}")
+    stored = spark.read.schema(reports.schema).option("basePath", f"{path}/reports/{part}").parquet(f"{path}/reports/{part}")
+    for name, rows in (("check_results", scoring.check_results), ("category_scores", scoring.category_rows), ("actions", scoring.action_rows)):
+        rows(stored).write.mode("overwrite").parquet(f"{path}/{name}/{part}")
+
+
+def report_stream(reports: DataFrame, path: str) -> DataStreamWriter:
+    """Writer of a stream of ``reports`` into the report tables, each batch exactly once.
+
+    A batch that a restart repeats has the same id and rows and takes the place of its first attempt.
+    """
+    return reports.writeStream.foreachBatch(lambda df, batch_id: write_report_batch(df, path, batch_id)).option("checkpointLocation", f"{path}/checkpoint")
+
+
 def _text(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 

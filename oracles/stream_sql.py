@@ -40,6 +40,9 @@ O["j04_compare_stream"] = (
     "coalesce(floor((count(*) FILTER (hit))::DOUBLE / nullif(count(hit), 0)::DOUBLE * 100 + 0.5), 0)::INT AS coverage FROM m GROUP BY doc_id, rev, posting_id"
 )
 O["a07_report_tables"] = core_sql.ORACLES["f01_category_scores_long"]
+O["a07_report_stream"] = core_sql.ORACLES["f01_category_scores_long"]
+O["a07_report_stream_actions"] = core_sql.ORACLES["g01_top_actions"]
+O["a07_report_stream_reports"] = f"{CHECKS} SELECT doc_id, score, total_score, total_weight, {BAND} AS band_id FROM scored"
 _slug = "regexp_replace(regexp_replace(lower(regexp_replace(coalesce(file_name, 'resume'), '[.][^.]+$', '')), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')"
 O["a09_report_file_name"] = f"{DOCS} SELECT doc_id, 'report-' || coalesce(nullif(left({_slug}, 48), ''), 'resume') || '-2024-05-06.md' AS name FROM docs"
 

@@ -4,7 +4,9 @@ import random
 from pyspark.sql import functions as F
 
 from docassay.operators import revisions as rv
-from docassay.sources import intake
+from docassay.operators.facts import text_documents
+from docassay.plans.score import score_documents
+from docassay.sources import intake, sinks
 from docassay.streaming import stateful as sl, streams as st
 
 T0 = dt.datetime(2024, 1, 1)
@@ -153,3 +155,31 @@ def test_intake_of_a_folder_of_empty_files_and_with_an_inventory(spark, tmp_path
     known = spark.createDataFrame([("s3:/x/z.txt", 0), ("s3:/x/y.txt", 5)], "path string, length long")
     got = intake.intake_files(spark, str(tmp_path), inventory=known).collect()
     assert [(r.file_name, r.reason) for r in got] == [("z.txt", "empty")]
+
+
+def test_a_repeated_batch_leaves_the_report_tables_unchanged(spark, sf, tmp_path):
+    docs = text_documents(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(12))
+    path, names = str(tmp_path), ("reports", "check_results", "category_scores", "actions")
+
+    def tables():
+        return {n: sorted(map(str, spark.read.parquet(f"{path}/{n}").collect())) for n in names}
+
+    first, second = score_documents(docs.filter("doc_id % 2 = 0")), score_documents(docs.filter("doc_id % 2 = 1"))
+    sinks.write_report_batch(first, path, 0)
+    sinks.write_report_batch(second, path, 1)
+    once = tables()
+    sinks.write_report_batch(second, path, 1)
+    sinks.write_report_batch(first, path, 0)
+    assert tables() == once and len(once["reports"]) == docs.count() and len(once["check_results"]) > len(once["actions"]) > 0
+
+
+def test_a_stream_of_reports_goes_on_after_a_restart(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(8)
+    for part in (0, 1):
+        docs.filter(F.col("doc_id") % 2 == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = st.table_stream(spark, str(tmp_path / "in"), "*.parquet")
+        sinks.report_stream(score_documents(text_documents(stream)), str(tmp_path / "out")).trigger(availableNow=True).start().awaitTermination()
+    stored = spark.read.parquet(str(tmp_path / "out" / "reports"))
+    want = score_documents(text_documents(docs))
+    assert sorted(map(tuple, stored.select("doc_id", "score").collect())) == sorted(map(tuple, want.select("doc_id", "score").collect()))
+    assert {r.batch for r in stored.select("batch").distinct().collect()} == {0, 1}
