@@ -88,7 +88,8 @@ class SortedArrays:
                 hits += np.bincount(np.concatenate(new), minlength=n)
                 fresh = np.flatnonzero((hits >= self.least) & ~done)
             done[fresh] = True
-            score[fresh] = self.vectors[fresh] @ query
+            # Summed row by row, the same way for every row: a matrix product's rounding depends on a row's place.
+            score[fresh] = np.add.reduce(self.vectors[fresh] * query, axis=1)
             score[fresh[self.ids[fresh] == own]] = -np.inf
             enough = np.count_nonzero(score > -np.inf) >= k
             if enough and 2 - 2 * np.partition(score, n - k)[n - k] / (self.top * size) <= radius * radius:

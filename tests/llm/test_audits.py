@@ -182,3 +182,18 @@ def test_the_automaton_is_minimal():
     one, two = Automaton([Rule("r", "(ab|cb)+x")]), Automaton([Rule("r", "([ac]b)+x")])
     assert len(one.marks) == len(two.marks)
     assert [m[:2] + m[2:] for m in one.matches([b"abcbx abx", b"cbx"])] == [(0, 0, 0, 5), (0, 0, 6, 9), (1, 0, 0, 3)]
+
+
+def test_equal_vectors_get_equal_scores_wherever_they_stand():
+    from docassay.llm import ann
+
+    rng = np.random.default_rng(3)
+    for n, dims in ((401, 64), (37, 100), (1000, 33)):
+        rows = rng.standard_normal((n, dims))
+        rows[-1] = rows[-3] = rows[5] = rows[0]
+        top = float(np.linalg.norm(rows, axis=1).max()) * 1.01
+        shard = ann.SortedArrays(np.arange(n), rows, *ann.SortedArrays.build(rows, top, 64), top)
+        ids, score = shard.nearest(rows[0] * 1.5, -1, 20)
+        of = dict(zip(ids.tolist(), score.tolist(), strict=True))
+        copies = [i for i in ids.tolist() if i in (0, 5, n - 3, n - 1)]
+        assert len({of[i] for i in copies}) == 1 and copies == [0, 5, n - 3, n - 1]
