@@ -8,7 +8,8 @@ from docassay.catalog import c, flagship, prose, register, structured
 from docassay.catalog_terms import SKILLS, STOP, postings
 from docassay.corpora import structured_documents
 from docassay.operators import facts as fc, revisions as rv, scoring as sc, terms as tm
-from docassay.plans.score import reports, score_documents
+from docassay.operators.rules import packs_from
+from docassay.plans.score import reports, score_documents, score_packs
 from docassay.sources import sinks
 from docassay.streaming import stateful as sl, streams as st
 
@@ -154,3 +155,11 @@ def a08_markdown_with_posting(spark, sf):
     text = sinks.report_markdown(joined)
     line = F.filter(F.split("markdown", "\n"), lambda x: x.startswith("Has ") | x.startswith("**Present") | x.startswith("**Absent"))
     return text.select("doc_id", F.array_join(line, "\n").alias("posting_part"))
+
+
+@register
+def l01_rule_packs(spark, sf):
+    """Three packs from a table of parameters, in one pass."""
+    rows = [("plain", None, None, None), ("strict", "cut", "impact.verbs.pass", 0.9), ("strict", "cut", "hygiene.length.most", 500.0), ("skills", "weight", "skills.named", 20.0), ("skills", "weight", "impact.metrics", 3.0)]
+    packs = packs_from(spark.createDataFrame(rows, "pack string, kind string, name string, value double"))
+    return score_packs(structured(spark, sf), packs).select("doc_id", "pack", "score", "total_score", "total_weight")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +46,7 @@ class Rule:
     weight: int
     branches: tuple[Branch, ...]
     emitted: Column | None = None
+    prefix: str = "b_"
 
     @property
     def category(self) -> str:
@@ -53,7 +54,21 @@ class Rule:
 
     @property
     def column(self) -> str:
-        return "b_" + self.id.replace(".", "_").replace("-", "_")
+        return self.prefix + self.id.replace(".", "_").replace("-", "_")
+
+    def weighing(self, weight: int) -> Rule:
+        """The rule with another weight; the scores of its branches keep their share of it, rounded half up."""
+
+        def scaled(score: int | str) -> int | str:
+            if isinstance(score, int):
+                return (2 * score * weight + self.weight) // (2 * self.weight)
+            return f"int(floor(double({score}) * {weight} / {self.weight} + 0.5D))"
+
+        if weight == self.weight:
+            return self
+        if self.weight == 0:
+            raise ValueError(f"rule {self.id} weighs nothing")
+        return replace(self, weight=weight, branches=tuple(replace(b, score=scaled(b.score)) for b in self.branches))
 
     def branch(self) -> Column:
         """1-based number of the branch that holds, null when the rule is left out."""
@@ -98,6 +113,16 @@ class RulePack:
         self.rules.append(rule)
         return self
 
+    def weighted(self, weights: dict[str, int]) -> RulePack:
+        """The pack with other weights for some rules, by their ids."""
+        if unknown := set(weights) - {r.id for r in self.rules}:
+            raise ValueError(f"no such rules: {sorted(unknown)}")
+        return RulePack([r.weighing(weights.get(r.id, r.weight)) for r in self.rules])
+
+    def apart(self, number: int) -> RulePack:
+        """The pack with columns of its own, to be evaluated beside others."""
+        return RulePack([replace(r, prefix=f"b{number}_") for r in self.rules])
+
     def categories(self) -> list[str]:
         present = {r.category for r in self.rules}
         known = [k for k in lx.CATEGORY_IDS if k in present]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docassay import lexicon as lx
@@ -13,6 +14,19 @@ from docassay.operators.rulepack import Branch, Rule, RulePack
 c = F.col
 
 
+#: Where the branches of the default pack part. Another pack may move any of them.
+CUTS: dict[str, float] = {
+    "parse.text.pass": 1200, "parse.text.warn": 400, "parse.order.right_share": 0.35,
+    "parse.containers.box_chars": 60, "parse.containers.table_rows": 6, "parse.shape.lines": 8,
+    "structure.sections.warn": 6, "structure.depth.pass": 6, "structure.depth.warn": 2, "structure.dates.pass": 2,
+    "structure.order.sections": 3, "impact.verbs.pass": 0.7, "impact.verbs.warn": 0.35, "impact.metrics.pass": 4,
+    "impact.metrics.warn": 1, "impact.pronouns.warn": 2, "impact.filler.warn": 2, "skills.named.pass": 8,
+    "skills.named.warn": 4, "skills.breadth.pass": 3, "skills.fluff.warn": 0.35, "skills.evidence.pass": 0.4,
+    "skills.evidence.warn": 0.2, "hygiene.personal.warn": 2, "hygiene.length.good": 300, "hygiene.length.least": 200,
+    "hygiene.length.most": 700, "hygiene.length.long": 900, "hygiene.spelling.warn": 2, "hygiene.caps.warn": 1,
+}
+
+
 def _n(array: str):
     return F.size(array)
 
@@ -42,7 +56,7 @@ _all = _late(F.col)
 excerpt, list_phrase, pluralise, thousands = map(_late, (ph.excerpt, ph.list_phrase, ph.pluralise, ph.thousands))
 
 
-def parse_rules() -> list[Rule]:
+def parse_rules(k: dict[str, float]) -> list[Rule]:
     meta = c("meta")
     pasted = c("source_kind") == "text"
     density = meta["text_density"]
@@ -52,9 +66,9 @@ def parse_rules() -> list[Rule]:
     blank_pages = F.size(meta["image_only_pages"])
     return [
         Rule("parse.text", "Text can be selected", 10, (
-            Branch("pass", 10, _text(thousands(density), " characters were read."), when=density >= 1200),
+            Branch("pass", 10, _text(thousands(density), " characters were read."), when=density >= k["parse.text.pass"]),
             Branch("warn", 5, _text("No more than ", thousands(density), " characters were read."),
-                   "Look for content locked into pictures and describe the work in more detail.", when=density >= 400),
+                   "Look for content locked into pictures and describe the work in more detail.", when=density >= k["parse.text.warn"]),
             Branch("fail", 0, _either(blank_pages > 0, _text(pluralise(blank_pages, "page"), " without any text."),
                                       "Hardly any text was found."),
                    "Pictures of text look empty to software. Export real text from the editor."),
@@ -63,7 +77,7 @@ def parse_rules() -> list[Rule]:
             Branch("info", 0, "Plain text carries no layout to judge.", "Submit the file itself to judge its layout.", when=pasted),
             Branch("fail", 0, "The page is set in two columns.", "Software reads across columns. Use one column from top to bottom.", when=columns),
             Branch("warn", 3, "Many rows begin on the right side.", "Side blocks may be read out of turn; keep the content in one column.",
-                   when=meta["right_column_ratio"] > 0.35),
+                   when=meta["right_column_ratio"] > k["parse.order.right_share"]),
             Branch("pass", 6, "One column, in order."),
         )),
         Rule("parse.fonts", "Characters decode", 3, (
@@ -76,9 +90,9 @@ def parse_rules() -> list[Rule]:
             Branch("info", 0, "Plain text has no boxes to judge.", when=pasted),
             Branch("fail", 0, _either(boxes > 60, _text(_num(boxes), " characters are inside text boxes."),
                                       "Table cells carry the layout."),
-                   "Boxes are often skipped. Use normal paragraphs.", when=(boxes > 60) | columns),
+                   "Boxes are often skipped. Use normal paragraphs.", when=(boxes > k["parse.containers.box_chars"]) | columns),
             Branch("warn", 2, _text(pluralise(meta["tabular_rows"], "row"), " look like a table."),
-                   "Software may mix up the cells of a table. Write them out as sentences.", when=meta["tabular_rows"] >= 6),
+                   "Software may mix up the cells of a table. Write them out as sentences.", when=meta["tabular_rows"] >= k["parse.containers.table_rows"]),
             Branch("pass", 4, "Nothing but plain paragraphs."),
         )),
         Rule("parse.images", "Pictures", 2, (
@@ -94,7 +108,7 @@ def parse_rules() -> list[Rule]:
         )),
         Rule("parse.shape", "Line structure", 3, (
             Branch("fail", 0, "Only a few lines are left.", "Line breaks went missing. Export again instead of copying."),
-        ), emitted=(c("word_count") > 0) & (_n("nonblank") < 8)),
+        ), emitted=(c("word_count") > 0) & (_n("nonblank") < k["parse.shape.lines"])),
     ]
 
 
@@ -107,7 +121,7 @@ GROUP_NAMES = {
 }
 
 
-def contact_rules() -> list[Rule]:
+def contact_rules(k: dict[str, float]) -> list[Rule]:
     email, phone = _n("s_emails") > 0, _n("s_phones") > 0
     first_email = F.get("s_emails", F.lit(0))
     links = c("s_links")
@@ -152,7 +166,7 @@ def contact_rules() -> list[Rule]:
     ]
 
 
-def structure_rules() -> list[Rule]:
+def structure_rules(k: dict[str, float]) -> list[Rule]:
     keys = c("section_keys")
     education, skills = F.array_contains(keys, "education"), F.array_contains(keys, "skills")
     evidence = c("s_has_evidence")
@@ -177,18 +191,18 @@ def structure_rules() -> list[Rule]:
         Rule("structure.sections", "Usual headings", 10, (
             Branch("pass", points, "Education, Skills and Projects or Experience have headings.", when=education & skills & evidence, evidence=headings),
             Branch("warn", points, _text("Not found: ", list_phrase(missing), "."), use_plain,
-                   when=c("s_points") >= 6),
+                   when=c("s_points") >= k["structure.sections.warn"]),
             Branch("fail", points, _text("Not found: ", list_phrase(missing), "."), use_plain),
         )),
         Rule("structure.depth", "Detail per entry", 5, (
-            Branch("pass", 5, _text(pluralise(detail, "list item"), " describe projects and experience."), when=detail >= 6),
+            Branch("pass", 5, _text(pluralise(detail, "list item"), " describe projects and experience."), when=detail >= k["structure.depth.pass"]),
             Branch("warn", 3, _text("Just ", pluralise(detail, "list item"), " for projects and experience."),
-                   "Give each entry two or three items: what, with which tools, to what end.", when=detail >= 2),
+                   "Give each entry two or three items: what, with which tools, to what end.", when=detail >= k["structure.depth.warn"]),
             Branch("fail", 0, "Projects are bare titles.", "Add two or three items below every title."),
         ), emitted=evidence),
         Rule("structure.dates", "Dated entries", 4, (
             Branch("pass", 4, _text(pluralise(_n("s_ranges"), "dated entry", "dated entries"), "."),
-                   when=_n("s_ranges") >= 2, evidence=_head("s_ranges", 3)),
+                   when=_n("s_ranges") >= k["structure.dates.pass"], evidence=_head("s_ranges", 3)),
             Branch("warn", 2, "Dates are given in part.", "Date every entry in one format.",
                    when=(_n("s_ranges") == 1) | (c("s_years") >= 2)),
             Branch("fail", 0, "No date ranges.", "Add month and year to every entry."),
@@ -197,7 +211,7 @@ def structure_rules() -> list[Rule]:
             Branch("fail", 0, _text("The section ", early, " comes before the work itself."), "Work first; private details last or not at all.",
                    when=F.coalesce(c("s_first_private") < c("s_first_evidence"), F.lit(False))),
             Branch("pass", 3, "The strongest sections lead."),
-        ), emitted=_n("sections") >= 3),
+        ), emitted=_n("sections") >= k["structure.order.sections"]),
         Rule("structure.name", "Name on line one", 3, (
             Branch("pass", 3, _text("Read as \"", first, "\"."), when=name_like, evidence=lambda: F.array(first)),
             Branch("warn", 1, "Line one does not look like a name.", "Begin with the name alone."),
@@ -205,7 +219,7 @@ def structure_rules() -> list[Rule]:
     ]
 
 
-def impact_rules() -> list[Rule]:
+def impact_rules(k: dict[str, float]) -> list[Rule]:
     n = _n("bullets")
     strong = _n("s_strong")
     share = strong.cast("double") / F.nullif(n.cast("double"), F.lit(0.0))
@@ -222,25 +236,25 @@ def impact_rules() -> list[Rule]:
     return [
         Rule("impact.verbs", "Items open with a verb", 9, (
             Branch("fail", 0, "There are no list items.", "Turn prose into items that start with what was done.", when=n == 0),
-            Branch("pass", 9, opened, when=share >= 0.7, evidence=some("s_strong", 2)),
-            Branch("warn", 5, opened, "Let the other items start with the action too.", when=share >= 0.35, evidence=some("s_duties", 2)),
+            Branch("pass", 9, opened, when=share >= k["impact.verbs.pass"], evidence=some("s_strong", 2)),
+            Branch("warn", 5, opened, "Let the other items start with the action too.", when=share >= k["impact.verbs.warn"], evidence=some("s_duties", 2)),
             Branch("fail", 0, opened, "Duties say little. Start with the action taken.", evidence=some("s_duties", 3)),
         )),
         Rule("impact.metrics", "Outcomes in numbers", 8, (
-            Branch("pass", 8, _text(pluralise(metrics, "figure"), " given."), when=metrics >= 4, evidence=trimmed_metrics(4)),
+            Branch("pass", 8, _text(pluralise(metrics, "figure"), " given."), when=metrics >= k["impact.metrics.pass"], evidence=trimmed_metrics(4)),
             Branch("warn", 4, _text("Just ", pluralise(metrics, "figure"), "."), "Put a figure into most items.",
-                   when=metrics >= 1, evidence=trimmed_metrics(3)),
+                   when=metrics >= k["impact.metrics.warn"], evidence=trimmed_metrics(3)),
             Branch("fail", 0, "No figures.", "Say how many, how much or how fast."),
         )),
         Rule("impact.pronouns", "No first person", 3, (
             Branch("pass", 3, "No first person.", when=said_i == 0),
-            Branch("warn", 2, _text(pluralise(said_i, "first-person word"), "."), "Leave the subject out.", when=said_i <= 2),
+            Branch("warn", 2, _text(pluralise(said_i, "first-person word"), "."), "Leave the subject out.", when=said_i <= k["impact.pronouns.warn"]),
             Branch("fail", 0, _text(pluralise(said_i, "first-person word"), "."), "Leave the subject out and start with the verb."),
         )),
         Rule("impact.filler", "No stock phrases", 5, (
             Branch("pass", 5, "No stock phrases.", when=filler == 0),
             Branch("warn", 3, _text("Stock phrases: ", list_phrase(c("s_filler")), "."), "Show it instead of saying it.",
-                   when=filler <= 2, evidence=_all("s_filler")),
+                   when=filler <= k["impact.filler.warn"], evidence=_all("s_filler")),
             Branch("fail", 0, _text(pluralise(filler, "stock phrase"), " such as ", list_phrase(c("s_filler"), 2), "."),
                    "Remove them and use the room for results.", evidence=_head("s_filler", 6)),
         )),
@@ -263,7 +277,7 @@ def impact_rules() -> list[Rule]:
     ]
 
 
-def skills_rules() -> list[Rule]:
+def skills_rules(k: dict[str, float]) -> list[Rule]:
     n = _n("s_terms")
     groups = lambda: F.transform("s_groups", lambda g: lookup(g, GROUP_NAMES))
     soft = _n("s_soft")
@@ -273,34 +287,34 @@ def skills_rules() -> list[Rule]:
     known = pluralise(n, "known skill")
     return [
         Rule("skills.named", "Concrete skills", 8, (
-            Branch("pass", 8, _text(known, "."), when=n >= 8, evidence=_head("s_terms", 8)),
+            Branch("pass", 8, _text(known, "."), when=n >= k["skills.named.pass"], evidence=_head("s_terms", 8)),
             Branch("warn", 5, _text(known, ": ", list_phrase(c("s_terms"), 4), "."), "Name every tool that was really used.",
-                   when=n >= 4, evidence=_all("s_terms")),
+                   when=n >= k["skills.named.warn"], evidence=_all("s_terms")),
             Branch("fail", 0, _either(n == 0, "No known skills.", _text("Just ", list_phrase(c("s_terms")), ".")),
                    "Name the exact tools people search for."),
         )),
         Rule("skills.breadth", "Range of skills", 3, (
-            Branch("pass", 3, _text("Spans ", list_phrase(groups), "."), when=F.size("s_groups") >= 3),
+            Branch("pass", 3, _text("Spans ", list_phrase(groups), "."), when=F.size("s_groups") >= k["skills.breadth.pass"]),
             Branch("warn", 1, _text("Stays within ", list_phrase(groups), "."), "Add the storage, versioning and hosting that were used."),
         ), emitted=n >= 3),
         Rule("skills.fluff", "No padding", 3, (
             Branch("pass", 3, "Only concrete skills.", when=soft == 0),
             Branch("warn", 2, _text("Padding: ", list_phrase(c("s_soft")), "."), "Nobody searches for these. Take them out.",
-                   when=ratio <= 0.35, evidence=_all("s_soft")),
+                   when=ratio <= k["skills.fluff.warn"], evidence=_all("s_soft")),
             Branch("fail", 0, _text(pluralise(soft, "soft entry", "soft entries"), " next to ", _num(n), " concrete ones."),
                    "Keep only what can be tested.", evidence=_head("s_soft", 6)),
         ), emitted=(soft > 0) | (n > 0)),
         Rule("skills.evidence", "Skills in use", 4, (
-            Branch("pass", 4, _text(_num(shown), " of ", _num(listed), " listed skills are used in the work described."), when=cover >= 0.4),
+            Branch("pass", 4, _text(_num(shown), " of ", _num(listed), " listed skills are used in the work described."), when=cover >= k["skills.evidence.pass"]),
             Branch("warn", 2, _text("Just ", _num(shown), " of ", _num(listed), " listed skills are used in the work described."),
-                   "Mention each tool where it was used.", when=cover >= 0.2, evidence=_head("s_unbacked", 6)),
+                   "Mention each tool where it was used.", when=cover >= k["skills.evidence.warn"], evidence=_head("s_unbacked", 6)),
             Branch("fail", 0, "Listed skills and described work do not meet.", "Mention each tool where it was used.",
                    evidence=_head("s_unbacked", 6)),
         ), emitted=(n >= 3) & c("s_skills_section").isNotNull() & (F.length("s_evidence_text") > 80)),
     ]
 
 
-def hygiene_rules() -> list[Rule]:
+def hygiene_rules(k: dict[str, float]) -> list[Rule]:
     personal, words = _n("s_personal"), c("word_count")
     pages = c("page_count")
     base = F.regexp_replace("file_name", r"[.][^.]+\z", "")
@@ -316,15 +330,15 @@ def hygiene_rules() -> list[Rule]:
         Rule("hygiene.personal", "No private details", 6, (
             Branch("pass", 6, "No private details.", when=personal == 0),
             Branch("warn", 3, _text("Private details: ", list_phrase(c("s_personal")), "."), "Take them out; nobody may ask for them.",
-                   when=personal <= 2, evidence=_all("s_personal")),
+                   when=personal <= k["hygiene.personal.warn"], evidence=_all("s_personal")),
             Branch("fail", 0, _text(pluralise(personal, "private detail"), " such as ", list_phrase(c("s_personal"), 3), "."),
                    "Take the whole block out and use the room for work.", evidence=_head("s_personal", 8)),
         )),
         Rule("hygiene.length", _text("Size: ", _num(words), " words"), 5, (
-            Branch("pass", 5, "A page or so.", when=words.between(300, 700)),
-            Branch("warn", 3, "Rather short.", "Add a project or more items; 300 to 700 words are good.", when=words.between(200, 299)),
-            Branch("warn", 3, "Rather long.", "Shorten towards 700 words.", when=words.between(701, 900)),
-            Branch("fail", 0, _text("No more than ", _num(words), " words."), "Too little to judge. Describe two or three projects.", when=words < 200),
+            Branch("pass", 5, "A page or so.", when=words.between(k["hygiene.length.good"], k["hygiene.length.most"])),
+            Branch("warn", 3, "Rather short.", "Add a project or more items; 300 to 700 words are good.", when=(words >= k["hygiene.length.least"]) & (words < k["hygiene.length.good"])),
+            Branch("warn", 3, "Rather long.", "Shorten towards 700 words.", when=(words > k["hygiene.length.most"]) & (words <= k["hygiene.length.long"])),
+            Branch("fail", 0, _text("No more than ", _num(words), " words."), "Too little to judge. Describe two or three projects.", when=words < k["hygiene.length.least"]),
             Branch("fail", 0, _text(_num(words), " words are too many."), "Shorten to one page."),
         )),
         Rule("hygiene.pages", _text("Pages: ", _num(pages)), 4, (
@@ -338,19 +352,36 @@ def hygiene_rules() -> list[Rule]:
         ), emitted=c("file_name").isNotNull() & (c("file_name") != "")),
         Rule("hygiene.spelling", "Spelling", 4, (
             Branch("pass", 4, "No known misspellings.", when=wrong == 0),
-            Branch("warn", 2, mistakes, "Correct these and read it once more.", when=wrong <= 2, evidence=notes),
+            Branch("warn", 2, mistakes, "Correct these and read it once more.", when=wrong <= k["hygiene.spelling.warn"], evidence=notes),
             Branch("fail", 0, mistakes, "Use a spell checker and a second reader.", evidence=lambda: F.slice(notes(), 1, 8)),
         )),
         Rule("hygiene.caps", "Normal case", 2, (
-            Branch("warn", 1, "One long line is in capitals.", "Keep capitals for short headings.", when=c("s_shouting") <= 1),
+            Branch("warn", 1, "One long line is in capitals.", "Keep capitals for short headings.", when=c("s_shouting") <= k["hygiene.caps.warn"]),
             Branch("fail", 0, _text(pluralise(c("s_shouting"), "long line"), " in capitals."), "Write body text in normal case."),
         ), emitted=c("s_shouting") > 0),
     ]
 
 
-def default_pack() -> RulePack:
+def default_pack(cuts: dict[str, float] | None = None, weights: dict[str, int] | None = None) -> RulePack:
+    """The 36 rules; ``cuts`` moves cut-offs of :data:`CUTS`, ``weights`` gives rules other weights."""
+    if unknown := set(cuts or {}) - set(CUTS):
+        raise ValueError(f"no such cut-offs: {sorted(unknown)}")
     pack = RulePack()
     for rules in (parse_rules, contact_rules, structure_rules, impact_rules, skills_rules, hygiene_rules):
-        for rule in rules():
+        for rule in rules(CUTS | (cuts or {})):
             pack.add(rule)
-    return pack
+    return pack.weighted(weights or {})
+
+
+def packs_from(parameters: DataFrame) -> dict[str, RulePack]:
+    """Variants of the default pack from a table ``(pack, kind, name, value)``, kind ``cut`` or ``weight``.
+
+    A pack of default values alone is a row with a null kind. The table is configuration and is read
+    by the driver; its values become constants of the scoring expressions.
+    """
+    found: dict[str, dict[str, dict[str, float]]] = {}
+    for r in parameters.collect():
+        own = found.setdefault(r["pack"], {"cut": {}, "weight": {}})
+        if r["kind"] is not None:
+            own[r["kind"]][r["name"]] = float(r["value"])
+    return {name: default_pack(v["cut"], {k: int(w) for k, w in v["weight"].items()}) for name, v in sorted(found.items())}

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docassay.functions.rows import pin
+from docassay.functions.rows import explode_rows, pin
 from docassay.operators import scoring
 from docassay.operators.facts import build_facts
 from docassay.operators.rulepack import RulePack
@@ -47,6 +47,19 @@ def score_documents(
     return scoring.with_scores(pin(graded, "categories", F.col("categories")))
 
 
+def score_packs(docs: DataFrame, packs: dict[str, RulePack], lists: dict | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, *keep, pack, categories, total_score, total_weight, score, band_id)``: every document by every pack.
+
+    Facts and signals are computed once; only branches and totals are each pack's own.
+    """
+    df, entries = add_signals(build_facts(docs), lists), []
+    for i, (name, pack) in enumerate(packs.items()):
+        own = pack.apart(i)
+        df = own.decide(df)
+        entries.append(F.struct(F.lit(name).alias("pack"), own.totals().alias("categories")))
+    return scoring.with_scores(explode_rows(df, ["doc_id", *keep], F.array(*entries)))
+
+
 def reports(docs: DataFrame, pack: RulePack | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Full reports with texts and the five most valuable actions."""
     scored = score_documents(docs, pack, texts=True, keep=keep)

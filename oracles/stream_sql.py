@@ -43,6 +43,19 @@ O["a07_report_tables"] = core_sql.ORACLES["f01_category_scores_long"]
 O["a07_report_stream"] = core_sql.ORACLES["f01_category_scores_long"]
 O["a07_report_stream_actions"] = core_sql.ORACLES["g01_top_actions"]
 O["a07_report_stream_reports"] = f"{CHECKS} SELECT doc_id, score, total_score, total_weight, {BAND} AS band_id FROM scored"
+_STRICT = CHECKS
+for _old, _new in ((">= 0.7", ">= 0.9"), ("BETWEEN 300 AND 700", "BETWEEN 300 AND 500")):
+    assert _old in _STRICT
+    _STRICT = _STRICT.replace(_old, _new)
+_NEW = "CASE id WHEN 'skills.named' THEN 20 WHEN 'impact.metrics' THEN 3 END"
+_OLD = "CASE id WHEN 'skills.named' THEN 8 WHEN 'impact.metrics' THEN 8 END"
+_HEAVY = f"h AS (SELECT doc_id, coalesce(floor(score * {_NEW} / ({_OLD})::DOUBLE + 0.5), score)::INT AS score, coalesce({_NEW}, weight)::INT AS weight FROM checks)"
+O["l01_rule_packs"] = (
+    f"SELECT * FROM ({CHECKS} SELECT doc_id, 'plain' AS pack, score, total_score, total_weight FROM scored) "
+    f"UNION ALL SELECT * FROM ({_STRICT} SELECT doc_id, 'strict' AS pack, score, total_score, total_weight FROM scored) "
+    f"UNION ALL SELECT * FROM ({CHECKS}, {_HEAVY} SELECT doc_id, 'skills' AS pack, coalesce(floor(sum(score)::DOUBLE / nullif(sum(weight)::DOUBLE, 0) * 100 + 0.5), 0)::INT AS score, "
+    "sum(score)::INT AS total_score, sum(weight)::INT AS total_weight FROM h GROUP BY doc_id)"
+)
 _slug = "regexp_replace(regexp_replace(lower(regexp_replace(coalesce(file_name, 'resume'), '[.][^.]+$', '')), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')"
 O["a09_report_file_name"] = f"{DOCS} SELECT doc_id, 'report-' || coalesce(nullif(left({_slug}, 48), ''), 'resume') || '-2024-05-06.md' AS name FROM docs"
 

@@ -124,3 +124,21 @@ def test_report_tables_and_markdown(spark, tmp_path, golden):
     assert spark.read.parquet(f"{tmp_path}/actions").count() == 5
     text = dict(sinks.report_markdown(full).collect())
     assert "**Score:** 49/100" in text[1] and text[1].count("- [ ]") == 9 and "Nothing is left" in text[2]
+
+
+def test_moved_cuts_and_weights(spark):
+    from docassay.operators.rules import CUTS, default_pack, packs_from
+    from docassay.plans.score import score_packs
+
+    docs = text_documents(spark.createDataFrame([(1, WEAK), (2, STRONG)], "doc_id long, text string"))
+    rows = [("plain", None, None, None), ("long", "cut", "hygiene.length.good", 5.0), ("long", "cut", "hygiene.length.least", 1.0), ("heavy", "weight", "hygiene.length", 50.0)]
+    packs = packs_from(spark.createDataFrame(rows, "pack string, kind string, name string, value double"))
+    got = {(r.doc_id, r.pack): r for r in score_packs(docs, packs).collect()}
+    plain = {r.doc_id: r.score for r in score_documents(docs).collect()}
+    assert {i: got[i, "plain"].score for i in (1, 2)} == plain and len(got) == 6
+    assert got[1, "long"].total_score == got[1, "plain"].total_score + 5 and got[1, "heavy"].total_weight == got[1, "plain"].total_weight + 45
+    assert got[1, "heavy"].total_score == got[1, "plain"].total_score
+    for bad in ({"cuts": {"no.such": 1}}, {"weights": {"no.such": 1}}):
+        with pytest.raises(ValueError):
+            default_pack(**bad)
+    assert set(CUTS) >= {"parse.text.pass", "hygiene.length.long"}
