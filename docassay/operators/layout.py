@@ -20,7 +20,6 @@ COLUMN_GAP = 0.14
 WORD_GAP = 0.8
 RIGHT_START = 0.55
 MIN_PAGE_CHARS = 120
-_CUT = "\x00"
 
 
 def anchored_groups(df: DataFrame, keys: list[str], value: str, tol: float) -> DataFrame:
@@ -78,39 +77,31 @@ def group_into_lines(fragments: DataFrame, tol: float = BASELINE_TOLERANCE) -> D
         ).alias("parts"),
     )
 
-    def glue(f: Column, i: Column) -> Column:
-        gap = f["x"] - F.get("parts", i - 1)["right"]
-        return (
-            F.when(i == 0, F.lit(""))
-            .when(gap > F.col("page_width") * COLUMN_GAP, F.lit(_CUT))
-            .when(gap > WORD_GAP, F.lit(" "))
-            .otherwise(F.lit(""))
-        )
-
-    rows = rows.withColumn("glued", F.transform("parts", lambda f, i: F.struct(glue(f, i).alias("glue"), i.alias("at"))))
-    rows = rows.withColumns(
-        {
-            "joined": F.array_join(
-                F.transform("glued", lambda g, i: F.concat(g["glue"], F.get("parts", i)["text"])), ""
+    def gap(f: Column, i: Column) -> Column:
+        return F.when(i > 0, f["x"] - F.get("parts", i - 1)["right"])
+
+    wide = F.col("page_width") * COLUMN_GAP
+    rows = rows.withColumn(
+        "pieces",
+        F.transform(
+            "parts",
+            lambda f, i: F.struct(
+                i.alias("at"), ((i == 0) | (gap(f, i) > wide)).alias("opens"),
+                F.concat(F.when((gap(f, i) > wide) | (gap(f, i) > WORD_GAP), F.lit(" ")).otherwise(F.lit("")), f["text"]).alias("text"),
             ),
-            "starts": F.transform(
-                F.filter("glued", lambda g: (g["at"] == 0) | (g["glue"] == _CUT)), lambda g: g["at"]
-            ),
-        }
-    )
-    rows = rows.withColumn("segments", F.split("joined", _CUT))
-    cluster = F.transform(
-        "starts",
-        lambda s, k: F.struct(
-            F.get("parts", s)["x"].alias("x"),
-            F.array_max(
-                tx.between(
-                    F.col("parts"), s, F.coalesce(F.get("starts", k + 1), F.size("parts")) - 1, lambda f: f["right"]
-                )
-            ).alias("right"),
-            count_words(F.get("segments", k)).alias("words"),
         ),
     )
+    rows = rows.withColumn("starts", F.transform(F.filter("pieces", lambda p: p["opens"]), lambda p: p["at"]))
+
+    def cluster(s: Column, k: Column) -> Column:
+        last = F.coalesce(F.get("starts", k + 1), F.size("parts")) - 1
+        words = F.array_join(tx.between(F.col("pieces"), s, last, lambda p: p["text"]), "")
+        return F.struct(
+            F.get("parts", s)["x"].alias("x"),
+            F.array_max(tx.between(F.col("parts"), s, last, lambda f: f["right"])).alias("right"),
+            count_words(words).alias("words"),
+        )
+
     sizes = F.array_sort(F.transform("parts", lambda f: f["size"]))
     return rows.select(
         *keys,
@@ -120,8 +111,8 @@ def group_into_lines(fragments: DataFrame, tol: float = BASELINE_TOLERANCE) -> D
         F.get("parts", F.lit(0))["x"].alias("x"),
         F.array_max(F.transform("parts", lambda f: f["right"])).alias("right"),
         F.element_at(sizes, F.floor(F.size("parts") / 2).cast("int") + 1).alias("size"),
-        tx.js_trim(F.regexp_replace("joined", f"(?:{WS}|{_CUT})+", " ")).alias("text"),
-        cluster.alias("clusters"),
+        tx.js_trim(F.regexp_replace(F.array_join(F.transform("pieces", lambda p: p["text"]), ""), WS + "+", " ")).alias("text"),
+        F.transform("starts", cluster).alias("clusters"),
     )
 
 

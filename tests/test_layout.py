@@ -80,3 +80,11 @@ def test_broken_glyphs(spark):
     rows = [("a" * 199 + "1",), ("1" * 120 + "a" * 80,), ("a" * 200 + "�",), ("1" * 199,)]
     got = [r.b for r in spark.createDataFrame(rows, "t string").select(ly.broken_glyphs(F.col("t")).alias("b")).collect()]
     assert got == [False, True, True, False]
+
+
+def test_a_text_may_hold_any_character(spark):
+    rows = [(1, 0, 600.0, 0, 10.0, 60.0, 700.0, 10.0, "a\x00b"), (1, 0, 600.0, 1, 300.0, 360.0, 700.0, 10.0, "c d"), (1, 0, 600.0, 2, 362.0, 380.0, 700.0, 10.0, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, page int, page_width double, ord int, x double, right double, y double, size double, text string")
+    line = ly.group_into_lines(df).first()
+    assert [(k["x"], k["right"], k["words"]) for k in line["clusters"]] == [(10.0, 60.0, 1), (300.0, 380.0, 3)]
+    assert line["text"] == "a\x00b c d e"
