@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The ASCII white space of the contracts: ``[\x20\x09-\x0D]``.
@@ -36,6 +36,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def first_by_hash(rows: DataFrame, n: int, group: str) -> DataFrame:
+    """``(doc_id, group)``: the ``n`` distinct pairs of each group that come first by a hash of doc_id.
+
+    Only rows below a bound on the hash are ordered. The bound follows from the group's number of rows
+    and is widened until enough distinct ids are below it, so some multiples of ``n`` meet in a task,
+    however large a group is. Groups must be few; rows without doc_id or group are left out.
+    """
+    rows = rows.filter(F.col("doc_id").isNotNull() & F.col(group).isNotNull()).select("doc_id", group, F.xxhash64("doc_id").alias("_h"))
+    counts = rows.groupBy(group).count().collect()
+    share = {g: min(1.0, 2 * n / c) for g, c in counts}
+    kind = rows.schema[group].dataType.simpleString()
+    while True:
+        bounds = rows.sparkSession.createDataFrame([(g, int(s * 2**64) - 2**63 if s < 1 else 2**63 - 1) for g, s in share.items()], f"`{group}` {kind}, _bound long")
+        below = rows.join(F.broadcast(bounds), group).filter("_h <= _bound").select("doc_id", group, "_h").distinct()
+        below = stored(below, "first-by-hash")
+        have = dict(below.groupBy(group).count().collect())
+        short = [g for g, s in share.items() if s < 1 and have.get(g, 0) < n]
+        if not short:
+            break
+        share.update({g: min(1.0, 4 * share[g]) for g in short})
+    first = Window.partitionBy(group).orderBy("_h", "doc_id")
+    return below.withColumn("_place", F.row_number().over(first)).filter(F.col("_place") <= n).select("doc_id", group)
+
+
 def spans_of(sizes: Sequence[int], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Index ranges whose sizes add up to about ``limit``; a larger single item is a range of its own."""
     start = total = 0

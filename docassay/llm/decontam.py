@@ -25,8 +25,8 @@ from docassay.llm.grams import mix, word_hashes
 MASKS = ("1111101001", "1110111100", "1101001111", "1001110111")
 #: Words of a window that must agree, but for a sixth of them.
 WINDOW = 13
-#: Shorter items, in words, are not searched. Those of under 6 words are found as exact copies.
-LEAST_WORDS = 1
+#: Of op8 and the pipeline: shorter items, in words, count only where they are a whole line, since their words are common.
+LEAST_WORDS = 5
 #: Thai, Lao, Burmese, Khmer, kana and Han are written without blanks: each character is a word.
 _UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30fa\u30fc-\u312f\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])|[\u3000-\u3004\u3008-\u303f\u30fb\uff00-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
 #: Bits of the table of benchmark seeds: 4 MB, whatever the size of the benchmark.
@@ -79,13 +79,15 @@ def overlap(text: np.ndarray, start: int, item: np.ndarray, shift: int, window:
     return first + at + shift, end - at, int(total[end] - total[at])
 
 
-def contaminated(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, window: int = WINDOW, least: int = LEAST_WORDS) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, window: int = WINDOW, least: int = 1) -> DataFrame:
     """One row for each document and item that overlap: doc_id, item_id, doc_start, n_tokens, n_matched (in words).
 
     ``window`` consecutive words (all of a shorter item) must agree but for a sixth of them. Words
     are runs of letters and digits, lower-cased, and single characters of scripts that are written
-    without blanks. Items of fewer than ``least`` words are not searched. Null and empty texts have none; rows without doc_id
-    or item_id are left out, repeated rows count once. The longest overlap of a pair is reported.
+    without blanks. Items of fewer than ``least`` words are found where they are all the words of a
+    line (lines end at \\n), as one that only quotes "the" is no copy. Null and empty texts and items
+    have none; rows without doc_id or item_id are left out, repeated rows count once. The longest
+    overlap of a pair is reported.
     """
     spark = docs.sparkSession
 
@@ -94,7 +96,7 @@ def contaminated(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MAS
             rows = []
             for item, text in zip(f["item_id"], f["text"], strict=True):
                 words, _ = words_of([text])
-                if len(words) >= least:
+                if len(words):
                     rows.append((item, len(words), words.tobytes()))
             yield pd.DataFrame(rows, columns=["item_id", "n", "words"])
 
@@ -135,7 +137,10 @@ def contaminated(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MAS
         for f in frames:
             ids, texts = f["doc_id"].to_numpy(np.int64), f["text"].tolist()
             for a, b in spans_of([len(t) for t in texts]):
-                words, doc = words_of(texts[a:b])
+                lines = [(i, line) for i, t in enumerate(texts[a:b]) for line in t.split("\n")]
+                words, line = words_of([t for _, t in lines])  # no word holds a line's end
+                doc = np.array([i for i, _ in lines], np.int64)[line]
+                edge = np.concatenate(([True], line[1:] != line[:-1], [True])) if len(line) else np.zeros(0, bool)
                 found = []
                 for number, mask in enumerate(every):
                     h = seeds(words, mask, number)
@@ -143,6 +148,8 @@ def contaminated(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MAS
                     at = np.flatnonzero(has(one))
                     at = at[has(two[at])]
                     at = at[doc[at] == doc[at + len(mask) - 1]]
+                    if len(mask) < least:
+                        at = at[edge[at] & edge[at + len(mask)] & (line[at] == line[at + len(mask) - 1])]
                     found.append((at, h[at]))
                 at, h = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
                 order = np.argsort(at, kind="stable")
@@ -166,7 +173,9 @@ def contaminated(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MAS
         "stretches",
     )
     hits = stretches.select("stretch", F.explode(F.arrays_zip("at", "seed")).alias("h")).select("stretch", F.col("h.at").alias("pos"), F.col("h.seed").alias("seed"))
-    met = hits.join(sown, "seed").select("stretch", "item_id", (F.col("pos") - F.col("at")).alias("shift")).distinct()
+    met = hits.join(sown, "seed").select("stretch", "item_id", (F.col("pos") - F.col("at")).alias("shift"))
+    # One row a stretch and item, so that a stretch travels once: its shifts are no more than its words and the item's.
+    met = met.groupBy("stretch", "item_id").agg(F.collect_set("shift").alias("shifts"))
     pairs = met.join(stretches.select("stretch", "doc_id", "start", "words"), "stretch").join(
         known.select("item_id", F.col("words").alias("item")), "item_id"
     )
@@ -174,10 +183,11 @@ def contaminated(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MAS
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
-            for doc, item_id, start, words, item, shift in zip(*(f[c] for c in ("doc_id", "item_id", "start", "words", "item", "shift")), strict=True):
-                found = overlap(np.frombuffer(words, np.uint64), start, np.frombuffer(item, np.uint64), shift, window)
-                if found:
-                    rows.append((doc, item_id, *found))
+            for doc, item_id, start, words, item, shifts in zip(*(f[c] for c in ("doc_id", "item_id", "start", "words", "item", "shifts")), strict=True):
+                text, own = np.frombuffer(words, np.uint64), np.frombuffer(item, np.uint64)
+                found = [x for shift in shifts if (x := overlap(text, start, own, int(shift), window))]
+                if found:  # most equal words, then the shortest, then the first
+                    rows.append((doc, item_id, *min(found, key=lambda x: (-x[2], x[1], x[0]))))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "doc_start", "n_tokens", "n_matched"])
 
     good = pairs.mapInPandas(verify, "doc_id long, item_id long, doc_start long, n_tokens long, n_matched long")
@@ -188,4 +198,4 @@ def contaminated(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MAS
 
 
 def op8_decontamination(spark, sf_dir):
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=LEAST_WORDS)

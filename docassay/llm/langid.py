@@ -13,10 +13,10 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docassay.llm.common import spans_of, table
+from docassay.llm.common import first_by_hash, spans_of, stored, table
 from docassay.llm.grams import mix
 from docassay.llm.subword import fold
 
@@ -89,11 +89,9 @@ def unit(v: np.ndarray) -> np.ndarray:
 
 
 def prototypes(docs: DataFrame, rows: int = ROWS, dims: int = DIMENSIONS) -> dict[str, np.ndarray]:
-    """Unit prototype of each lang of ``docs``, from at most ``rows`` texts of each."""
-    known = docs.filter("lang is not null and text is not null and doc_id is not null")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("place", F.row_number().over(first)).filter(F.col("place") <= rows)
-    chosen = chosen.select("doc_id", "lang").distinct()  # rows x languages at most
+    """Unit prototype of each lang of ``docs``, from at most ``rows`` texts of each. Of rows that share doc_id and lang the smallest text counts."""
+    known = docs.filter("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang", "text")
+    chosen = stored(first_by_hash(known, rows, "lang"), "language-sample")  # rows x languages at most
 
     def bundle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
@@ -105,7 +103,8 @@ def prototypes(docs: DataFrame, rows: int = ROWS, dims: int = DIMENSIONS) -> dic
         if total:
             yield pd.DataFrame({"lang": pd.Series(list(total), dtype=object), "v": [v.tobytes() for v in total.values()]})
 
-    parts = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).mapInPandas(bundle, "lang string, v binary").collect()
+    texts = known.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    parts = texts.mapInPandas(bundle, "lang string, v binary").collect()
     total: dict[str, np.ndarray] = {}
     for r in sorted(parts, key=lambda r: (r["lang"], r["v"])):
         total[r["lang"]] = total.get(r["lang"], 0) + np.frombuffer(r["v"])
