@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from docassay import lexicon as lx
 from docassay.functions import text as tx
 from docassay.functions.patterns import WS, java
-from docassay.functions.rows import pin
+from docassay.functions.rows import explode_rows, pin
 
 BASELINE_TOLERANCE = 2.6
 COLUMN_GAP = 0.14
@@ -22,12 +22,60 @@ RIGHT_START = 0.55
 MIN_PAGE_CHARS = 120
 
 
+def _halvings(n: Column) -> Column:
+    """One element for every halving that brings ``n`` to nothing."""
+    return F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(n, F.lit(1)))).cast("int"))
+
+
+def _first_where(n: Column, low: Column, holds) -> Column:
+    """Smallest position from ``low`` on at which ``holds`` is true (and stays true), ``n`` if there is none."""
+
+    def step(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        left = holds(mid)
+        narrowed = F.struct(
+            F.when(left, s["lo"]).otherwise(mid + 1).alias("lo"), F.when(left, mid).otherwise(s["hi"]).alias("hi")
+        )
+        return F.when(s["lo"] < s["hi"], narrowed).otherwise(s)
+
+    return F.aggregate(_halvings(n), F.struct(low.alias("lo"), n.alias("hi")), step, lambda s: s["lo"])
+
+
+def group_starts(values: Column, tol: float) -> Column:
+    """Positions of the first values of the groups of ``values`` (distinct, descending), in order.
+
+    Each value points at the first one more than ``tol`` below it. From the largest value, the starts
+    reached in up to 1, 2, 4, ... such steps are the known ones and those as many steps further on, so
+    a chain of n values takes n log n.
+    """
+    n = F.size(values)
+    points = F.transform(
+        F.sequence(F.lit(0), n - 1),
+        lambda i: _first_where(n, i + 1, lambda j: F.get(values, i) - F.get(values, j) > tol),
+    )
+
+    def double(s: Column, _: Column) -> Column:
+        further = F.transform(s["at"], lambda i: F.get(s["step"], i))
+        return F.struct(
+            F.concat(s["at"], F.filter(further, lambda i: i < n)).alias("at"),
+            F.transform(s["step"], lambda i: F.get(s["step"], i)).alias("step"),
+        )
+
+    start = F.struct(F.array(F.lit(0)).alias("at"), F.concat(points, F.array(n)).alias("step"))
+    return F.aggregate(_halvings(n), start, double, lambda s: s["at"])
+
+
+#: Runs up to this long are folded value by value, which is quadratic but has the smaller fixed cost.
+SHORT_RUN = 32
+
+
 def anchored_groups(df: DataFrame, keys: list[str], value: str, tol: float) -> DataFrame:
     """Add ``anchor``: the first value of the group each row belongs to.
 
     Going down from the largest value, a row joins the current group while it lies within ``tol``
     of the group's first value (not of its neighbour). A gap wider than ``tol`` always starts a
-    group, so only runs of close distinct values have to be walked through.
+    group, so only runs of close distinct values have to be walked through. Rows find their start by
+    key and value, so the rows of one key spread. Rows without a key or value are dropped.
     """
     v = F.col(value)
     down = Window.partitionBy(*keys).orderBy(v.desc())
@@ -38,24 +86,26 @@ def anchored_groups(df: DataFrame, keys: list[str], value: str, tol: float) -> D
     folded = runs.groupBy(*keys, "_run").agg(
         F.sort_array(F.collect_list(value), asc=False).alias("_values")
     )
-    anchors = F.aggregate(
-        F.slice("_values", F.lit(2), F.size("_values")),
-        F.slice("_values", 1, 1),
-        lambda acc, x: F.when(F.element_at(acc, -1) - x > tol, F.concat(acc, F.array(x))).otherwise(acc),
+    short = F.aggregate(
+        F.sequence(F.lit(1), F.size("_values") - 1, F.lit(1)),
+        F.array(F.lit(0)),
+        lambda acc, i: F.when(
+            F.get("_values", F.element_at(acc, -1)) - F.get("_values", i) > tol, F.concat(acc, F.array(i))
+        ).otherwise(acc),
     )
-    folded = folded.withColumn("_anchors", anchors)
-    mapping = folded.select(
-        *keys,
-        F.explode(
-            F.transform(
-                "_values",
-                lambda x: F.struct(
-                    x.alias(value),
-                    F.array_min(F.filter("_anchors", lambda a: a >= x)).alias("anchor"),
-                ),
-            )
-        ).alias("_m"),
-    ).select(*keys, f"_m.{value}", "_m.anchor")
+    one = F.array(F.lit(0))
+    starts = (
+        F.when(F.size("_values") < 2, one).when(F.size("_values") <= SHORT_RUN, short)
+        .otherwise(group_starts(F.col("_values"), tol))
+    )
+    members = F.transform(
+        "_starts",
+        lambda i, k: tx.between(
+            F.col("_values"), i, F.coalesce(F.get("_starts", k + 1), F.size("_values")) - 1,
+            lambda x: F.struct(x.alias(value), F.get("_values", i).alias("anchor")),
+        ),
+    )
+    mapping = explode_rows(pin(folded, "_starts", starts), keys, F.flatten(members))
     return df.join(mapping, [*keys, value])
 
 

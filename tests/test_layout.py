@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from docassay.operators import layout as ly
@@ -24,6 +26,29 @@ def test_rows_are_anchored_not_chained(spark):
     assert got == {("a", "w0 w1"), ("a", "w2"), ("b", "w0 w1"), ("b", "w2")}
 
 
+def greedy(values, tol):
+    starts = []
+    for v in sorted(set(values), reverse=True):
+        if not starts or starts[-1] - v > tol:
+            starts.append(v)
+    return {v: min(a for a in starts if a >= v) for v in values}
+
+
+def test_groups_of_random_and_long_chains(spark):
+    rng = random.Random(5)
+    pages = {n: [rng.randrange(n * 3) / rng.choice([1, 2, 7]) for _ in range(n)] for n in (1, 2, 3, 7, 40, 257)}
+    pages[5000] = [i * 0.7 for i in range(5000)]
+    pages[5001] = [100.0] * 50
+    rows = [(k, v) for k, vs in pages.items() for v in vs] + [(1, None), (None, 1.0), (9, None)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    got = [(r.k, r.v, r.anchor) for r in ly.anchored_groups(df, ["k"], "v", 2.6).collect()]
+    want = [(k, v, greedy(vs, 2.6)[v]) for k, vs in pages.items() if k < 300 for v in vs]
+    assert sorted(g for g in got if g[0] < 300) == sorted(want)
+    chain = greedy(pages[5000], 2.6)
+    assert {(v, a) for k, v, a in got if k == 5000} == set(chain.items())
+    assert [a for k, _, a in got if k == 5001] == [100.0] * 50 and len(got) == len(rows) - 3
+
+
 def test_gap_threshold_and_words(spark):
     def row(doc, gap):
         return [(doc, 1, 595.0, 0, 60.0, 100.0, 10.0, 11.0, "one two three"), (doc, 1, 595.0, 1, 100.0 + gap, 200.0 + gap, 10.0, 11.0, "four five six")]
