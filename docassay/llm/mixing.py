@@ -3,7 +3,8 @@
 A document's expected copies are its source's target over its source's size. The whole part is
 copied with certainty. For the rest, documents are ranked by random odds over inclusion odds, and a
 source takes them in that order until its words are as near to its target as they get: the size of
-the sample is fixed in words. No source is ever sorted in one task: a histogram of 2**16 ranges of
+the sample is fixed in words. Inclusion odds fall with a document's size, from twice those of a
+document of its source's mean size towards none, so that a few huge texts do not make up a sample. No source is ever sorted in one task: a histogram of 2**16 ranges of
 the rank finds the range in which a source's sample ends, and only that range is sorted.
 """
 
@@ -30,7 +31,7 @@ def uniform(key: Column, seed: str) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = (3, 2), cap: int = 2) -> DataFrame:
-    """``(source, source_size)`` with weight and target: ``share`` of all words by weight, at most ``cap`` times a source.
+    """``sizes`` (source, source_size and any more) with weight and target: ``share`` of all words by weight, at most ``cap`` times a source.
 
     The sources reaching their cap are those with the smallest size for their weight, so one pass
     over the (few) sources in that order shares out all the excess. Weights go round by code point
@@ -62,7 +63,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     s = s.withColumn("level", level)
     shared = (F.col("level.left") * F.col("weight")).cast("double") / (F.lit(den) * F.col("level.onward")).cast("double")
     return s.select(
-        "source", "source_size", "weight",
+        *sizes.columns, "weight",
         F.when(F.col("full"), (F.col("source_size") * cap).cast("double")).otherwise(shared).alias("target"),
     )
 
@@ -77,13 +78,14 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tupl
     sized = stored(
         docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), uniform(F.col("doc_id"), seed).alias("u")), "sizes"
     )
-    targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
+    targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), (F.sum("size") / F.count("*")).alias("mean")), weights, share, cap)
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     targets = targets.withColumn("sure", F.floor(copies)).select(
-        F.col("source").alias("_source"), "source_size", "target", "sure", (copies - F.col("sure")).alias("part"),
+        F.col("source").alias("_source"), "source_size", "mean", "target", "sure", (copies - F.col("sure")).alias("part"),
         (F.col("target") - F.col("sure") * F.col("source_size")).alias("rest"),
     )
     odds = (F.col("u") / (F.lit(1.0) - F.col("u"))) * ((F.lit(1.0) - F.col("part")) / F.col("part"))
+    odds = odds * ((F.col("mean") + F.col("size")) / (F.lit(2.0) * F.col("mean")))
     ranked = sized.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     ranked = ranked.withColumn("rank", F.when(F.col("part") > 0, odds / (F.lit(1.0) + odds)).otherwise(F.lit(1.0)))
     ranked = ranked.withColumn("range", F.floor(F.col("rank") * RANGES))
@@ -114,7 +116,7 @@ WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
          (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':mix'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
   FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size,
+s AS (SELECT source, sum(size)::BIGINT AS source_size, sum(size)::BIGINT / count(*) AS mean,
              CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END::BIGINT AS w
       FROM sized GROUP BY source),
 o AS (SELECT *, sum(source_size) OVER ()::BIGINT AS total,
@@ -123,13 +125,13 @@ o AS (SELECT *, sum(source_size) OVER ()::BIGINT AS total,
       FROM s WINDOW q AS (ORDER BY source_size * (10 // w), source NULLS LAST)),
 f AS (SELECT *, 3 * total - 2 * caps AS spare, (3 * total - 2 * caps) * w > 4 * source_size * onward AS capped FROM o),
 l AS (SELECT spare AS lspare, onward AS lonward FROM f WHERE NOT capped ORDER BY caps, onward DESC LIMIT 1),
-t AS (SELECT source, source_size,
+t AS (SELECT source, source_size, mean,
              CASE WHEN capped THEN (2 * source_size)::DOUBLE ELSE (lspare * w)::DOUBLE / (2 * lonward)::DOUBLE END AS target
       FROM f, l),
 c AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS copies FROM t),
 p AS (SELECT *, floor(copies) AS sure, copies - floor(copies) AS part, target - floor(copies) * source_size AS rest FROM c),
 r AS (SELECT d.doc_id, d.source, d.size, p.source_size, p.target, p.sure, p.rest,
-             CASE WHEN part > 0 THEN (u / (1.0 - u)) * ((1.0 - part) / part) END AS odds
+             CASE WHEN part > 0 THEN (u / (1.0 - u)) * ((1.0 - part) / part) * ((mean + size) / (2.0 * mean)) END AS odds
       FROM sized d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
 k AS (SELECT *, CASE WHEN odds IS NULL THEN 1.0 ELSE odds / (1.0 + odds) END AS rnk FROM r),
 w AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY rnk, doc_id, size
