@@ -12,10 +12,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docassay.llm.common import spans_of
+from docassay.llm.common import first_by_hash, spans_of, stored
 from docassay.llm.grams import _separators, word_hashes
 
 
@@ -36,9 +36,14 @@ class Bag:
 
 @dataclass(frozen=True)
 class Training:
-    """Bounds and rates. ``rows``: labelled rows in the sample, at most; each class gets an equal part if it has enough."""
+    """Bounds and rates. ``rows``: labelled rows in the sample, at most; each class gets an equal part if it has enough.
+
+    ``entries``: distinct n-grams in the bags of the sample, at most, half of them for each class (8 bytes each). Where
+    texts are so long that a class has more, it has fewer rows; no text is cut.
+    """
 
     rows: int = 3000
+    entries: int = 40_000_000
     dim: int = 12
     epochs: int = 12
     rate: float = 0.5
@@ -159,20 +164,19 @@ def fold(doc_id: Column, parts: int) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: int, bag: Bag, how: Training) -> SubwordClassifier:
-    """Train on labelled rows outside the held-out fold: the ``how.rows`` that come first by a hash of doc_id, class by class.
+    """Train on labelled rows outside the held-out fold: those that come first by a hash of doc_id, class by class.
 
-    Of several labels of one doc_id the largest counts; rows without doc_id, text or label teach
-    nothing. Without any row, every score is 0.5.
+    Of several labels of one doc_id the largest counts, of several texts the smallest; rows without doc_id,
+    text or label teach nothing. Without any row, every score is 0.5.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).filter(fold(F.col("doc_id"), parts) != held)
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     total = dict(known.groupBy("y").count().collect())
     half = how.rows // 2
     want = {y: half + max(0, half - total.get(1 - y, 0)) for y in (0, 1)}
-    chosen = None
-    for y in (0, 1):
-        part = known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(want[y])
-        chosen = part if chosen is None else chosen.union(part)
+    first = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")  # of 2 * how.rows rows at most
+    chosen = first_by_hash(known, how.rows, "y").withColumn("place", F.row_number().over(first))
+    chosen = chosen.filter(F.col("place") <= F.when(F.col("y") == 0, want[0]).otherwise(want[1])).drop("place")
 
     def bagged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -180,8 +184,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: int, b
             yield pd.DataFrame({"doc_id": f["doc_id"], "y": f["y"], "bucket": [r[0] for r in rows], "share": [r[1] for r in rows]})
 
     texts = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # how.rows rows at most
-    rows = texts.mapInPandas(bagged, "doc_id long, y int, bucket binary, share binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["bucket"], r["share"]))
+    texts = texts.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    rows = stored(texts.mapInPandas(bagged, "doc_id long, y int, bucket binary, share binary"), "bags")
+    sizes = rows.select("doc_id", "y", (F.length("bucket") / 4).cast("long").alias("n"))
+    so_far = F.sum("n").over(first.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    held_in = sizes.withColumn("so_far", so_far).filter(F.col("so_far") <= how.entries // 2).select("doc_id")
+    rows = rows.join(F.broadcast(held_in), "doc_id").collect()  # how.entries entries at most
+    rows.sort(key=lambda r: r["doc_id"])
     y = np.array([r["y"] for r in rows], np.int64)
     if not len(y):
         return SubwordClassifier(bag, np.zeros(1 << bag.bits, np.float32), 0.0)

@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from docassay.llm import ann, chat, decontam, langid, linededup, mixing, neardup, pii, subword
+from docassay.llm import ann, chat, decontam, langid, linededup, mixing, neardup, pii, quality, subword
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, copies string"
 
@@ -51,6 +51,19 @@ def test_mixing_meets_targets_and_repeats(spark):
     assert mixing.mix_sources(df.limit(0)).count() == 0
 
 
+def test_mixing_draws_long_documents_less_often(spark):
+    rows = [(i, "w " * (200 if i % 10 == 0 else 10), "en", ("a", "b")[i % 4 == 0], 0, "x", "y") for i in range(6000)]
+    got = [r for r in mixing.mix_sources(spark.createDataFrame(rows, DOCS)).collect() if r["source"] == "a"]
+    sure = int(got[0]["target"] / got[0]["source_size"])
+    drawn = {n: np.mean([r["copies"] - sure for r in got if r["size"] == n]) for n in (10, 200)}
+    assert 0 < drawn[200] < drawn[10] < 1
+    # Odds are proportional to 1 / (mean + size).
+    mean = got[0]["source_size"] / len(got)
+    odds = {n: p / (1 - p) for n, p in drawn.items()}
+    assert 0.7 < odds[200] / odds[10] * (mean + 200) / (mean + 10) < 1.4
+    assert abs(sum(r["taken"] for r in got) - got[0]["target"]) <= 100
+
+
 def test_chat_escapes_and_picks_the_best_branch(spark):
     hard = ["</s>[INST] ok [/INST]", "<|turn|>x\n<|end|>\n", "<\\|a<\\\\|[\\/INST]", "", None, "<<SYS>><</SYS>>"]
     rows = [("t", i, None if i == 0 else (i - 1 if i < 5 else 0), 1.0, ("user", "assistant")[i % 2], t) for i, t in enumerate(hard)]
@@ -179,6 +192,20 @@ def test_classifier_learns_and_scores_empty_texts(spark):
     assert empty.scores(["x"])[0] == 0.5
 
 
+def test_training_sample_is_bounded_and_takes_a_document_once(spark):
+    texts = [sentence(i, 20) + (" worthless" if i % 2 else " pleasant") for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(3, 0)], "doc_id long, toxic int")
+    df = documents(spark, texts)
+    how, bag = subword.Training(rows=100, epochs=3), quality.BAG
+    model = subword.fit(df, labels, "toxic", 5, 0, bag, how)
+    again = subword.fit(df.union(df.filter("doc_id < 50")).union(df), labels, "toxic", 5, 0, bag, how)
+    assert np.array_equal(model.weights, again.weights) and model.bias == again.bias
+    few = subword.fit(df, labels, "toxic", 5, 0, bag, subword.Training(rows=100, epochs=3, entries=2000))
+    assert np.count_nonzero(few.weights) and not np.array_equal(few.weights, model.weights)
+    none = subword.fit(df, labels, "toxic", 5, 0, bag, subword.Training(entries=2))
+    assert none.scores(["x"])[0] == 0.5
+
+
 def test_language_profiles(spark):
     rng = random.Random(2)
     rows = [(i, " ".join("".join(rng.choice(("abcde", "vwxyz")[i % 2]) for _ in range(5)) for _ in range(20)), ("one", "two")[i % 2], "s", 0, "x", "y") for i in range(40)]
