@@ -184,7 +184,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, shard: int = SHARD) -> Dat
         *[F.lit(None).cast("binary").alias(c) for c in ("seat", "prints", "owners", "counts")],
     )
     indexed = arrays.select(
-        "shard", F.lit(0).alias("kind"), *[F.lit(None).cast("long").alias(c) for c in ("doc_id", "high", "low")],
+        # Zeros, not nulls: pandas turns a batch of longs with a null into doubles, which round the hashes.
+        "shard", F.lit(0).alias("kind"), *[F.lit(0).cast("long").alias(c) for c in ("doc_id", "high", "low")],
         "seat", "prints", "owners", "counts",
     )
 

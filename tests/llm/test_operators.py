@@ -33,6 +33,13 @@ def test_line_dedup_against_brute_force(spark):
     assert linededup.dedup_lines(rows.limit(0)).count() == 0
 
 
+def test_lines_looked_up_in_a_shard_are_dropped(spark):
+    """So many shared lines that none is hot: all are looked up behind the row with their shard's arrays."""
+    lines = [f"line number {i} of both documents" for i in range(4500)]
+    got = {r["doc_id"]: r for r in linededup.dedup_lines(documents(spark, ["\n".join(lines)] * 2)).collect()}
+    assert (got[0]["n_dropped"], got[1]["n_dropped"]) == (0, 4500)
+
+
 def test_perfect_hash_is_minimal():
     values = np.unique(np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64))
     seat = linededup.PerfectHash.load(linededup.PerfectHash.build(values).dump())
