@@ -26,14 +26,18 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def table_stream(spark: SparkSession, folder: str, file_filter: str, files_per_batch: int = 1000) -> DataFrame:
-    """Parquet files of a folder as a stream; the schema comes from the files there."""
-    schema = spark.read.option("pathGlobFilter", file_filter).parquet(folder).schema
+def table_stream(spark: SparkSession, folder: str, tables: str, files_per_batch: int = 1000) -> DataFrame:
+    """Parquet tables of a folder as a stream, each a file or a folder of files; the schema comes from what is there.
+
+    The name is always a pattern, since a streaming source takes a plain path to be a folder.
+    """
+    path = f"{folder}/{{{tables}}}"
+    schema = spark.read.option("basePath", folder).parquet(path).schema
     return (
         spark.readStream.schema(schema)
-        .option("pathGlobFilter", file_filter)
+        .option("basePath", folder)
         .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(folder)
+        .parquet(path)
     )
 
 

@@ -54,6 +54,16 @@ def write_parts(spark, folder, parts, schema):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
 
 
+def test_a_table_streams_as_a_file_and_as_a_folder(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    spark.range(40).selectExpr("id", "id % 2 AS part").repartition(3).write.partitionBy("part").parquet(f"{folder}/many.parquet")
+    spark.range(7).coalesce(1).write.parquet(str(tmp_path / "other"))
+    next((tmp_path / "other").glob("*.parquet")).rename(tmp_path / "in" / "one.parquet")
+    many = st.run_available(st.table_stream(spark, folder, "many.parquet"), str(tmp_path / "out-many"))
+    one = st.run_available(st.table_stream(spark, folder, "one.parquet"), str(tmp_path / "out-one"))
+    assert sorted(map(tuple, many.collect())) == [(i, i % 2) for i in range(40)] and one.count() == 7
+
+
 def test_changes_of_shuffled_revisions_equal_the_batch(spark, tmp_path):
     rng = random.Random(9)
     rows = [(d, r // 5, r, rng.randint(0, 9) * 10, T0 + dt.timedelta(seconds=r)) for d in range(4) for r in range(20)]
