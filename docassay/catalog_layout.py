@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docassay.catalog import PARTS, c, joined, prose, register
 from docassay.functions import text as tx
-from docassay.functions.rows import explode_rows, explode_values
+from docassay.functions.rows import explode_rows, explode_values, keep_where
 from docassay.operators import layout as ly
 from docassay.sources.corpus import read_corpus
 
@@ -77,17 +77,17 @@ def c03_row_text(spark, sf):
 
 @register
 def c04_split_rows(spark, sf):
-    return ly.row_flags(lines(spark, sf)).filter("split_row").select("doc_id", "page", "anchor")
+    return keep_where(ly.row_flags(lines(spark, sf)), c("split_row")).select("doc_id", "page", "anchor")
 
 
 @register
 def c05_tabular_rows(spark, sf):
-    return ly.row_flags(lines(spark, sf)).filter("tabular_row").select("doc_id", "page", "anchor")
+    return keep_where(ly.row_flags(lines(spark, sf)), c("tabular_row")).select("doc_id", "page", "anchor")
 
 
 @register
 def c06_right_starts(spark, sf):
-    return ly.row_flags(lines(spark, sf)).filter("right_start").select("doc_id", "page", "anchor", "x")
+    return keep_where(ly.row_flags(lines(spark, sf)), c("right_start")).select("doc_id", "page", "anchor", "x")
 
 
 @register

@@ -113,3 +113,11 @@ def test_a_text_may_hold_any_character(spark):
     line = ly.group_into_lines(df).first()
     assert [(k["x"], k["right"], k["words"]) for k in line["clusters"]] == [(10.0, 60.0, 1), (300.0, 380.0, 3)]
     assert line["text"] == "a\x00b c d e"
+
+
+def test_row_filters_do_not_repeat_the_clusters(spark, sf):
+    from docassay import catalog_layout as cl
+
+    for run in (cl.c04_split_rows, cl.c05_tabular_rows, cl.c06_right_starts):
+        plan = run(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert not [line for line in plan.split("\n") if " Filter " in line and "transform(" in line]
