@@ -12,9 +12,11 @@ Only the pairs asked for are compared, so the result is as large as the request.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docassay.functions import text as tx
@@ -22,21 +24,31 @@ from docassay.functions.phrasing import percent
 from docassay.functions.rows import explode_rows, explode_values, pin
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder of the cluster; a local one only where none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+    return folder
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage into the shared folder of the cluster; a local one only where none is set."""
+    """Cut the lineage into the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local["):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: unlike a checkpoint, joins know its size in bytes."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 WORD = "[a-z0-9+#]+"
 
 
@@ -74,11 +86,12 @@ def vocabulary(terms: DataFrame) -> Vocabulary:
         )
     )
     placed = F.when(proof, F.array(t)).otherwise(steps)
-    keys = checkpoint(
+    keys = stored(
         cut.select(
             "term", "lead", "trail", "n", (~proof).alias("placed"), F.array_max(F.transform("s", F.length)).alias("signs"),
             F.posexplode(placed).alias("step", "key"), F.size(placed).alias("steps"),
-        )
+        ),
+        "vocabulary",
     )
     by_place, alone = F.col("placed"), F.col("n") == 0
     signs, words, pairs, lengths = keys.agg(
@@ -180,7 +193,7 @@ def match_postings(docs: DataFrame, terms: DataFrame, pairs: DataFrame) -> DataF
     pairs spreads over its terms, and the looked-up side holds each key once. A pair whose posting
     has no terms keeps one row, with a null term.
     """
-    terms = checkpoint(terms)
+    terms = stored(terms, "posting-terms")
     present = doc_terms(docs, vocabulary(terms)).withColumn("matched", F.lit(True))
     wanted = pairs.join(terms, "posting_id", "left")
     return wanted.join(present, ["doc_id", "term"], "left").withColumn(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docassay.functions.rows import explode_values, pin
-from docassay.operators.matching import checkpoint
+from docassay.operators.matching import stored
 
 #: Characters of a run; candidates of a text that are looked up in one row.
 GRAM, TOGETHER = 5, 2048
@@ -50,12 +50,13 @@ def phrase_scan(docs: DataFrame, phrases: DataFrame, q: int = GRAM, together: in
     lower = docs.filter("text is not null").select("doc_id", F.lower("text").alias("lower"))
     held = gram_rows(lower, "doc_id", "lower", sorted(lengths))
     short = wanted.filter(F.length("phrase") < q).select("phrase", F.col("phrase").alias("gram"))
-    parts = checkpoint(short.union(gram_rows(wanted.filter(F.length("phrase") >= q), "phrase", "phrase", [q])))
+    parts = stored(short.union(gram_rows(wanted.filter(F.length("phrase") >= q), "phrase", "phrase", [q])), "phrase-grams")
     counts = held.join(parts.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
-    keys = parts.join(counts, "gram", "left").groupBy("phrase").agg(
+    # Stored, so that lists of usual length are broadcast and the runs of the texts never move.
+    keys = stored(parts.join(counts, "gram", "left").groupBy("phrase").agg(
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("k")
-    ).filter("k.n > 0").select("phrase", F.col("k.gram").alias("gram"))
-    found = checkpoint(held.join(keys, "gram").select("doc_id", "phrase"))
+    ).filter("k.n > 0").select("phrase", F.col("k.gram").alias("gram")), "phrase-keys")
+    found = stored(held.join(keys, "gram").select("doc_id", "phrase"), "phrase-candidates")
     # A text's candidates in lists of bounded length, so that a text of many does not gather them in one row.
     lists = found.groupBy("doc_id").agg(F.ceil(F.count("*") / together).alias("lists"))
     listed = found.join(lists, "doc_id").groupBy("doc_id", F.pmod(F.xxhash64("phrase"), F.col("lists")).alias("list")).agg(

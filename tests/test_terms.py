@@ -126,3 +126,19 @@ def test_phrase_scan_equals_contains(spark, sf):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert {tuple(r) for r in got.collect()} == {(i, p) for i, t in texts for p in phrases if p in t}
     assert phrase_scan(docs, table.limit(0)).count() == 0 == phrase_scan(docs.limit(0), table).count()
+
+
+def test_the_runs_of_texts_do_not_move_to_a_short_list(spark):
+    from docassay.operators import matching as mt, substrings as ss
+
+    docs = spark.createDataFrame([(i, f"Text number {i} with some words") for i in range(20)], "doc_id long, text string")
+    plans, write = [], mt.stored
+    try:
+        ss.stored = lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name)
+        found = ss.phrase_scan(docs, spark.createDataFrame([("number 1",), ("words",), ("nowhere",)], "phrase string"))
+    finally:
+        ss.stored = write
+    assert found.count() == 31
+    counted, candidates = plans[-2:]
+    assert any("BroadcastHashJoin" in line and "LeftSemi" in line for line in counted.split("\n"))
+    assert "BroadcastHashJoin" in candidates and "SortMergeJoin" not in candidates
