@@ -202,13 +202,17 @@ def match_postings(docs: DataFrame, terms: DataFrame, pairs: DataFrame) -> DataF
 
 
 def match_postings_naive(docs: DataFrame, terms: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Reference plan: every pair carries the text and tests every term by regex."""
+    """Reference plan: every pair carries the text and tests every term that it contains by regex.
+
+    The pattern of a row is compiled for it, so the plain search goes first; it settles nearly all rows.
+    """
     escaped = F.regexp_replace("term", r"([^a-z0-9 ])", r"\\$1")
     pattern = F.concat(F.lit("(^|[^a-z0-9+#.])"), escaped, F.lit("($|[^a-z0-9+#])"))
     wanted = pairs.join(terms, "posting_id", "left").join(
         docs.select("doc_id", F.lower("text").alias("lower")), "doc_id"
     )
-    return wanted.withColumn("matched", F.coalesce(F.regexp_like("lower", pattern), F.lit(False))).drop("lower")
+    there = F.contains("lower", F.col("term")) & F.regexp_like("lower", pattern)
+    return wanted.withColumn("matched", F.coalesce(there, F.lit(False))).drop("lower")
 
 
 def match_report(matches: DataFrame) -> DataFrame:

@@ -142,3 +142,14 @@ def test_the_runs_of_texts_do_not_move_to_a_short_list(spark):
     counted, candidates = plans[-2:]
     assert any("BroadcastHashJoin" in line and "LeftSemi" in line for line in counted.split("\n"))
     assert "BroadcastHashJoin" in candidates and "SortMergeJoin" not in candidates
+
+
+def test_naive_match_searches_before_it_compiles(spark):
+    from docassay.operators import matching as mt
+
+    docs = spark.createDataFrame([(1, "Uses C++ and node.js."), (2, None)], "doc_id long, text string")
+    terms = spark.createDataFrame([(0, "c++"), (0, "node.js"), (0, "js"), (0, "java")], "posting_id long, term string")
+    pairs = spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, posting_id long")
+    got = mt.match_postings_naive(docs, terms, pairs)
+    assert {r["term"] for r in got.filter("matched").collect()} == {"c++", "node.js"} and got.count() == 8
+    assert "contains(lower" in got._jdf.queryExecution().optimizedPlan().toString().lower()
