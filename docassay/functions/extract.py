@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docassay import lexicon as lx
-from docassay.functions.patterns import java
+from docassay.functions.patterns import java, spelled
 from docassay.functions.text import js_trim, literals
 
 EMAIL = java(lx.EMAIL)
@@ -76,7 +76,7 @@ def has_location(header: Column) -> Column:
 
 def typos(lower: Column) -> Column:
     """Distinct known misspellings in order of appearance."""
-    tokens = F.array_distinct(F.regexp_extract_all(lower, F.lit("[a-z']{4,}"), F.lit(0)))
+    tokens = F.array_distinct(F.regexp_extract_all(lower, F.lit(spelled("[a-z']{4,}")), F.lit(0)))
     return F.array_intersect(tokens, literals(lx.TYPOS))
 
 

@@ -15,14 +15,38 @@ WS_CHARS = "\t\n\x0b\f\r " + "".join(
 )
 _WIDE = "\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 _FLAT_WS = "\t-\r \xa0" + _WIDE
-# The wide blanks sit behind one range test, so ordinary characters are decided by a bit set.
-_NESTED_WS = "\t-\r \xa0[\u1680-\ufeff&&[" + _WIDE + "]]"
+# The wide blanks sit behind one range test; the narrow ones are listed, so they are decided by a bit set.
+_NESTED_WS = "\t\n\x0b\f\r \xa0[\u1680-\ufeff&&[" + _WIDE + "]]"
 WS = f"[{_NESTED_WS}]"
-WS_BUT_LF = WS.replace("\t-\r", "\t\x0b-\r")
+WS_BUT_LF = WS.replace("\n", "")
 RE2_WS = f"[{_FLAT_WS}]"
 _WORD = "[A-Za-z0-9_]"
 
 
+def spelled(pattern: str) -> str:
+    """The same JVM pattern with ranges below U+0100 listed one by one.
+
+    The JVM keeps single characters of a class in one bit set, but asks every range by a call of its own.
+    """
+    out, depth, i = [], 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        ahead = pattern[i + 1 : i + 3]
+        if c == "\\":
+            out.append(c + ahead[:1])
+            i += 2
+        elif depth and c not in "[]" and len(ahead) == 2 and ahead[0] == "-" and ahead[1] not in "[]\\" and ord(c) < ord(ahead[1]) < 256:
+            for point in range(ord(c), ord(ahead[1]) + 1):
+                one = chr(point)
+                out.append("\\" + one if 32 < point < 127 and not one.isalnum() else one)
+            i += 3
+        else:
+            depth += (c == "[") - (c == "]" and depth > 0)
+            out.append(c)
+            i += 1
+    return "".join(out)
+
+
 def _render(pattern: str, jvm: bool) -> str:
     out, in_class, negated, i = [], False, False, 0
     while i < len(pattern):
@@ -55,7 +79,7 @@ def java(pattern: str, ignore_case: bool = False, first: str = "") -> str:
     ``first`` is a class every match starts with; testing it first spares the look-behind.
     """
     ahead = f"(?={first})" if first else ""
-    return ("(?i)" if ignore_case else "") + ahead + _render(pattern, True)
+    return ("(?i)" if ignore_case else "") + spelled(ahead + _render(pattern, True))
 
 
 def re2(pattern: str, ignore_case: bool = False) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docassay import lexicon as lx
-from docassay.functions.patterns import WS, WS_BUT_LF, WS_CHARS, java, quote
+from docassay.functions.patterns import WS, WS_BUT_LF, WS_CHARS, java, quote, spelled
 
 BULLET = java(rf"^\s*(?:[{lx.BULLET_MARKERS}]|\d{{1,2}}[.)])\s+")
 
@@ -23,6 +23,8 @@ _REPLACEMENTS = [
     ([0xFB02], "fl"),
     ([0x09], "    "),
 ]
+#: One pass that every replaced character stops; texts without any are left alone.
+_REPLACED = "[\r\t\xa0\u2007-\ufb02]"
 
 
 def js_trim(c: Column) -> Column:
@@ -32,10 +34,12 @@ def js_trim(c: Column) -> Column:
 
 def normalise_text(c: Column) -> Column:
     """Unify line ends, blanks, quotes, dashes and ligatures; squeeze blanks; trim lines."""
+    plain = c
     for found, instead in [("\r\n", "\n"), ("\r", "\n")] + [
         (chr(point), instead) for points, instead in _REPLACEMENTS for point in points
     ]:
         c = F.replace(c, F.lit(found), F.lit(instead))
+    c = F.when(plain.rlike(_REPLACED), c).otherwise(plain)
     c = F.regexp_replace(c, " {2,}", " ")
     c = F.regexp_replace(c, "\n{3,}", "\n\n")
     c = F.regexp_replace(c, WS_BUT_LF + r"+(?=\n|\z)", "")
@@ -87,7 +91,7 @@ def header(lines: Column) -> Column:
 def tokenise(c: Column) -> Column:
     """Lower-case tokens of ``a-z0-9+#.-/``; outer dots and dashes are dropped."""
     bare = F.transform(
-        F.split(F.lower(c), "[^a-z0-9+#./-]+"), lambda t: F.btrim(t, F.lit("-."))
+        F.split(F.lower(c), spelled("[^a-z0-9+#./-]+")), lambda t: F.btrim(t, F.lit("-."))
     )
     return F.filter(bare, lambda t: t != "")
 
@@ -110,6 +114,8 @@ def between(array: Column, first: Column, last: Column, change=lambda x: x) -> C
 
 #: A run's head: leading dots and what follows up to the next dot.
 HEAD = "[.]*[^.]*"
+#: What a run has after its head.
+AFTER_HEAD = spelled(r"\.(?<=[a-z0-9+#]\.)[a-z0-9+#.]*")
 #: Terms that are the head of every run they start.
 WHOLE_HEAD = "^[.]*[a-z0-9+#]+$"
 
@@ -124,7 +130,7 @@ def heads(lower: Column) -> Column:
     A term of the form :data:`WHOLE_HEAD` stands in the text (left side free, right side free
     or a dot) exactly when it is one of these.
     """
-    return F.transform(F.split(lower, "[^a-z0-9+#.]+"), head_of)
+    return F.split(F.regexp_replace(lower, AFTER_HEAD, ""), spelled("[^a-z0-9+#.]+"))
 
 
 def is_whole_head(term: str) -> bool:
@@ -135,25 +141,34 @@ def find_terms(lower: Column, terms: list[str]) -> Column:
     """Entries of the list that stand as whole terms, in list order.
 
     Terms that are heads are looked up among the :func:`heads` of the text, all at once; the few
-    with inner dots, blanks, dashes or slashes are located first and only then checked by regex.
+    with inner dots, blanks, dashes or slashes start with a head of the text (or a dot or a sign)
+    and are only then located and checked by regex.
     """
     multi = [t for t in terms if not is_whole_head(t)]
-    hits = F.array_intersect(literals([t for t in terms if is_whole_head(t)]), heads(lower))
-    if not multi:
-        return hits
-    extra = F.filter(literals(multi), lambda t: F.contains(lower, t))
-    sure = F.filter(
-        extra,
-        lambda t: F.regexp_like(
-            lower,
-            F.concat(
-                F.lit("(^|[^a-z0-9+#.])"),
-                lookup(t, {t: quote(t) for t in multi}),
-                F.lit("($|[^a-z0-9+#])"),
+    lead = {t: re.match("[a-z0-9+#]*", t).group() for t in multi}
+    wanted = dict.fromkeys([t for t in terms if is_whole_head(t)] + [k for k in lead.values() if k])
+
+    def found(among: Column) -> Column:
+        hits = F.array_intersect(literals([t for t in terms if is_whole_head(t)]), among)
+        extra = F.filter(
+            literals(multi),
+            lambda t: (F.array_contains(among, lookup(t, lead)) | (lookup(t, lead) == "")) & F.contains(lower, t),
+        )
+        sure = F.filter(
+            extra,
+            lambda t: F.regexp_like(
+                lower,
+                F.concat(
+                    F.lit("(^|[^a-z0-9+#.])"),
+                    lookup(t, {t: quote(t) for t in multi}),
+                    F.lit("($|[^a-z0-9+#])"),
+                ),
             ),
-        ),
-    )
-    return F.array_intersect(literals(terms), F.concat(hits, sure))
+        )
+        return F.array_intersect(literals(terms), F.concat(hits, sure))
+
+    among = F.array_intersect(literals(list(wanted)), heads(lower))
+    return F.get(F.transform(F.array(among), found), F.lit(0)) if multi else among
 
 
 def literals(values) -> Column:

@@ -99,3 +99,21 @@ def test_term_lookup_equals_the_regex(spark, texts):
 
 def test_rows_of_dots_stay_small(spark):
     assert one(spark, F.size(tx.heads(F.lit("." * 100_000)))) == 1
+
+
+@pytest.mark.parametrize("pattern", ["[^a-z0-9+#./-]", "[!-/à-ÿ-]", r"[\d&-(x]", "[a-c[0-3]x]", r"\[a-c]", "[0-9 –-—]"])
+def test_spelled_classes_match_the_same(spark, pattern):
+    points = spark.range(1, 0x2100).selectExpr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE') AS ch")
+    for flags in ("", "(?i)"):
+        both = points.select(F.col("ch").rlike(flags + pattern).alias("a"), F.col("ch").rlike(flags + pt.spelled(pattern)).alias("b"))
+        assert both.filter("a <> b").count() == 0
+
+
+def test_heads_are_cut_in_one_pass_over_the_text(spark):
+    assert one(spark, tx.heads(F.lit("a.b.c ..net... node.js,c++. x"))) == ["a", "..net", "node", "c++", "x"]
+    df = spark.createDataFrame([("x",)], "t string").select(tx.heads(F.col("t")).alias("h"))
+    assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_terms_without_a_head_are_searched_for(spark):
+    assert one(spark, tx.find_terms(F.lit("so é.x, -/- and rest api, arrest api"), ["é.x", "-/-", "rest api", "st api"])) == ["é.x", "-/-", "rest api"]
