@@ -26,6 +26,8 @@ PROJECTIONS = 64
 HALF, DEVIATIONS = 1.0, 1.5
 #: Growth of the radius from one widening to the next.
 WIDER = 1.12
+#: Windows that hold more than this share of all places are counted by the rows' places, not place by place.
+CROWDED = 0.125
 
 
 def usable(vector: str):
@@ -54,6 +56,9 @@ class SortedArrays:
         near = math.erf(HALF / math.sqrt(2))
         m = len(values)
         self.least = max(1, math.floor(m * near - DEVIATIONS * math.sqrt(m * near * (1 - near))))
+        # Where each row stands in each array. Unsigned, so that one comparison tells whether it is in a window.
+        self.places = np.empty(order.shape, np.uint16 if len(ids) < 2**16 else np.uint32)
+        np.put_along_axis(self.places, order, np.arange(len(ids), dtype=self.places.dtype)[None, :], axis=1)
 
     @staticmethod
     def build(vectors: np.ndarray, top: float, projections: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,42 +66,59 @@ class SortedArrays:
         order = np.argsort(values, axis=1, kind="stable").astype(np.int32)
         return np.take_along_axis(values, order, axis=1), order
 
+    def collisions(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """In how many arrays each row stands in the window from ``low`` up to ``high``."""
+        kind = self.places.dtype
+        inside = (self.places - low.astype(kind)[:, None]) < (high - low).astype(kind)[:, None]
+        return np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8 if len(inside) < 256 else np.uint32)
+
     def nearest(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and inner products of the ``k`` nearest found, without rows whose id is ``own``."""
         n, size = len(self.ids), float(np.linalg.norm(query))
         centre = self.lines[:, :-1] @ (query / size)
         # A sample whose nearest row is about as far as the k-th nearest of all gives the first radius.
-        some = self.vectors[:: max(1, k)] @ query
-        radius = math.sqrt(max(0.0, 2 - 2 * float(some.max()) / (self.top * size)))
+        step = max(1, k)
+        some = (self.vectors[::step] @ query)[self.ids[::step] != own]
+        radius = math.sqrt(max(0.0, 2 - 2 * float(some.max(initial=-np.inf)) / (self.top * size)))
+        radius = min(radius, 2.0)
         radii = [radius]
         while radii[-1] < 2:
             radii.append(min(2.0, max(radii[-1] * WIDER, 1e-3)))
         reach = HALF * np.array(radii) + 1e-6
-        ends = [np.searchsorted(row, np.concatenate((c - reach, c + reach))) for row, c in zip(self.values, centre, strict=True)]
-        hits, done, score = np.zeros(n, np.int64), np.zeros(n, bool), np.full(n, -np.inf)
+        ends = np.stack([np.searchsorted(row, np.concatenate((c - reach, c + reach))) for row, c in zip(self.values, centre, strict=True)])
+        hits, done, score, whole = np.zeros(n, np.int64), np.zeros(n, bool), np.full(n, -np.inf), None
         for turn, radius in enumerate(radii):
+            low, high = ends[:, turn], ends[:, len(radii) + turn]
             if radius >= 2:
                 fresh = np.flatnonzero(~done)
             else:
-                new = []
-                for order, end in zip(self.order, ends, strict=True):
-                    low, high = end[turn], end[len(radii) + turn]
-                    if turn:
-                        new += (order[low : end[turn - 1]], order[end[len(radii) + turn - 1] : high])
-                    else:
-                        new.append(order[low:high])
-                hits += np.bincount(np.concatenate(new), minlength=n)
+                if (high - low).sum() > CROWDED * self.order.size:
+                    hits = self.collisions(low, high)
+                else:
+                    new = []
+                    for i, order in enumerate(self.order):
+                        if turn:
+                            new += (order[low[i] : ends[i, turn - 1]], order[ends[i, len(radii) + turn - 1] : high[i]])
+                        else:
+                            new.append(order[low[i] : high[i]])
+                    hits += np.bincount(np.concatenate(new), minlength=n)
                 fresh = np.flatnonzero((hits >= self.least) & ~done)
             done[fresh] = True
-            # Summed row by row, the same way for every row: a matrix product's rounding depends on a row's place.
-            score[fresh] = np.add.reduce(self.vectors[fresh] * query, axis=1)
+            if whole is None and 4 * len(fresh) > n:
+                whole = self.vectors @ query
+            score[fresh] = self.vectors[fresh] @ query if whole is None else whole[fresh]
             score[fresh[self.ids[fresh] == own]] = -np.inf
             enough = np.count_nonzero(score > -np.inf) >= k
             if enough and 2 - 2 * np.partition(score, n - k)[n - k] / (self.top * size) <= radius * radius:
                 break
         found = np.flatnonzero(score > -np.inf)
-        best = found[np.lexsort((self.ids[found], -score[found]))][:k]
-        return self.ids[best], score[best]
+        # A matrix product's rounding depends on a row's place. What may be among the first k is summed row by row.
+        slack = 4 * query.size * np.finfo(np.float64).eps * self.top * size
+        if len(found) > k and math.isfinite(slack):
+            found = found[score[found] >= np.partition(score, n - k)[n - k] - slack]
+        exact = np.add.reduce(self.vectors[found] * query, axis=1)
+        best = np.lexsort((self.ids[found], -exact))[:k]
+        return self.ids[found[best]], exact[best]
 
 
 def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, projections: int = PROJECTIONS, shard: int = SHARD) -> DataFrame:

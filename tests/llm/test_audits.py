@@ -197,3 +197,36 @@ def test_equal_vectors_get_equal_scores_wherever_they_stand():
         of = dict(zip(ids.tolist(), score.tolist(), strict=True))
         copies = [i for i in ids.tolist() if i in (0, 5, n - 3, n - 1)]
         assert len({of[i] for i in copies}) == 1 and copies == [0, 5, n - 3, n - 1]
+
+
+def test_crowded_windows_are_counted_by_place(monkeypatch):
+    from docassay.llm import ann
+
+    rng = np.random.default_rng(5)
+    for n in (300, 70_000):
+        rows = rng.standard_normal((n, 8))
+        top = float(np.linalg.norm(rows, axis=1).max()) * 1.01
+        shard = ann.SortedArrays(np.arange(n), rows, *ann.SortedArrays.build(rows, top, 16), top)
+        low = rng.integers(0, n // 2, 16)
+        high = low + rng.integers(0, n // 2, 16)
+        want = np.bincount(np.concatenate([o[a:b] for o, a, b in zip(shard.order, low, high, strict=True)]), minlength=n)
+        assert (shard.collisions(low, high) == want).all()
+        found = []
+        for crowded in (0.0, 2.0):
+            monkeypatch.setattr(ann, "CROWDED", crowded)
+            found.append([shard.nearest(rows[i], i, 20) for i in (0, 7, 20)])
+        for one, two in zip(*found, strict=True):
+            assert (one[0] == two[0]).all() and (one[1] == two[1]).all()
+
+
+def test_a_querys_own_row_does_not_set_the_first_radius(monkeypatch):
+    from docassay.llm import ann
+
+    rows = np.random.default_rng(6).standard_normal((400, 32))
+    top = float(np.linalg.norm(rows, axis=1).max()) * 1.01
+    shard = ann.SortedArrays(np.arange(400), rows, *ann.SortedArrays.build(rows, top, 64), top)
+    counted = []
+    monkeypatch.setattr(ann, "CROWDED", 0.0)
+    monkeypatch.setattr(ann.SortedArrays, "collisions", lambda self, low, high, of=ann.SortedArrays.collisions: counted.append(1) or of(self, low, high))
+    shard.nearest(rows[20], 20, 20)
+    assert len(counted) < 10
