@@ -110,7 +110,8 @@ def anchored_groups(df: DataFrame, keys: list[str], value: str, tol: float) -> D
 
 
 def count_words(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, WS + "+"), lambda w: w.rlike("[A-Za-z0-9]")))
+    """Words with a letter or digit; a match takes all of a word from the first of these on."""
+    return F.regexp_count(text, F.lit(java(r"[A-Za-z0-9]\S*")))
 
 
 def group_into_lines(fragments: DataFrame, tol: float = BASELINE_TOLERANCE) -> DataFrame:
@@ -122,7 +123,7 @@ def group_into_lines(fragments: DataFrame, tol: float = BASELINE_TOLERANCE) -> D
     placed = anchored_groups(fragments, keys, "y", tol)
     rows = placed.groupBy(*keys, "anchor").agg(
         F.first("page_width").alias("page_width"),
-        F.array_sort(
+        F.sort_array(
             F.collect_list(F.struct("x", (-F.col("y")).alias("up"), "ord", "right", "size", "text"))
         ).alias("parts"),
     )
@@ -152,16 +153,16 @@ def group_into_lines(fragments: DataFrame, tol: float = BASELINE_TOLERANCE) -> D
             count_words(words).alias("words"),
         )
 
-    sizes = F.array_sort(F.transform("parts", lambda f: f["size"]))
+    sizes = F.sort_array(F.array_compact("parts.size"))
     return rows.select(
         *keys,
         "anchor",
         "page_width",
         (-F.get("parts", F.lit(0))["up"]).alias("y"),
         F.get("parts", F.lit(0))["x"].alias("x"),
-        F.array_max(F.transform("parts", lambda f: f["right"])).alias("right"),
-        F.element_at(sizes, F.floor(F.size("parts") / 2).cast("int") + 1).alias("size"),
-        tx.js_trim(F.regexp_replace(F.array_join(F.transform("pieces", lambda p: p["text"]), ""), WS + "+", " ")).alias("text"),
+        F.array_max("parts.right").alias("right"),
+        F.get(sizes, F.floor(F.size("parts") / 2).cast("int")).alias("size"),
+        tx.js_trim(F.regexp_replace(F.array_join("pieces.text", ""), WS + "+", " ")).alias("text"),
         F.transform("starts", cluster).alias("clusters"),
     )
 
@@ -207,14 +208,14 @@ def broken_glyphs(text: Column) -> Column:
 
 def page_table(lines: DataFrame) -> DataFrame:
     """One row per page with text: its counts and its text, lines in reading order."""
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("anchor")).alias("down"), "text")))
+    ordered = F.sort_array(F.collect_list(F.struct((-F.col("anchor")).alias("down"), "text")))
     return row_flags(lines).groupBy("doc_id", "page").agg(
         F.sum(tx.char_count(F.col("text"))).alias("chars"),
         F.count(F.lit(1)).alias("rows"),
         F.count_if("split_row").alias("split_rows"),
         F.count_if("tabular_row").alias("tabular_rows"),
         F.count_if("right_start").alias("right_starts"),
-        F.array_join(F.transform(ordered, lambda r: r["text"]), "\n").alias("page_text"),
+        F.array_join(ordered["text"], "\n").alias("page_text"),
     )
 
 
@@ -226,7 +227,7 @@ def layout_documents(fragments: DataFrame, pages: DataFrame) -> DataFrame:
     """
     per_page = pages.join(page_table(group_into_lines(fragments)), ["doc_id", "page"], "left")
     thin = F.when(F.coalesce("chars", F.lit(0)) < MIN_PAGE_CHARS, F.col("page"))
-    texts = F.array_sort(
+    texts = F.sort_array(
         F.collect_list(F.when(F.col("page_text").isNotNull(), F.struct("page", "page_text")))
     )
     total = lambda name: F.coalesce(F.sum(name), F.lit(0)).alias(name)
@@ -234,7 +235,7 @@ def layout_documents(fragments: DataFrame, pages: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(thin)).alias("image_only_pages"),
         F.count(F.lit(1)).cast("int").alias("page_count"),
         *[total(k) for k in ("rows", "split_rows", "tabular_rows", "right_starts")],
-        F.array_join(F.transform(texts, lambda p: p["page_text"]), "\n").alias("raw"),
+        F.array_join(texts["page_text"], "\n").alias("raw"),
     )
     df = pin(df, "text", tx.normalise_text(F.col("raw")))
     share = lambda name: F.coalesce(F.col(name) / F.nullif(F.col("rows"), F.lit(0)), F.lit(0.0))
@@ -289,9 +290,9 @@ def block_documents(blocks: DataFrame, headers: DataFrame) -> DataFrame:
     A document whose page count is unknown has one page.
     """
     lines = lines_from_blocks(blocks)
-    ordered = F.array_sort(F.collect_list(F.struct("ord", "part", "text")))
+    ordered = F.sort_array(F.collect_list(F.struct("ord", "part", "text")))
     texts = lines.groupBy("doc_id").agg(
-        F.array_join(F.transform(ordered, lambda r: r["text"]), "\n").alias("raw"),
+        F.array_join(ordered["text"], "\n").alias("raw"),
         F.count(F.lit(1)).alias("n_lines"),
     )
     sums = blocks.groupBy("doc_id").agg(

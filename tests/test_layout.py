@@ -1,7 +1,9 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
+from docassay.functions.patterns import WS_CHARS
 from docassay.operators import layout as ly
 from docassay.operators.facts import text_documents
 from docassay.plans.score import score_documents
@@ -121,3 +123,19 @@ def test_row_filters_do_not_repeat_the_clusters(spark, sf):
     for run in (cl.c04_split_rows, cl.c05_tabular_rows, cl.c06_right_starts):
         plan = run(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
         assert not [line for line in plan.split("\n") if " Filter " in line and "transform(" in line]
+
+
+def test_words_are_counted_in_one_pass(spark):
+    texts = ["", " ", "a", "-- a1 -", "é", "x y﻿z", "ab-cd (e) ... 1,000", " , b ,", "　é9é é"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", ly.count_words(F.col("t")).alias("n"))
+    assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
+    spaces = "[" + re.escape(WS_CHARS) + "]+"
+    assert {r.t: r.n for r in df.collect()} == {t: sum(bool(re.search("[A-Za-z0-9]", w)) for w in re.split(spaces, t)) for t in texts}
+
+
+def test_rows_of_fragments_sort_by_their_type(spark):
+    """Sizes that are null stand last; a row's fragments are sorted without a comparing lambda."""
+    rows = [("d", 1, 595.0, i, 60.0 + 50 * i, 100.0 + 50 * i, 10.0, size, f"w{i}") for i, size in enumerate([None, 12.0, 11.0])]
+    lines = ly.group_into_lines(spark.createDataFrame(rows, SCHEMA))
+    assert [(r.text, r.size, r.right) for r in lines.collect()] == [("w0 w1 w2", 12.0, 200.0)]
+    assert "lambda left" not in lines._jdf.queryExecution().optimizedPlan().toString()
