@@ -149,7 +149,7 @@ def a08_markdown_with_posting(spark, sf):
 
     docs = structured(spark, sf)
     texts = docs.select("doc_id", "text")
-    best = mt.match_report(mt.match_postings(texts, mined(spark, sf), pairs(spark, sf, texts)))
+    best = mt.match_report(mt.match_postings(texts, mined(spark, sf), pairs(spark, sf)))
     one = best.groupBy("doc_id").agg(F.min_by(F.struct("coverage", "skill_coverage", "matched", "missing"), "posting_id").alias("m"))
     joined = reports(docs).join(one.select("doc_id", "m.*"), "doc_id", "left")
     text = sinks.report_markdown(joined)

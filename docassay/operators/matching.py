@@ -12,16 +12,22 @@ Only the pairs asked for are compared, so the result is as large as the request.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from dataclasses import dataclass
+import zlib
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from docassay.functions import text as tx
 from docassay.functions.phrasing import percent
-from docassay.functions.rows import explode_rows, explode_values, pin
+from docassay.functions.rows import explode_rows, explode_values
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -50,6 +56,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 WORD = "[a-z0-9+#]+"
+_WORD = re.compile(f"({WORD})")
+#: Bits of a vocabulary's table (4 MB), keys whose bits a task remembers, rows a task hands on together.
+SLOTS, REMEMBERED, TOGETHER = 1 << 25, 1 << 20, 1 << 16
 
 
 @dataclass(frozen=True)
@@ -64,13 +73,15 @@ class Vocabulary:
     #: Whether terms are to be met by position: single words with signs around them, word pairs.
     words: bool
     pairs: bool
+    #: Bit tables of the keys that prove a term, of those met by position and of the words that word pairs begin with.
+    bits: tuple[np.ndarray, ...]
 
 
 def vocabulary(terms: DataFrame) -> Vocabulary:
     """Distinct terms with the keys that texts are joined on; an empty term stands nowhere.
 
-    Reads the terms once for the few figures that the texts' side depends on. Only the lengths of
-    terms made of signs alone reach the driver.
+    Reads the terms once, and their keys for the few figures that the texts' side depends on. Only the
+    lengths of terms made of signs alone and bit tables of fixed size reach the driver.
     """
     t = F.col("term")
     cut = terms.select("term").distinct().filter("term <> ''").select(
@@ -98,70 +109,118 @@ def vocabulary(terms: DataFrame) -> Vocabulary:
         F.max("signs"), F.bool_or(by_place & (F.col("n") == 1)), F.bool_or(by_place & (F.col("n") > 1)),
         F.collect_set(F.when(alone, F.length("term"))),
     ).first()
+    heads = keys.filter("n > 1").select(F.regexp_extract("key", WORD, 0).alias("key"))
     return Vocabulary(
-        keys.select("key", "placed", "term", "step", "steps", "lead", "trail"), int(signs or 0), tuple(sorted(lengths)), bool(words), bool(pairs)
+        keys.select("key", "placed", "term", "step", "steps", "lead", "trail"), int(signs or 0), tuple(sorted(lengths)), bool(words), bool(pairs),
+        (bit_table(keys.filter("not placed")), bit_table(keys.filter("placed")), bit_table(heads)),
     )
 
 
-def doc_keys(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """``(doc_id, key, place, left, right)``: what a text holds, cut as the vocabulary needs it.
+def bit_table(keys: DataFrame) -> np.ndarray:
+    """Which slots the keys' checksums fall into, one bit each: as large for any number of keys.
 
-    ``place`` is -1 for keys that prove a term; these are distinct within a text. ``left`` and
-    ``right`` are the signs around a placed key, as many as a term can have and one character more;
-    a word beyond them counts as that character.
+    A text's key whose bit is not set is in no vocabulary row; one whose bit is set goes on to the join.
     """
-    lower = F.lower("text")
-    cut = F.struct(F.regexp_extract_all(lower, F.lit(WORD), F.lit(0)).alias("w"), F.split(lower, WORD, -1).alias("s"))
-    df = pin(docs.select("doc_id", cut.alias("cut")), "cut", F.col("cut"))
-    w, s = F.col("cut.w"), F.col("cut.s")
-    after = lambda i: F.get(s, i + 1)
-    free = lambda i: ~F.endswith(F.get(s, i), F.lit("."))
-    followed = lambda i: (i < F.size(w) - 1) & (F.length(after(i)) <= vocab.signs)
-    pair = lambda word, i: F.concat(word, after(i), F.get(w, i + 1))
-    sure = [F.transform(w, lambda x, i: F.when(free(i), x)), F.transform(w, lambda x, i: F.when(free(i) & followed(i), pair(x, i)))]
-    if vocab.sign_terms:
-        sure.append(_sign_parts(s, vocab.sign_terms))
-    parts = [
-        F.transform(
-            F.array_distinct(F.array_compact(F.concat(*sure))),
-            lambda k: F.struct(k.alias("key"), F.lit(-1).alias("place"), F.lit("").alias("left"), F.lit("").alias("right")),
-        )
-    ]
-    left = lambda i: F.right(F.concat(F.when(i > 0, F.lit("w")).otherwise(F.lit("")), F.get(s, i)), F.lit(vocab.signs + 1))
-    right = lambda i: F.left(F.concat(after(i), F.when(i < F.size(w) - 1, F.lit("w")).otherwise(F.lit(""))), F.lit(vocab.signs + 1))
-    entry = lambda key, i, last: F.struct(key.alias("key"), i.alias("place"), left(i).alias("left"), right(last).alias("right"))
-    if vocab.words:
-        parts.append(F.transform(w, lambda x, i: entry(x, i, i)))
-    if vocab.pairs:
-        parts.append(F.filter(F.transform(w, lambda x, i: F.when(followed(i), entry(pair(x, i), i, i + 1))), lambda e: e.isNotNull()))
-    return explode_rows(df, ["doc_id"], F.concat(*parts) if len(parts) > 1 else parts[0])
+    slot = F.crc32(F.col("key").cast("binary")) % SLOTS + 1
+    rows = keys.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")
+    )
+    table = np.zeros(SLOTS // 8, np.uint8)
+    for bucket, bits in rows.collect():
+        table[(bucket - 1) * len(bits) : bucket * len(bits)] = np.frombuffer(bits, np.uint8)
+    return table
+
+
+class Known(dict):
+    """Whether a key's bit is set, remembered for the keys met lately."""
+
+    def __init__(self, table: np.ndarray):
+        super().__init__()
+        self.table = table.tobytes()
+
+    def __missing__(self, key: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        slot = zlib.crc32(key.encode("utf-8", "replace")) % SLOTS
+        self[key] = bit = self.table[slot >> 3] >> (slot & 7) & 1
+        return bit
 
 
-def _sign_parts(s: Column, lengths: tuple[int, ...]) -> Column:
-    """Parts of the text's stretches of signs, of the given lengths, that no word or left dot touches.
+def sign_parts(s: list[str], length: int) -> set[str]:
+    """Parts of the text's stretches of signs, of the given length, that no word or left dot touches.
 
     Of a stretch, its ends count as touched by a word unless they are the text's own ends.
     """
-    last = F.size(s) - 1
-    ends = F.array_distinct(F.transform(s, lambda x, i: F.struct(x.alias("signs"), (i == 0).alias("opens"), (i == last).alias("ends"))))
-    # Characters become a field, so that they are split once a piece and not once for every part.
-    pieces = F.transform(
-        F.filter(ends, lambda p: p["signs"] != ""), lambda p: F.struct(F.split(p["signs"], "").alias("chars"), p["opens"].alias("opens"), p["ends"].alias("ends"))
-    )
+    out, last = set(), len(s) - 1
+    for signs, opens, ends in {(x, i == 0, i == last) for i, x in enumerate(s)}:
+        count = len(signs) - length + 1
+        out.update(
+            signs[o : o + length] for o in range(count) if (signs[o - 1] != "." if o else opens) and (o < count - 1 or ends)
+        )
+    return out
+
 
-    def parts(p: Column, length: int) -> Column:
-        chars = p["chars"]
-        count = F.size(chars) - length + 1
-        fits = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+def text_keys(text: str, vocab: Vocabulary, sure: Known, by_place: Known, heads: Known) -> Iterator[tuple[str, int, str, str]]:
+    """``(key, place, left, right)`` of a lower-case text, but for keys that are surely in no vocabulary row.
+
+    Every distinct word is looked up once; only word pairs whose first word begins one of the
+    vocabulary's are put together.
+    """
+    cut, most = _WORD.split(text), vocab.signs
+    s, w = cut[::2], cut[1::2]
+    last, distinct = len(w) - 1, set(w)
+    begin, prove = {x for x in distinct if heads[x]}, {x for x in distinct if sure[x]}
+    pairs = [
+        (i, x + s[i + 1] + w[i + 1]) for i, x in enumerate(w) if x in begin and i < last and len(s[i + 1]) <= most
+    ]
+    keys = {x for x, signs in zip(w, s) if x in prove and not signs.endswith(".")}
+    keys.update(key for i, key in pairs if not s[i].endswith(".") and sure[key])
+    for length in vocab.sign_terms:
+        keys.update(key for key in sign_parts(s, length) if sure[key])
+    for key in keys:
+        yield key, -1, "", ""
+    placed = [(i, i, key) for i, key in enumerate(w) if by_place[key]] if vocab.words else []
+    if vocab.pairs:
+        placed += [(i, i + 1, key) for i, key in pairs if by_place[key]]
+    for i, end, key in placed:
+        left, right = ("w" if i else "") + s[i], s[end + 1] + ("w" if end < last else "")
+        yield key, i, left[-most - 1 :], right[: most + 1]
 
-        def at(o: Column) -> Column:
-            left = F.when(o == 0, p["opens"]).otherwise(F.get(chars, o - 1) != ".")
-            right = (o < count - 1) | p["ends"]
-            return F.when(left & right, F.concat(*[F.get(chars, o + j) for j in range(length)]))
 
-        return F.array_distinct(F.array_compact(F.transform(fits, at)))
+def doc_keys(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """``(doc_id, key, place, left, right)``: what a text holds, cut as the vocabulary needs it.
 
-    return F.flatten(F.transform(pieces, lambda p: F.flatten(F.array(*[parts(p, n) for n in lengths]))))
+    ``place`` is -1 for keys that prove a term; these are distinct within a text. ``left`` and
+    ``right`` are the signs around a placed key, as many as a term can have and one character more;
+    a word beyond them counts as that character. Keys that the vocabulary's bit tables rule out are
+    dropped where they are cut.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(vocab.bits)
+    bare = replace(vocab, keys=None, bits=())
+    names = ("key", "place", "left", "right")
+    types = (pa.string(), pa.int32(), pa.string(), pa.string())
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = [Known(table) for table in shared.value]
+
+        def out(ids: pa.Array, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+            columns = [pa.array(v, t) for v, t in zip(zip(*rows), types, strict=True)]
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), *columns], names=["doc_id", *names])
+
+        for batch in batches:
+            ids, at, rows = batch.column(0), [], []
+            for i, text in enumerate(batch.column(1)):
+                found = list(text_keys(text.as_py(), bare, *known)) if text.is_valid else []
+                rows += found
+                at += [i] * len(found)
+                if len(rows) >= TOGETHER:
+                    yield out(ids, at, rows)
+                    at, rows = [], []
+            if rows:
+                yield out(ids, at, rows)
+
+    schema = StructType([docs.schema["doc_id"], *(StructField(n, IntegerType() if n == "place" else StringType()) for n in names)])
+    return docs.select("doc_id", F.lower("text").alias("cut")).mapInArrow(cut, schema)
 
 
 def doc_terms(docs: DataFrame, vocab: Vocabulary) -> DataFrame:

@@ -153,3 +153,31 @@ def test_naive_match_searches_before_it_compiles(spark):
     got = mt.match_postings_naive(docs, terms, pairs)
     assert {r["term"] for r in got.filter("matched").collect()} == {"c++", "node.js"} and got.count() == 8
     assert "contains(lower" in got._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_only_keys_of_the_vocabulary_leave_a_text(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    terms = ["the", "machine learning", ".net", "a b c", "//", "...", "nowhere at all"]
+    vocab = mt.vocabulary(spark.createDataFrame([(t,) for t in terms], "term string"))
+    wanted = {(r["key"], r["placed"]) for r in vocab.keys.collect()}
+    met = mt.doc_keys(docs, vocab).select("key", (F.col("place") >= 0).alias("placed"))
+    n, known = met.count(), sum((r["key"], r["placed"]) in wanted for r in met.collect())
+    assert 0 < known >= 0.9 * n  # a few may share a bit
+
+
+def test_bits_are_right_when_forgotten(spark, monkeypatch):
+    monkeypatch.setattr(mt, "REMEMBERED", 3)
+    keys = [f"key {i} é" for i in range(500)]
+    known = mt.Known(mt.bit_table(spark.createDataFrame([(k,) for k in keys], "key string")))
+    assert all(known[k] for k in keys * 2) and len(known) <= 3
+    assert sum(known[f"other {i}"] for i in range(2000)) < 10
+    none = mt.Known(mt.bit_table(spark.createDataFrame([], "key string")))
+    assert not any(none[k] for k in keys)
+
+
+def test_the_request_reads_no_text(spark, sf):
+    from docassay import catalog_terms as ct
+
+    asked = ct.pairs(spark, sf)
+    assert "text" not in asked._jdf.queryExecution().executedPlan().toString()
+    assert asked.count() == 5 * spark.read.parquet(f"{sf}/documents.parquet").count()
