@@ -85,13 +85,35 @@ class Quiet(Held):
     """Sessions of rows no more than ``gap`` microseconds apart; the last row of one is its result.
 
     A session is held as its last row and its first time (``_from``), so a row that arrives late but
-    in time joins the sessions on both sides.
+    in time joins the sessions on both sides. A key has one timer, that of its earliest session, and
+    it releases every session that the watermark has passed: a key's state is read and written once
+    a batch, however many sessions end in it.
     """
 
     def __init__(self, schema: StructType, order: str, gap: int):
         super().__init__(schema)
         self.order, self.gap = order, gap
 
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        before, make = self._read(), Row(*self.schema.names)
+        held = self.arrive(before + [make(*r) for r in rows])
+        old, new = (min((r["_due"] for r in some), default=None) for some in (before, held))
+        if new != old:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(new)
+        self._write(held)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        passed, held = timerValues.getCurrentWatermarkInMs(), self._read()
+        ready, rest = [r for r in held if r["_due"] <= passed], [r for r in held if r["_due"] > passed]
+        if ready:
+            self._write(rest)
+            if rest:
+                self.handle.registerTimer(min(r["_due"] for r in rest))
+        return iter(ready)
+
     def arrive(self, held: list[Row]) -> list[Row]:
         out: list[Row] = []
         for row in sorted(held, key=lambda r: r["_from"]):
@@ -102,9 +124,6 @@ class Quiet(Held):
             out.append(row)
         return out
 
-    def release(self, key, ready: list[Row], rest: list[Row], now: int, watermark: int) -> Iterator[Row]:
-        return iter(ready)
-
 
 class Changes(Held):
     """Every score with its change against the one before, within a generation; the last one is kept for ``keep`` milliseconds."""

@@ -1,7 +1,7 @@
 import datetime as dt
 import random
 
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from docassay.operators import revisions as rv
 from docassay.operators.facts import text_documents
@@ -193,3 +193,57 @@ def test_a_stream_of_reports_goes_on_after_a_restart(spark, sf, tmp_path):
     want = score_documents(text_documents(docs))
     assert sorted(map(tuple, stored.select("doc_id", "score").collect())) == sorted(map(tuple, want.select("doc_id", "score").collect()))
     assert {r.batch for r in stored.select("batch").distinct().collect()} == {0, 1}
+
+
+def test_a_key_with_many_quiet_periods_has_one_timer():
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    from docassay.streaming.stateful import Quiet
+
+    class Store:
+        def __init__(self):
+            self.held, self.calls, self.timers = [], 0, set()
+
+        def getListState(self, name, schema):
+            return self
+
+        def get(self):
+            self.calls += 1
+            return iter(self.held)
+
+        def put(self, rows):
+            self.calls, self.held = self.calls + 1, rows
+
+        def clear(self):
+            self.put([])
+
+        def registerTimer(self, at):
+            self.calls += 1
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            self.calls += 1
+            self.timers.discard(at)
+
+    class Now:
+        def __init__(self, at):
+            self.at = at
+
+        def getCurrentWatermarkInMs(self):
+            return self.at
+
+        def getExpiryTimeInMs(self):
+            return self.at
+
+    names = ["rev", "_at", "_from", "_due"]
+    store, quiet = Store(), Quiet(StructType([StructField(n, LongType()) for n in names]), "rev", 500)
+    quiet.init(store)
+    rows = [Row(*names)(i, i * 1000_000, i * 1000_000, i * 1000 + 1) for i in range(400)]
+    assert list(quiet.handleInputRows((1,), iter(rows[200:]), Now(0))) == [] and store.timers == {200_001}
+    assert list(quiet.handleInputRows((1,), iter(rows[:200]), Now(0))) == [] and store.timers == {1}
+    store.timers.clear()
+    out = list(quiet.handleExpiredTimer((1,), Now(300_001), Now(1)))
+    assert [r["rev"] for r in out] == list(range(301)) and store.timers == {301_001}
+    store.timers.clear()
+    assert [r["rev"] for r in quiet.handleExpiredTimer((1,), Now(10**9), Now(301_001))] == list(range(301, 400))
+    assert not store.timers and not store.held and store.calls < 20
