@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,7 +62,7 @@ def first_by_hash(rows: DataFrame, n: int, group: str) -> DataFrame:
     return below.withColumn("_place", F.row_number().over(first)).filter(F.col("_place") <= n).select("doc_id", group)
 
 
-def spans_of(sizes: Sequence[int], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def spans_of(sizes: Sequence[int], limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Index ranges whose sizes add up to about ``limit``; a larger single item is a range of its own."""
     start = total = 0
     for i, n in enumerate(sizes):
@@ -72,6 +74,15 @@ def spans_of(sizes: Sequence[int], limit: int = 1 << 20) -> Iterator[tuple[int,
         yield start, len(sizes)
 
 
+def texts_of(column: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int, list[str]]]:
+    """Index ranges of a batch's texts of about ``limit`` bytes, and these texts; null is empty.
+
+    A worker holds the batch once, and few of its texts as strings.
+    """
+    for a, b in spans_of(pc.fill_null(pc.binary_length(column), 0).to_pylist(), limit):
+        yield a, b, [t or "" for t in column.slice(a, b - a).to_pylist()]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``edges(a, b)``; the root is the smallest node.
 

@@ -14,10 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docassay.llm.common import spans_of, stored, table
+from docassay.llm.common import stored, table, texts_of
 from docassay.llm.grams import mix, word_hashes
 
 #: 1: the word counts, 0: any word may stand there.
@@ -128,16 +129,18 @@ def contaminated(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MAS
     bits[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
     everywhere = spark.sparkContext.broadcast(bits.view(np.uint64))
 
-    def survivors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("words", pa.binary()), *((c, pa.list_(pa.int64())) for c in ("at", "seed"))])
+
+    def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = everywhere.value
 
         def has(at: np.ndarray) -> np.ndarray:
             return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
 
-        for f in frames:
-            ids, texts = f["doc_id"].to_numpy(np.int64), f["text"].tolist()
-            for a, b in spans_of([len(t) for t in texts]):
-                lines = [(i, line) for i, t in enumerate(texts[a:b]) for line in t.split("\n")]
+        for f in batches:
+            ids = f.column("doc_id").to_numpy(zero_copy_only=False)
+            for a, _, texts in texts_of(f.column("text")):
+                lines = [(i, line) for i, t in enumerate(texts) for line in t.split("\n")]
                 words, line = words_of([t for _, t in lines])  # no word holds a line's end
                 doc = np.array([i for i, _ in lines], np.int64)[line]
                 edge = np.concatenate(([True], line[1:] != line[:-1], [True])) if len(line) else np.zeros(0, bool)
@@ -164,11 +167,11 @@ def contaminated(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MAS
                     head, tail = np.searchsorted(doc, d, "left"), np.searchsorted(doc, d, "right")
                     low, high = max(head, at[s] - longest), min(tail, at[e - 1] + span + longest)
                     out.append((ids[a + d], int(low - head), words[low:high].tobytes(), (at[s:e] - head).tolist(), h[s:e].view(np.int64).tolist()))
-                yield pd.DataFrame(out, columns=["doc_id", "start", "words", "at", "seed"])
+                yield pa.RecordBatch.from_pydict(dict(zip(kinds.names, zip(*out, strict=True), strict=True)), kinds)
 
     read = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
     stretches = stored(
-        read.mapInPandas(survivors, "doc_id long, start long, words binary, at array<long>, seed array<long>")
+        read.mapInArrow(survivors, "doc_id long, start long, words binary, at array<long>, seed array<long>")
         .withColumn("stretch", F.monotonically_increasing_id()),
         "stretches",
     )

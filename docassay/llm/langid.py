@@ -13,10 +13,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docassay.llm.common import first_by_hash, spans_of, stored, table
+from docassay.llm.common import first_by_hash, spans_of, stored, table, texts_of
 from docassay.llm.grams import mix
 from docassay.llm.subword import fold
 
@@ -24,7 +25,7 @@ DIMENSIONS = 512
 #: Documents of each language that its prototype is made of, at most: the first by a hash of doc_id.
 ROWS = 400
 UNKNOWN = "und"
-_BLOCK, _GRAMS = 256, 8192
+_BLOCK, _GRAMS = 128, 4096
 
 
 @lru_cache(maxsize=1)
@@ -121,16 +122,17 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
     dims = len(profiles[names[0]]) if names else 64
     shared = docs.sparkSession.sparkContext.broadcast(np.array([profiles[n] for n in names], np.float32).reshape(len(names), dims))
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(text: pd.Series) -> pd.DataFrame:
-        texts, known = [t or "" for t in text], shared.value
-        pred, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-        for a, b, v, has in _vectors(texts, dims) if len(names) else ():
-            cosine = unit(v) @ known.T
-            best = cosine.argmax(axis=1)
-            pred[a:b] = np.where(has, np.array(names, object)[best], UNKNOWN)
-            score[a:b] = np.where(has, np.clip(cosine[np.arange(b - a), best], 0, 1), 0)
-        return pd.DataFrame({"lang_pred": pd.Series(pred, dtype=object), "score": score})
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(text: pa.Array) -> pa.Array:
+        known = shared.value
+        pred, score = np.full(len(text), UNKNOWN, object), np.zeros(len(text))
+        for first, _, texts in texts_of(text) if len(names) else ():
+            for a, b, v, has in _vectors(texts, dims):
+                cosine = unit(v) @ known.T
+                best = cosine.argmax(axis=1)
+                pred[first + a : first + b] = np.where(has, np.array(names, object)[best], UNKNOWN)
+                score[first + a : first + b] = np.where(has, np.clip(cosine[np.arange(b - a), best], 0, 1), 0)
+        return pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
 
     added = docs.drop("lang_pred", "score").withColumn("_p", predict("text"))
     return added.select(*[c for c in added.columns if c != "_p"], "_p.lang_pred", "_p.score")

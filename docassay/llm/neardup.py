@@ -18,10 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docassay.llm.common import components, spans_of, stored, table
+from docassay.llm.common import components, spans_of, stored, table, texts_of
 from docassay.llm.grams import distinct_counts, mix, shingles, text_keys, word_hashes
 
 REGISTERS, ROWS = 144, 6
@@ -117,17 +118,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, register
     """
     columns = "doc_id long, one long, two long, n long, bands array<long>, bytes binary"
 
-    def sketched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            ids, texts = f["doc_id"].to_numpy(np.int64), [t or "" for t in f["text"]]
-            for a, b in spans_of([len(t) for t in texts]):
-                s = sketch(texts[a:b], size, registers, rows)
-                yield pd.DataFrame(
-                    {"doc_id": ids[a:b], "one": [k[0] for k in s["key"]], "two": [k[1] for k in s["key"]], "n": s["n"], "bands": s["bands"], "bytes": s["bytes"]}
+    kinds = pa.schema([*((c, pa.int64()) for c in ("doc_id", "one", "two", "n")), ("bands", pa.list_(pa.int64())), ("bytes", pa.binary())])
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in batches:
+            ids = f.column("doc_id").to_numpy(zero_copy_only=False)
+            for a, b, texts in texts_of(f.column("text")):
+                s = sketch(texts, size, registers, rows)
+                yield pa.RecordBatch.from_pydict(
+                    {"doc_id": ids[a:b], "one": [k[0] for k in s["key"]], "two": [k[1] for k in s["key"]], "n": s["n"], "bands": s["bands"], "bytes": s["bytes"]}, kinds
                 )
 
     spread = docs.filter("doc_id is not null").select("doc_id", "text")
-    sketches = stored(spread.mapInPandas(sketched, columns), "sketches")
+    sketches = stored(spread.mapInArrow(sketched, columns), "sketches")
     filled = sketches.filter("n > 0")
     copies = stored(filled.groupBy("one", "two").agg(F.min("doc_id").alias("node")), "texts")
     texts = stored(
@@ -160,13 +163,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, register
     led = placed.filter("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     first = stored(alike(led), "pairs")
 
-    def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            ids, whole = f["doc_id"].to_numpy(np.int64), f["text"].tolist()
-            for a, b in spans_of([len(t) for t in whole]):
-                values, owner, _ = distinct_counts(*shingles(*word_hashes(whole[a:b]), size))
-                cut = np.searchsorted(owner, np.arange(b - a + 1))
-                yield pd.DataFrame({"node": ids[a:b], "set": [values[s:e].tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)]})
+    def sets(f: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids = f.column("doc_id").to_numpy(zero_copy_only=False)
+        for a, b, texts in texts_of(f.column("text")):
+            values, owner, _ = distinct_counts(*shingles(*word_hashes(texts), size))
+            cut = np.searchsorted(owner, np.arange(b - a + 1))
+            found = {"node": ids[a:b], "set": [values[s:e].tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)]}
+            yield pa.RecordBatch.from_pydict(found, pa.schema([("node", pa.int64()), ("set", pa.binary())]))
 
     def jaccard(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -181,13 +184,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, register
     wanted = placed.select("node").distinct()
     everywhere = docs.sparkSession.sparkContext.broadcast(marked_ids(wanted))
 
-    def likely(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield from sets([f[has_ids(everywhere.value, f["doc_id"].to_numpy(np.int64))]])
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in batches:
+            yield from sets(f.filter(pa.array(has_ids(everywhere.value, f.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)))))
 
     # Only texts that share a band are needed. Most others fall to the bit table before anything is
     # shuffled, and the join takes care of the rest.
-    found = spread.filter("text is not null").mapInPandas(likely, "node long, set binary").join(wanted, "node", "left_semi")
+    found = spread.filter("text is not null").mapInArrow(likely, "node long, set binary").join(wanted, "node", "left_semi")
     known = stored(found.dropDuplicates(["node"]), "sets")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:

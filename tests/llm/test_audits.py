@@ -230,3 +230,29 @@ def test_a_querys_own_row_does_not_set_the_first_radius(monkeypatch):
     monkeypatch.setattr(ann.SortedArrays, "collisions", lambda self, low, high, of=ann.SortedArrays.collisions: counted.append(1) or of(self, low, high))
     shard.nearest(rows[20], 20, 20)
     assert len(counted) < 10
+
+
+def test_a_batch_is_read_in_small_parts():
+    """A worker holds little beside its batch: texts come as strings some at a time, and blocks are small."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from docassay.llm import langid, neardup
+    from docassay.llm.common import texts_of
+
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    texts = [None, "", "é" * 300_000] + [" ".join(rng.choices(words, k=500)) for _ in range(1200)]
+    parts = list(texts_of(pa.array(texts)))
+    assert [t for _, _, p in parts for t in p] == [t or "" for t in texts] and [a for a, _, _ in parts][1:] == [b for _, b, _ in parts][:-1]
+    sizes = [[len(t.encode()) for t in p] for _, _, p in parts]
+    assert all(sum(s) - max(s) <= 1 << 18 for s in sizes)
+    tracemalloc.start()
+    for _, _, p in texts_of(pa.array(texts[3:])):
+        neardup.sketch(p, 5, neardup.REGISTERS, neardup.ROWS)
+        for _ in langid._vectors(p, langid.DIMENSIONS):
+            pass
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak < 60, peak
