@@ -2,34 +2,45 @@
 
 Generators propose more than they should: every run of digits and signs, everything around an @ or
 its spelt-out forms, overlapping. Trees over format and context features score the proposals; a
-threshold for each kind, set on rows that the trees have not seen, selects. Spans that the fixed
+threshold for each kind, set on texts that the trees have not seen, selects. Spans that the fixed
 patterns find always stay.
+
+Trees and thresholds come from all texts: these become counted rows of small numbers, and each level
+of a tree is one pass over the counted rows that adds up histograms of a fixed size.
 """
 
 from __future__ import annotations
 
 import bisect
+import itertools
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from docassay.llm.common import first_by_hash, table
+from docassay.llm.common import stored, table, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents that the trees learn from, at most, and proposals taken from them: those first by a hash.
-ROWS, PROPOSALS = 4000, 40000
 #: Share of accepted held-back proposals that must be right.
 PRECISION = 0.995
-#: Fewer proposals in the sample grow no trees; a kind with fewer accepted held-back ones is not extended.
+#: Fewer examples in all texts grow no trees; a kind with fewer accepted held-back ones is not extended.
 LEAST_SAMPLE, LEAST_HELD = 100, 20
-#: Made-up spans of each kind that op5 learns from beside those of the sample, so that every table has enough.
+#: Made-up spans of each kind that op5 learns from beside those of the texts, so that every table has enough.
 FORMS = 2000
-TREES, DEPTH, BINS, RATE = 40, 3, 24, 0.3
+#: All examples of the texts count at most so many times as much as all made-up ones, which then count several times.
+MOST = 5
+TREES, DEPTH, RATE = 40, 3, 0.3
+#: Ends of the bins of every feature: whole numbers up to 32, then wider.
+EDGES = np.array([*range(33), 40, 50, 64, 99, 127, 199, 255, 399, 511, 999, 1899, 2099, *(10**k - 1 for k in range(4, 11))]) + 0.5
+BINS = len(EDGES) + 1
+#: Slopes are whole numbers of 1 / SCALE and leaves of 1 / STEP, so that no sum depends on its order.
+SCALE, STEP = 1 << 20, 1 << 10
 
 _ZONE = re.compile(r"[0-9+][0-9 ().+\-]*")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -269,102 +280,170 @@ def made_examples(n: int) -> list[tuple[list[float], int]]:
     return out
 
 
-class Trees:
-    """Boosted trees of fixed depth for the logistic loss, grown on histograms of quantile bins."""
+def binned(x: np.ndarray) -> np.ndarray:
+    return np.searchsorted(EDGES, x, "left").astype(np.uint8)
 
-    def __init__(self, edges: np.ndarray, start: float, trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        self.edges, self.start, self.trees = edges, start, trees
 
-    def bins(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(self.edges)], axis=1)
+class Trees:
+    """Boosted trees of fixed depth for the logistic loss, grown on histograms of fixed bins."""
+
+    def __init__(self, start: float, trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        self.start, self.trees = start, trees
 
     def margin(self, x: np.ndarray) -> np.ndarray:
-        binned, out, rows = self.bins(x), np.full(len(x), self.start), np.arange(len(x))
+        return self.margin_of(binned(x))
+
+    def margin_of(self, codes: np.ndarray) -> np.ndarray:
+        out = np.full(len(codes), self.start)
         for feature, cut, leaf in self.trees:
-            node = np.zeros(len(x), np.int64)
-            for _ in range(DEPTH):
-                node = 2 * node + 1 + (binned[rows, feature[node]] > cut[node])
-            out += leaf[node - (2**DEPTH - 1)]
+            out += leaf[descend(codes, feature, cut, DEPTH) - (2**DEPTH - 1)]
         return out
 
     @classmethod
     def grow(cls, x: np.ndarray, y: np.ndarray) -> "Trees":
-        edges = np.quantile(x, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
-        share = min(max(float(y.mean()), 1e-4), 1 - 1e-4)
-        model = cls(edges, float(np.log(share / (1 - share))), [])
-        binned, margin, n_nodes = model.bins(x), np.full(len(x), model.start), 2**DEPTH - 1
+        codes, one = binned(x), np.ones(len(x), np.int64)
+        return cls.boost(len(y), int(y.sum()), lambda *ask: histogram(codes, y, one, *ask))
+
+    @classmethod
+    def boost(cls, n: int, right: int, ask: Callable[..., np.ndarray]) -> "Trees":
+        """Trees for ``n`` examples, ``right`` of label 1. ``ask(model, feature, cut, level)`` is their histogram over the nodes of a level of the tree begun."""
+        share = min(max(right / n if n else 0.5, 1e-4), 1 - 1e-4)
+        model, n_nodes = cls(_stepped(np.log(share / (1 - share))), []), 2**DEPTH - 1
         for _ in range(TREES):
-            p = 1 / (1 + np.exp(-margin))
-            grad, curve = y - p, p * (1 - p)
-            node = np.zeros(len(x), np.int64)
             feature, cut = np.zeros(n_nodes, np.int64), np.full(n_nodes, BINS)
             for level in range(DEPTH):
                 first, width = 2**level - 1, 2**level
-                best = np.full(width, 1e-9)
-                for j in range(x.shape[1]):
-                    cell = (node - first) * BINS + binned[:, j]
-                    g = np.cumsum(np.bincount(cell, grad, width * BINS).reshape(width, BINS), axis=1)
-                    h = np.cumsum(np.bincount(cell, curve, width * BINS).reshape(width, BINS), axis=1)
-                    all_g, all_h = g[:, -1:], h[:, -1:]
-                    gain = g**2 / (h + 1) + (all_g - g) ** 2 / (all_h - h + 1) - all_g**2 / (all_h + 1)
-                    at = gain.argmax(axis=1)
-                    top = gain[np.arange(width), at]
-                    better = np.flatnonzero(top > best)
-                    best[better], feature[first + better], cut[first + better] = top[better], j, at[better]
-                node = 2 * node + 1 + (binned[np.arange(len(x)), feature[node]] > cut[node])
-            leaves = node - n_nodes
-            leaf = RATE * np.bincount(leaves, grad, n_nodes + 1) / (np.bincount(leaves, curve, n_nodes + 1) + 1)
+                g, h = np.cumsum(ask(model, feature, cut, level) / SCALE, axis=3)  # node, feature, bin
+                all_g, all_h = g[:, :, -1:], h[:, :, -1:]
+                gain = g**2 / (h + 1) + (all_g - g) ** 2 / (all_h - h + 1) - all_g**2 / (all_h + 1)
+                flat = gain.reshape(width, -1)
+                at = flat.argmax(axis=1)
+                for node in np.flatnonzero(flat[np.arange(width), at] > 1e-9):
+                    feature[first + node], cut[first + node] = divmod(int(at[node]), BINS)
+            last, split = np.arange(width), np.minimum(cut[first:], BINS - 1)
+            left = np.stack((g, h))[:, last, feature[first:], split]
+            both = np.stack((left, np.stack((g, h))[:, :, 0, -1] - left), axis=2).reshape(2, -1)  # children in order
+            leaf = _stepped(RATE * both[0] / (both[1] + 1))
             model.trees.append((feature, cut, leaf))
-            margin += leaf[leaves]
+            if not leaf.any():
+                break  # every further tree would be the same
         return model
 
 
+def _stepped(x: np.ndarray) -> np.ndarray:
+    return np.round(np.asarray(x) * STEP) / STEP
+
+
+def descend(codes: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int) -> np.ndarray:
+    """The node each row comes to after so many levels."""
+    node, rows = np.zeros(len(codes), np.int64), np.arange(len(codes))
+    for _ in range(levels):
+        node = 2 * node + 1 + (codes[rows, feature[node]] > cut[node])
+    return node
+
+
+def histogram(codes: np.ndarray, y: np.ndarray, n: np.ndarray, model: Trees, feature: np.ndarray, cut: np.ndarray, level: int) -> np.ndarray:
+    """Sums of slope and curvature, in whole 1 / SCALE, by node of the level, feature and bin; each row counts ``n`` times."""
+    p = 1 / (1 + np.exp(-model.margin_of(codes)))
+    width = 2**level
+    node = descend(codes, feature, cut, level) - (width - 1)
+    out = np.zeros((2, width, N_FEATURES, BINS), np.int64)
+    for k, value in enumerate((y - p, p * (1 - p))):
+        whole = np.rint(value * SCALE) * n
+        for j in range(N_FEATURES):
+            out[k, :, j] = np.bincount(node * BINS + codes[:, j], whole, width * BINS).reshape(width, BINS).astype(np.int64)
+    return out
+
+
 def thresholds(model: Trees, x: np.ndarray, y: np.ndarray, least_held: int = LEAST_HELD) -> np.ndarray:
     """For each kind the lowest margin above which ``PRECISION`` of at least ``least_held`` held-back proposals are right; infinite without one.
 
     It lies half way to the next lower margin, or at even odds if nothing was held back below.
     """
-    out, margin = np.full(len(KINDS), np.inf), model.margin(x)
-    for k in range(len(KINDS)):
-        own = np.flatnonzero(x[:, 0] == k)
-        own = own[np.argsort(-margin[own], kind="stable")]
-        right = np.cumsum(y[own]) / np.arange(1, len(own) + 1)
-        last = np.append(margin[own][1:] < margin[own][:-1], True) if len(own) else np.zeros(0, bool)  # ties stand or fall together
-        good = np.flatnonzero((right >= PRECISION) & last & (np.arange(1, len(own) + 1) >= least_held))
+    return cut_offs(pd.DataFrame({"kind": x[:, 0].astype(np.int64), "margin": model.margin(x), "n": 1, "good": y}), least_held)
+
+
+def cut_offs(counted: pd.DataFrame, least_held: int) -> np.ndarray:
+    """The same from numbers (n) of held-back proposals by kind and margin, ``good`` of them right."""
+    out = np.full(len(KINDS), np.inf)
+    for k, own in counted.groupby(["kind", "margin"], as_index=False).sum().groupby("kind"):
+        own = own.sort_values("margin", ascending=False)
+        margin, n = own["margin"].to_numpy(), own["n"].to_numpy().cumsum()
+        good = np.flatnonzero((own["good"].to_numpy().cumsum() / n >= PRECISION) & (n >= least_held))
         if len(good):
-            last_in = margin[own][good[-1]]
-            below = margin[own][good[-1] + 1 :]
-            out[k] = (last_in + below[0]) / 2 if len(below) else min(last_in, 0.0)
+            below = margin[good[-1] + 1 :]
+            out[int(k)] = (margin[good[-1]] + below[0]) / 2 if len(below) else min(margin[good[-1]], 0.0)
     return out
 
 
-def learn(docs: DataFrame, rows: int = ROWS, least_sample: int = LEAST_SAMPLE, least_held: int = LEAST_HELD, forms: int = 0) -> tuple[Trees | None, np.ndarray]:
-    """Trees and thresholds from the ``rows`` documents that come first by a hash of their ids, and ``forms`` made-up spans of each kind.
+def counted_examples(docs: DataFrame) -> DataFrame:
+    """``(codes, y, held, n)``: the examples of all texts in bins, equal ones counted; a quarter of all texts is held back, copies together."""
+    kinds = pa.schema([("codes", pa.binary()), ("y", pa.int32()), ("held", pa.bool_()), ("n", pa.int64())])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in batches:
+            held = f.column("held").to_pylist()
+            for a, _, texts in texts_of(f.column("text")):
+                found = [(*x, y, held[a + i]) for i, text in enumerate(texts) for x, y in examples(text)]
+                if found:
+                    data = np.array(found, np.float64)
+                    rows = np.concatenate((binned(data[:, :-2]), data[:, -2:].astype(np.uint8)), axis=1)
+                    rows, n = np.unique(rows, axis=0, return_counts=True)
+                    codes = [r.tobytes() for r in rows[:, :-2]]
+                    yield pa.RecordBatch.from_pydict({"codes": codes, "y": rows[:, -2], "held": rows[:, -1] == 1, "n": n}, kinds)
+
+    texts = docs.filter("text is not null").select("text", (F.pmod(F.xxhash64("text"), F.lit(4)) == 0).alias("held"))
+    return texts.mapInArrow(gather, "codes binary, y int, held boolean, n long").groupBy("codes", "y", "held").agg(F.sum("n").alias("n"))
+
+
+def learn(docs: DataFrame, least_sample: int = LEAST_SAMPLE, least_held: int = LEAST_HELD, forms: int = 0) -> tuple[Trees | None, np.ndarray]:
+    """Trees and thresholds from all texts of ``docs``, and ``forms`` made-up spans of each kind.
 
     With fewer than ``least_sample`` examples there are no trees, and a kind with fewer than
     ``least_held`` accepted held-back examples has an infinite threshold: only base spans are found.
-    With ``FORMS`` made-up spans no table falls below these bounds. Of rows that share a doc_id the
-    smallest text counts.
+    With ``FORMS`` made-up spans no table falls below these bounds. Only histograms, and numbers of
+    held-back examples by margin, come to the driver; their size does not follow from that of ``docs``.
     """
-    texts = docs.filter("text is not null").select("doc_id", "text")
-    chosen = first_by_hash(texts.withColumn("all", F.lit(0)), rows, "all").select("doc_id")
+    counted = stored(counted_examples(docs), "examples")
+    sizes = {r["held"]: (r["n"], r["good"]) for r in counted.groupBy("held").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("good")).collect()}
+    n_found = sum(n for n, _ in sizes.values())
+    made = made_examples(forms)
+    if n_found + len(made) < least_sample:
+        return None, np.full(len(KINDS), np.inf)
+    codes = binned(np.array([x for x, _ in made], np.float64).reshape(len(made), N_FEATURES))
+    y = np.array([y for _, y in made], np.int64)
+    often = np.full(len(made), max(1, n_found // (MOST * len(made))) if made else 1)
+    held = np.random.default_rng(5).random(len(made)) < 0.25  # made-up forms take turns, so a fixed step would split by form
+
+    def arrays(f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.frombuffer(b"".join(f["codes"]), np.uint8).reshape(len(f), N_FEATURES), f["y"].to_numpy(), f["n"].to_numpy()
 
-    def gather(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def blocks(rows: Iterator[Row]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        while part := list(itertools.islice(rows, 1 << 16)):
+            yield np.frombuffer(b"".join(r["codes"] for r in part), np.uint8).reshape(len(part), N_FEATURES), *(np.array([r[c] for r in part], np.int64) for c in ("y", "n"))
+
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    seen = counted.filter("not held").select("codes", "y", "n").coalesce(cores).rdd.mapPartitions(blocks).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def ask(*of) -> np.ndarray:
+        out = histogram(codes[~held], y[~held], often[~held], *of)
+        for part in seen.mapPartitions(lambda b: [sum(histogram(*x, *of) for x in b)]).collect() if False in sizes else ():
+            out += part  # 0 of a partition without rows
+        return out
+
+    n, right = sizes.get(False, (0, 0))
+    model = Trees.boost(n + int(often[~held].sum()), right + int((often * y)[~held].sum()), ask)
+    seen.unpersist()
+
+    def judged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            found = [(*x, y) for text in f["text"] for x, y in examples(text)]
-            if found:
-                yield pd.DataFrame({"row": [np.array(r, np.float64).tobytes() for r in found]})
-
-    read = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
-    found = read.mapInPandas(gather, "row binary").orderBy(F.xxhash64("row"), "row").limit(PROPOSALS).collect()
-    made = [(*x, y) for x, y in made_examples(forms)]
-    if len(found) + len(made) < least_sample:
-        return None, np.full(len(KINDS), np.inf)
-    data = np.frombuffer(b"".join(r[0] for r in found)).reshape(len(found), N_FEATURES + 1)
-    data = np.concatenate((data, np.array(made).reshape(len(made), N_FEATURES + 1)))
-    held = np.random.default_rng(5).random(len(data)) < 0.25  # made-up forms take turns, so a fixed step would split by form
-    model = Trees.grow(data[~held, :-1], data[~held, -1])
-    return model, thresholds(model, data[held, :-1], data[held, -1], least_held)
+            rows, y, n = arrays(f)
+            yield pd.DataFrame({"kind": rows[:, 0].astype(np.int64), "margin": model.margin_of(rows), "n": n, "good": n * y})
+
+    mine = pd.DataFrame({"kind": codes[held, 0].astype(np.int64), "margin": model.margin_of(codes[held]), "n": often[held], "good": (often * y)[held]})
+    # Margins are multiples of 1 / STEP between fixed bounds: so many rows come at most.
+    theirs = counted.filter("held").mapInPandas(judged, "kind long, margin double, n long, good long").groupBy("kind", "margin").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    return model, cut_offs(pd.concat((mine, theirs.toPandas())), least_held)
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:

@@ -55,3 +55,14 @@ def test_repeated_rows_and_long_texts(spark):
     docs = spark.createDataFrame([(1, "7 . " * 20000 + "a dot " * 20000 + "9" * 50000), (2, "x at y " * 10000)] + [(3, "a@b.com")] * 40, "doc_id long, text string")
     found = {r["doc_id"]: r["base"] for r in pii.find_personal_data(docs, *pii.learn(docs, forms=50)).collect()}
     assert found[3] == "email:0:7" and found[1] == found[2] == ""
+
+
+def test_every_text_counts(spark):
+    """Trees and thresholds come from all texts, in whatever partitions: each of them gives its examples."""
+    texts = [f"write to me.{i}@mail{i % 9}.example.com or call +1 (743) 555-{3000 + i % 6000} from 10.0.{i % 250}.7 {i * 37} times" for i in range(4600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = pii.counted_examples(docs).groupBy().sum("n").first()[0]
+    assert found == sum(len(pii.examples(t)) for t in texts) > 40000
+    models = [pii.learn(docs.limit(60).repartition(k), least_sample=10) for k in (1, 5)]
+    asked = np.random.default_rng(3).integers(0, 40, (200, pii.N_FEATURES)).astype(float)
+    assert (models[0][0].margin(asked) == models[1][0].margin(asked)).all() and (models[0][1] == models[1][1]).all()
