@@ -13,10 +13,7 @@ from docassay.sources.corpus import read_corpus
 
 def fragments(spark, sf):
     """Every word of the documents as a placed text run, 300 to a page, ten to a row."""
-    words = F.transform(
-        tx.words(c("text")), lambda w, i: F.struct(i.alias("ord"), w.alias("text"))
-    )
-    f = explode_rows(prose(spark, sf), ["doc_id"], words)
+    f = prose(spark, sf).select("doc_id", F.posexplode_outer(tx.words(c("text"))).alias("ord", "text")).filter(c("text").isNotNull())
     col, base = c("ord") % 10, F.lit(800.0) - F.floor(c("ord") % 300 / 10) * 16.0
     shift = F.when((c("doc_id") % 4 == 0) & (col >= 5), 190.0).otherwise(0.0)
     x = F.lit(60.0) + col * 50.0 + shift + F.when((c("doc_id") % 9 == 1) & (c("ord") % 20 < 10), 300.0).otherwise(0.0)
@@ -30,7 +27,8 @@ def fragments(spark, sf):
 def doc_pages(spark, sf):
     """Pages of each document, with an empty one at the end of every fifth."""
     n = F.ceil(F.size(tx.words(c("text"))) / 300).cast("int") + F.when(c("doc_id") % 5 == 0, 1).otherwise(0)
-    docs = prose(spark, sf).select("doc_id", n.alias("n")).filter("n > 0")
+    docs = read_corpus(spark, f"{sf}/documents.parquet").select("doc_id", n.alias("n"))
+    docs = keep_where(docs, c("n") > 0)
     return explode_values(docs, ["doc_id"], F.sequence(F.lit(1), c("n")), "page")
 
 

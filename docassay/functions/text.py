@@ -25,6 +25,10 @@ _REPLACEMENTS = [
 ]
 #: One pass that every replaced character stops; texts without any are left alone.
 _REPLACED = "[\r\t\xa0\u2007-\ufb02]"
+#: The same for blanks that are neither a space nor a line feed, and for just the characters that are replaced.
+_ODD = "[\t\r\x0b\f\xa0[\u1680-\ufeff&&[" + "".join(
+    sorted({w for w in WS_CHARS if w > "\xa0"} | {chr(p) for points, _ in _REPLACEMENTS for p in points if p > 0xA0})
+) + "]]]"
 
 
 def js_trim(c: Column) -> Column:
@@ -33,8 +37,14 @@ def js_trim(c: Column) -> Column:
 
 
 def normalise_text(c: Column) -> Column:
-    """Unify line ends, blanks, quotes, dashes and ligatures; squeeze blanks; trim lines."""
+    """Unify line ends, blanks, quotes, dashes and ligatures; squeeze blanks; trim lines.
+
+    Most texts are so already but for their ends, which a few searches tell.
+    """
     plain = c
+    done = ~plain.rlike(_ODD)
+    for found in ("  ", " \n", "\n\n\n"):
+        done = done & ~F.contains(plain, F.lit(found))
     for found, instead in [("\r\n", "\n"), ("\r", "\n")] + [
         (chr(point), instead) for points, instead in _REPLACEMENTS for point in points
     ]:
@@ -43,7 +53,7 @@ def normalise_text(c: Column) -> Column:
     c = F.regexp_replace(c, " {2,}", " ")
     c = F.regexp_replace(c, "\n{3,}", "\n\n")
     c = F.regexp_replace(c, WS_BUT_LF + r"+(?=\n|\z)", "")
-    return js_trim(c)
+    return js_trim(F.when(done, plain).otherwise(c))
 
 
 def split_lines(c: Column) -> Column:
@@ -63,7 +73,8 @@ def strip_bullet(line: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    return F.filter(F.split(c, WS + "+"), lambda w: w != "")
+    trimmed = js_trim(c)
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WS + "+"))
 
 
 def word_count(c: Column) -> Column:

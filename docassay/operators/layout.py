@@ -1,19 +1,19 @@
 """Layout of positioned text runs and of paragraph tables.
 
-Fragments become rows of text. A page first shrinks to its distinct baselines (map-side), which
-alone decide the rows; fragments then meet again per row of text, and a row ends up in one cell
-of the result anyway. No step gathers a page or a document of fragments.
+Fragments become rows of text. The fragments of a page move once, as compressed blocks made on the
+map side (:mod:`docassay.operators.placing`); a page meets in one row, as its text does in the result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docassay import lexicon as lx
 from docassay.functions import text as tx
 from docassay.functions.patterns import WS, java
 from docassay.functions.rows import explode_rows, pin
+from docassay.operators import placing
 
 BASELINE_TOLERANCE = 2.6
 COLUMN_GAP = 0.14
@@ -22,91 +22,19 @@ RIGHT_START = 0.55
 MIN_PAGE_CHARS = 120
 
 
-def _halvings(n: Column) -> Column:
-    """One element for every halving that brings ``n`` to nothing."""
-    return F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(n, F.lit(1)))).cast("int"))
-
-
-def _first_where(n: Column, low: Column, holds) -> Column:
-    """Smallest position from ``low`` on at which ``holds`` is true (and stays true), ``n`` if there is none."""
-
-    def step(s: Column, _: Column) -> Column:
-        mid = F.shiftright(s["lo"] + s["hi"], 1)
-        left = holds(mid)
-        narrowed = F.struct(
-            F.when(left, s["lo"]).otherwise(mid + 1).alias("lo"), F.when(left, mid).otherwise(s["hi"]).alias("hi")
-        )
-        return F.when(s["lo"] < s["hi"], narrowed).otherwise(s)
-
-    return F.aggregate(_halvings(n), F.struct(low.alias("lo"), n.alias("hi")), step, lambda s: s["lo"])
-
-
-def group_starts(values: Column, tol: float) -> Column:
-    """Positions of the first values of the groups of ``values`` (distinct, descending), in order.
-
-    Each value points at the first one more than ``tol`` below it. From the largest value, the starts
-    reached in up to 1, 2, 4, ... such steps are the known ones and those as many steps further on, so
-    a chain of n values takes n log n.
-    """
-    n = F.size(values)
-    points = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: _first_where(n, i + 1, lambda j: F.get(values, i) - F.get(values, j) > tol),
-    )
-
-    def double(s: Column, _: Column) -> Column:
-        further = F.transform(s["at"], lambda i: F.get(s["step"], i))
-        return F.struct(
-            F.concat(s["at"], F.filter(further, lambda i: i < n)).alias("at"),
-            F.transform(s["step"], lambda i: F.get(s["step"], i)).alias("step"),
-        )
-
-    start = F.struct(F.array(F.lit(0)).alias("at"), F.concat(points, F.array(n)).alias("step"))
-    return F.aggregate(_halvings(n), start, double, lambda s: s["at"])
-
-
-#: Runs up to this long are folded value by value, which is quadratic but has the smaller fixed cost.
-SHORT_RUN = 32
-
-
 def anchored_groups(df: DataFrame, keys: list[str], value: str, tol: float) -> DataFrame:
     """Add ``anchor``: the first value of the group each row belongs to.
 
     Going down from the largest value, a row joins the current group while it lies within ``tol``
-    of the group's first value (not of its neighbour). A gap wider than ``tol`` always starts a
-    group, so only runs of close distinct values have to be walked through. Rows find their start by
-    key and value, so the rows of one key spread. Rows without a key or value are dropped.
+    of the group's first value (not of its neighbour). Only the distinct values of a key meet; rows
+    find their anchor by key and value, so the rows of one key spread. Rows without a key or value
+    are dropped.
     """
-    v = F.col(value)
-    down = Window.partitionBy(*keys).orderBy(v.desc())
+    groups = F.arrow_udf(lambda lists: placing.anchors_of(lists, tol), "array<struct<value:double,anchor:double>>")
     distinct = df.select(*keys, value).distinct()
-    gap = F.lag(value).over(down) - v
-    marked = distinct.withColumn("_start", F.when(gap.isNull() | (gap > tol), v))
-    runs = marked.withColumn("_run", F.last("_start", ignorenulls=True).over(down))
-    folded = runs.groupBy(*keys, "_run").agg(
-        F.sort_array(F.collect_list(value), asc=False).alias("_values")
-    )
-    short = F.aggregate(
-        F.sequence(F.lit(1), F.size("_values") - 1, F.lit(1)),
-        F.array(F.lit(0)),
-        lambda acc, i: F.when(
-            F.get("_values", F.element_at(acc, -1)) - F.get("_values", i) > tol, F.concat(acc, F.array(i))
-        ).otherwise(acc),
-    )
-    one = F.array(F.lit(0))
-    starts = (
-        F.when(F.size("_values") < 2, one).when(F.size("_values") <= SHORT_RUN, short)
-        .otherwise(group_starts(F.col("_values"), tol))
-    )
-    members = F.transform(
-        "_starts",
-        lambda i, k: tx.between(
-            F.col("_values"), i, F.coalesce(F.get("_starts", k + 1), F.size("_values")) - 1,
-            lambda x: F.struct(x.alias(value), F.get("_values", i).alias("anchor")),
-        ),
-    )
-    mapping = explode_rows(pin(folded, "_starts", starts), keys, F.flatten(members))
-    return df.join(mapping, [*keys, value])
+    lists = distinct.groupBy(*keys).agg(F.collect_list(F.col(value).cast("double")).alias("_values"))
+    mapping = explode_rows(lists.withColumn("_groups", groups("_values")), keys, "_groups")
+    return df.join(mapping.withColumnRenamed("value", value), [*keys, value])
 
 
 def count_words(text: Column) -> Column:
@@ -114,72 +42,55 @@ def count_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(java(r"[A-Za-z0-9]\S*")))
 
 
+def page_blocks(fragments: DataFrame) -> DataFrame:
+    """``(doc_id, page, block)``: the fragments of a page as they stand together, compressed.
+
+    Fragments without document, page or baseline are dropped.
+    """
+    placed = fragments.filter("doc_id IS NOT NULL AND page IS NOT NULL AND y IS NOT NULL").select(
+        "doc_id", "page", F.array(*[F.col(k).cast("double") for k in placing.NUMBERS]).alias("numbers"), F.col("ord").cast("long").alias("ord"), "text"
+    )
+    kind = {k: placed.schema[k].dataType.simpleString() for k in ("doc_id", "page")}
+    return placed.mapInArrow(placing.pack, f"doc_id {kind['doc_id']}, page {kind['page']}, block binary")
+
+
+def row_text(row: Column | dict[str, Column]) -> Column:
+    """The pieces of a row, joined, with single blanks; ``chars`` is known of those that are so already."""
+    return F.when(row["chars"].isNotNull(), row["text"]).otherwise(tx.js_trim(F.regexp_replace(row["text"], WS + "+", " ")))
+
+
 def group_into_lines(fragments: DataFrame, tol: float = BASELINE_TOLERANCE) -> DataFrame:
     """One row per line of text: position, size, text and its clusters.
 
-    Input ``(doc_id, page, page_width, ord, x, right, y, size, text)``.
+    Input ``(doc_id, page, page_width, ord, x, right, y, size, text)``; ``ord`` is a whole number.
     """
-    keys = ["doc_id", "page"]
-    placed = anchored_groups(fragments, keys, "y", tol)
-    rows = placed.groupBy(*keys, "anchor").agg(
-        F.first("page_width").alias("page_width"),
-        F.sort_array(
-            F.collect_list(F.struct("x", (-F.col("y")).alias("up"), "ord", "right", "size", "text"))
-        ).alias("parts"),
+    blocks = page_blocks(fragments)
+    pages = blocks.repartition("doc_id", "page").groupBy("doc_id", "page").agg(F.collect_list("block").alias("blocks"))
+    kind = {k: pages.schema[k].dataType.simpleString() for k in ("doc_id", "page")}
+    grouped = pages.mapInArrow(
+        lambda batches: placing.rows_of_pages(batches, tol, COLUMN_GAP, WORD_GAP),
+        f"doc_id {kind['doc_id']}, page {kind['page']}, rows {placing.ROWS}",
     )
+    rows = explode_rows(grouped, ["doc_id", "page"], "rows")
+    return rows.withColumn("text", row_text({k: F.col(k) for k in ("chars", "text")})).drop("chars")
 
-    def gap(f: Column, i: Column) -> Column:
-        return F.when(i > 0, f["x"] - F.get("parts", i - 1)["right"])
-
-    wide = F.col("page_width") * COLUMN_GAP
-    rows = rows.withColumn(
-        "pieces",
-        F.transform(
-            "parts",
-            lambda f, i: F.struct(
-                i.alias("at"), ((i == 0) | (gap(f, i) > wide)).alias("opens"),
-                F.concat(F.when((gap(f, i) > wide) | (gap(f, i) > WORD_GAP), F.lit(" ")).otherwise(F.lit("")), f["text"]).alias("text"),
-            ),
-        ),
-    )
-    rows = rows.withColumn("starts", F.transform(F.filter("pieces", lambda p: p["opens"]), lambda p: p["at"]))
 
-    def cluster(s: Column, k: Column) -> Column:
-        last = F.coalesce(F.get("starts", k + 1), F.size("parts")) - 1
-        words = F.array_join(tx.between(F.col("pieces"), s, last, lambda p: p["text"]), "")
-        return F.struct(
-            F.get("parts", s)["x"].alias("x"),
-            F.array_max(tx.between(F.col("parts"), s, last, lambda f: f["right"])).alias("right"),
-            count_words(words).alias("words"),
-        )
+def row_kinds(row: Column | dict[str, Column]) -> dict[str, Column]:
+    """What a line of text looks like."""
 
-    sizes = F.sort_array(F.array_compact("parts.size"))
-    return rows.select(
-        *keys,
-        "anchor",
-        "page_width",
-        (-F.get("parts", F.lit(0))["up"]).alias("y"),
-        F.get("parts", F.lit(0))["x"].alias("x"),
-        F.array_max("parts.right").alias("right"),
-        F.get(sizes, F.floor(F.size("parts") / 2).cast("int")).alias("size"),
-        tx.js_trim(F.regexp_replace(F.array_join("pieces.text", ""), WS + "+", " ")).alias("text"),
-        F.transform("starts", cluster).alias("clusters"),
-    )
+    def having(n: int) -> Column:
+        return F.size(F.filter(row["clusters"], lambda k: k["words"] >= n))
+
+    return {
+        "split_row": having(3) >= 2,
+        "tabular_row": having(1) >= 3,
+        "right_start": row["x"] > row["page_width"] * RIGHT_START,
+    }
 
 
 def row_flags(lines: DataFrame) -> DataFrame:
     """Add ``split_row, tabular_row, right_start``."""
-
-    def having(n: int) -> Column:
-        return F.size(F.filter("clusters", lambda k: k["words"] >= n))
-
-    return lines.withColumns(
-        {
-            "split_row": having(3) >= 2,
-            "tabular_row": having(1) >= 3,
-            "right_start": F.col("x") > F.col("page_width") * RIGHT_START,
-        }
-    )
+    return lines.withColumns(row_kinds({k: F.col(k) for k in ("clusters", "x", "page_width")}))
 
 
 def page_chars(lines: DataFrame, pages: DataFrame) -> DataFrame:
@@ -206,36 +117,50 @@ def broken_glyphs(text: Column) -> Column:
     )
 
 
-def page_table(lines: DataFrame) -> DataFrame:
-    """One row per page with text: its counts and its text, lines in reading order."""
-    ordered = F.sort_array(F.collect_list(F.struct((-F.col("anchor")).alias("down"), "text")))
-    return row_flags(lines).groupBy("doc_id", "page").agg(
-        F.sum(tx.char_count(F.col("text"))).alias("chars"),
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if("split_row").alias("split_rows"),
-        F.count_if("tabular_row").alias("tabular_rows"),
-        F.count_if("right_start").alias("right_starts"),
-        F.array_join(ordered["text"], "\n").alias("page_text"),
-    )
+def page_table(pages: Column) -> Column:
+    """Per page ``(page, listed, rows)``: its counts and its text, lines in reading order."""
+
+    def line(r: Column) -> Column:
+        return F.struct(row_text(r).alias("text"), r["chars"].alias("chars"), *[v.alias(k) for k, v in row_kinds(r).items()])
+
+    def table(p: Column) -> Column:
+        count = lambda flag: F.size(F.filter(p["lines"], lambda r: r[flag])).alias(f"{flag}s")
+        return F.struct(
+            p["page"].alias("page"), p["listed"].alias("listed"),
+            F.aggregate(p["lines"], F.lit(0), lambda n, r: n + F.coalesce(r["chars"], tx.char_count(r["text"]))).alias("chars"),
+            F.size(p["lines"]).alias("rows"), *[count(k) for k in ("split_row", "tabular_row", "right_start")],
+            F.array_join(F.transform(p["lines"], lambda r: r["text"]), "\n").alias("page_text"),
+        )
+
+    lines = lambda p: F.struct(p["page"].alias("page"), p["listed"].alias("listed"), F.transform(p["rows"], line).alias("lines"))
+    return F.transform(F.transform(pages, lines), table)
 
 
 def layout_documents(fragments: DataFrame, pages: DataFrame) -> DataFrame:
     """Document contract (``text, page_count, meta``) of positioned text.
 
-    Lines shrink to pages and pages to documents, so every line is built once and the long
-    document, not the long corpus, decides the size of a group.
+    Blocks of fragments and listed pages meet by document in the only exchange; lines, pages and the
+    document are built in its row. A page counts as often as it is listed.
     """
-    per_page = pages.join(page_table(group_into_lines(fragments)), ["doc_id", "page"], "left")
-    thin = F.when(F.coalesce("chars", F.lit(0)) < MIN_PAGE_CHARS, F.col("page"))
-    texts = F.sort_array(
-        F.collect_list(F.when(F.col("page_text").isNotNull(), F.struct("page", "page_text")))
-    )
-    total = lambda name: F.coalesce(F.sum(name), F.lit(0)).alias(name)
-    df = per_page.groupBy("doc_id").agg(
-        F.sort_array(F.collect_list(thin)).alias("image_only_pages"),
-        F.count(F.lit(1)).cast("int").alias("page_count"),
+    blocks = page_blocks(fragments).withColumn("listed", F.lit(0))
+    listed = pages.select("doc_id", "page", F.lit(None).cast("binary").alias("block"), F.lit(1).alias("listed"))
+    both = blocks.unionByName(listed)
+    parts = F.sort_array(F.collect_list(F.struct("page", "listed", "block"))).alias("parts")
+    met = both.repartition("doc_id").groupBy("doc_id").agg(parts)
+    kind = {k: both.schema[k].dataType.simpleString() for k in ("doc_id", "page")}
+    placed = met.mapInArrow(
+        lambda batches: placing.pages_of_documents(batches, BASELINE_TOLERANCE, COLUMN_GAP, WORD_GAP),
+        f"doc_id {kind['doc_id']}, pages array<struct<page:{kind['page']},listed:int,rows:{placing.ROWS}>>",
+    )
+    tables = pin(placed.filter(F.size("pages") > 0), "tables", page_table(F.col("pages")))
+    every = F.flatten(F.transform("tables", lambda t: F.array_repeat(t, t["listed"])))
+    total = lambda name: F.aggregate("every", F.lit(0).cast("long"), lambda n, t: n + t[name]).alias(name)
+    df = pin(tables.select("doc_id", "tables"), "every", every).select(
+        "doc_id",
+        F.array_compact(F.transform(F.filter("every", lambda t: t["chars"] < MIN_PAGE_CHARS), lambda t: t["page"])).alias("image_only_pages"),
+        F.size("every").alias("page_count"),
         *[total(k) for k in ("rows", "split_rows", "tabular_rows", "right_starts")],
-        F.array_join(texts["page_text"], "\n").alias("raw"),
+        F.array_join(F.transform(F.filter("every", lambda t: t["rows"] > 0), lambda t: t["page_text"]), "\n").alias("raw"),
     )
     df = pin(df, "text", tx.normalise_text(F.col("raw")))
     share = lambda name: F.coalesce(F.col(name) / F.nullif(F.col("rows"), F.lit(0)), F.lit(0.0))

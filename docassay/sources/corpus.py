@@ -19,9 +19,9 @@ def read_corpus(
 ) -> DataFrame:
     """``(doc_id, text, *keep)`` from a table; only these columns are read.
 
-    The input stays as it is stored. A caller that knows it to be one small file passes
-    ``partitions``, since scoring costs far more than moving the documents once. Files of
-    ``fmt="text"`` are documents whose id is the SHA-256 of their path.
+    The input stays as it is stored. A caller to whom scoring costs far more than moving the
+    documents once passes ``partitions``; a table that is read in as many splits is not moved. Files
+    of ``fmt="text"`` are documents whose id is the SHA-256 of their path.
     """
     if fmt == "text":
         df = spark.read.text(path, wholetext=True)
@@ -29,7 +29,12 @@ def read_corpus(
     else:
         df = spark.read.format(fmt).load(path)
         df = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *keep)
-    return df.repartition(partitions) if partitions else df
+    return df.repartition(partitions) if partitions and splits(df) < partitions else df
+
+
+def splits(df: DataFrame) -> int:
+    """Number of tasks that read a table."""
+    return df._jdf.queryExecution().toRdd().getNumPartitions()
 
 
 def min_length_gate(df: DataFrame, n: int = 120, text_col: str = "text") -> DataFrame:

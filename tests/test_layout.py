@@ -139,3 +139,105 @@ def test_rows_of_fragments_sort_by_their_type(spark):
     lines = ly.group_into_lines(spark.createDataFrame(rows, SCHEMA))
     assert [(r.text, r.size, r.right) for r in lines.collect()] == [("w0 w1 w2", 12.0, 200.0)]
     assert "lambda left" not in lines._jdf.queryExecution().optimizedPlan().toString()
+
+
+def odd_fragments(n, seed=11):
+    """Fragments out of order, with nulls, NaN, equal places and both zeros."""
+    rng = random.Random(seed)
+    nan, out = float("nan"), []
+    for i in range(n):
+        x = rng.choice([None, nan, 0.0, -0.0, *[float(v) for v in range(0, 500, 60)]])
+        right = None if x is None or rng.random() < 0.1 else x + rng.choice([5.0, 30.0, 59.5, nan])
+        y = rng.choice([None, nan, 0.0, -0.0, 2.5, 2.75, 5.25, 8.0, 100.0])
+        text = rng.choice([None, "", "a1", "é", " b  c ", "-", "word　two", "x\x00y"])
+        out.append((rng.choice(["a", "b", "ü", None]), rng.choice([1, 2, 3, None]), 595.0, rng.randrange(5), x, right, y, rng.choice([None, 9.0, 10.0, nan]), text))
+    return out
+
+
+def rows_by_hand(fragments, tol=2.6):
+    """The contract of ``group_into_lines``, fragment by fragment."""
+    def place(v):
+        return (0, 0.0) if v is None else (2, 0.0) if v != v else (1, v + 0.0)
+
+    def above(a, b):
+        return a is not None and b is not None and place(a) > place(b)
+
+    pages = {}
+    for f in fragments:
+        if f[0] is not None and f[1] is not None and f[6] is not None:
+            pages.setdefault((f[0], f[1]), []).append(f)
+    out = []
+    for (doc, page), own in pages.items():
+        rows, anchor = {}, None
+        for y in sorted({place(f[6]) for f in own}, reverse=True):
+            value = float("nan") if y[0] == 2 else y[1]
+            if anchor is None or y != anchor[0] and not anchor[1] - value <= tol:
+                anchor = (y, value)
+            rows.setdefault(anchor[0], []).extend(f for f in own if place(f[6]) == y)
+        for key, parts in rows.items():
+            parts = sorted(parts, key=lambda f: (place(f[4]), place(-f[6]), f[3], place(f[5]), place(f[7]), f[8] is not None, (f[8] or "").encode()))
+            pieces, clusters = [], []
+            for i, f in enumerate(parts):
+                before = parts[i - 1][5] if i else None
+                gap = f[4] - before if i and f[4] is not None and before is not None else None
+                wide = above(gap, 595.0 * 0.14)
+                piece = "" if f[8] is None else (" " if wide or above(gap, 0.8) else "") + f[8]
+                if not i or wide:
+                    clusters.append([f[4], [], ""])
+                clusters[-1][1].append(f[5])
+                clusters[-1][2] += piece
+                pieces.append(piece)
+            most = lambda vs: max([v for v in vs if v is not None], key=place, default=None)
+            spaces = "[" + re.escape(WS_CHARS) + "]+"
+            sizes = sorted((f[7] for f in parts if f[7] is not None), key=place)
+            words = lambda t: sum(bool(re.search("[A-Za-z0-9]", w)) for w in re.split(spaces, t))
+            out.append((
+                doc, page, key, place(parts[0][4]), place(most([f[5] for f in parts])),
+                place(sizes[len(parts) // 2] if len(parts) // 2 < len(sizes) else None),
+                re.sub(spaces, " ", "".join(pieces)).strip(WS_CHARS), [(place(k[0]), place(most(k[1])), words(k[2])) for k in clusters],
+            ))
+    return out, place
+
+
+def test_odd_fragments_as_by_hand(spark):
+    fragments = odd_fragments(4000)
+    want, place = rows_by_hand(fragments)
+    got = ly.group_into_lines(spark.createDataFrame(fragments, SCHEMA).repartition(3)).collect()
+    lines = [
+        (r.doc_id, r.page, place(r.anchor), place(r.x), place(r.right), place(r["size"]), r.text, [(place(k.x), place(k.right), k.words) for k in r.clusters])
+        for r in got
+    ]
+    assert sorted(lines) == sorted(want)
+
+
+def test_fragments_move_once_as_blocks(spark):
+    """The only exchange moves blocks of pages; pages listed twice, or never, count as often."""
+    frags = spark.createDataFrame(place("a", ["one two", "three"]) + place("a", ["x" * 130], page=2) + place("b", ["not listed"]), SCHEMA)
+    docs = ly.layout_documents(frags, pages_of(spark, ("a", 1), ("a", 2), ("a", 2), ("c", 7)))
+    plan = docs._jdf.queryExecution().sparkPlan().toString() + docs._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.split("AdaptiveSparkPlan")[-1].count("Exchange hashpartitioning") == 1
+    got = {r.doc_id: (r.page_count, r.text, r.meta.image_only_pages) for r in docs.collect()}
+    assert got == {"a": (3, "one two\nthree\n" + "\n".join(["x" * 130] * 2), [1]), "c": (1, "", [7])}
+    moved = ly.group_into_lines(frags)._jdf.queryExecution().executedPlan().toString()
+    assert moved.count("Exchange hashpartitioning") == 1 and "block" in [x for x in moved.split("\n") if "MapInArrow pack" in x][0]
+
+
+def test_a_page_in_many_blocks(monkeypatch):
+    import pyarrow as pa
+    from docassay.operators import placing
+
+    fragments = [f for f in odd_fragments(900, 5) if None not in (f[0], f[1], f[6])]
+    names = ["doc_id", "page", "page_width", "ord", "x", "right", "y", "size", "text"]
+    table = pa.table({k: pa.array([f[names.index(k)] for f in fragments]) for k in ("doc_id", "page", "ord", "text")})
+    numbers = [[f[names.index(k)] for k in placing.NUMBERS] for f in fragments]
+    table = table.append_column("numbers", pa.array(numbers, pa.list_(pa.float64())))
+
+    def rows(at_once):
+        monkeypatch.setattr(placing, "AT_ONCE", at_once)
+        packed = pa.Table.from_batches(placing.pack(iter(table.to_batches(max_chunksize=70)))).to_pandas()
+        met = packed.groupby(["doc_id", "page"])["block"].agg(list).reset_index()
+        batch = pa.RecordBatch.from_arrays([pa.array(met.doc_id), pa.array(met.page), pa.array(met.block.tolist(), pa.list_(pa.binary()))], ["doc_id", "page", "blocks"])
+        return len(packed), repr([r for b in placing.rows_of_pages(iter([batch]), 2.6, 0.14, 0.8) for r in b.to_pylist()])
+
+    (few, whole), (many, parts) = rows(10**6), rows(100)
+    assert many > few and whole == parts

@@ -117,3 +117,22 @@ def test_heads_are_cut_in_one_pass_over_the_text(spark):
 
 def test_terms_without_a_head_are_searched_for(spark):
     assert one(spark, tx.find_terms(F.lit("so é.x, -/- and rest api, arrest api"), ["é.x", "-/-", "rest api", "st api"])) == ["é.x", "-/-", "rest api"]
+
+
+def test_texts_normalised_already_are_only_trimmed(spark):
+    """The short way and the long way agree on blanks, line ends and replaced characters in every place."""
+    from itertools import product
+
+    from docassay.functions.patterns import WS, WS_BUT_LF
+
+    parts = ["a", "b c", " ", "\n", "\t", "\r\n", "\x0b", " ", "“", "…", "•", "é", "　", "﻿", "‐"]
+    texts = ["".join(p) for p in product(parts, repeat=3)] + ["a\n\n\n\nb", "a \n\nb", " \n \n", ""]
+    long = F.col("t")
+    for found, instead in [("\r\n", "\n"), ("\r", "\n")] + [(chr(p), i) for ps, i in tx._REPLACEMENTS for p in ps]:
+        long = F.replace(long, F.lit(found), F.lit(instead))
+    long = F.regexp_replace(F.regexp_replace(long, " {2,}", " "), "\n{3,}", "\n\n")
+    long = tx.js_trim(F.regexp_replace(long, WS_BUT_LF + r"+(?=\n|\z)", ""))
+    split = F.filter(F.split("t", WS + "+"), lambda w: w != "")
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    got = df.select("t", tx.normalise_text(F.col("t")).alias("a"), long.alias("b"), tx.words(F.col("t")).alias("c"), split.alias("d")).collect()
+    assert [(r.t, r.a, r.c) for r in got] == [(r.t, r.b, r.d) for r in got]
