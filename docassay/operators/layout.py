@@ -75,22 +75,18 @@ def group_into_lines(fragments: DataFrame, tol: float = BASELINE_TOLERANCE) -> D
     return rows.withColumn("text", row_text({k: F.col(k) for k in ("chars", "text")})).drop("chars")
 
 
-def row_kinds(row: Column | dict[str, Column]) -> dict[str, Column]:
-    """What a line of text looks like."""
-
-    def having(n: int) -> Column:
-        return F.size(F.filter(row["clusters"], lambda k: k["words"] >= n))
-
-    return {
-        "split_row": having(3) >= 2,
-        "tabular_row": having(1) >= 3,
-        "right_start": row["x"] > row["page_width"] * RIGHT_START,
-    }
+def row_kinds(wide: Column, filled: Column, x: Column, page_width: Column) -> dict[str, Column]:
+    """What a line of text looks like, by its clusters that may be columns, and those that are cells."""
+    return {"split_row": wide >= 2, "tabular_row": filled >= 3, "right_start": x > page_width * RIGHT_START}
 
 
 def row_flags(lines: DataFrame) -> DataFrame:
     """Add ``split_row, tabular_row, right_start``."""
-    return lines.withColumns(row_kinds({k: F.col(k) for k in ("clusters", "x", "page_width")}))
+
+    def having(n: int) -> Column:
+        return F.size(F.filter("clusters", lambda k: k["words"] >= n))
+
+    return lines.withColumns(row_kinds(having(placing.COLUMN_WORDS), having(placing.CELL_WORDS), F.col("x"), F.col("page_width")))
 
 
 def page_chars(lines: DataFrame, pages: DataFrame) -> DataFrame:
@@ -121,7 +117,7 @@ def page_table(pages: Column) -> Column:
     """Per page ``(page, listed, rows)``: its counts and its text, lines in reading order."""
 
     def line(r: Column) -> Column:
-        return F.struct(row_text(r).alias("text"), r["chars"].alias("chars"), *[v.alias(k) for k, v in row_kinds(r).items()])
+        return F.struct(row_text(r).alias("text"), r["chars"].alias("chars"), *[v.alias(k) for k, v in row_kinds(*[r[k] for k in ("wide", "filled", "x", "page_width")]).items()])
 
     def table(p: Column) -> Column:
         count = lambda flag: F.size(F.filter(p["lines"], lambda r: r[flag])).alias(f"{flag}s")
@@ -150,7 +146,7 @@ def layout_documents(fragments: DataFrame, pages: DataFrame) -> DataFrame:
     kind = {k: both.schema[k].dataType.simpleString() for k in ("doc_id", "page")}
     placed = met.mapInArrow(
         lambda batches: placing.pages_of_documents(batches, BASELINE_TOLERANCE, COLUMN_GAP, WORD_GAP),
-        f"doc_id {kind['doc_id']}, pages array<struct<page:{kind['page']},listed:int,rows:{placing.ROWS}>>",
+        f"doc_id {kind['doc_id']}, pages array<struct<page:{kind['page']},listed:int,rows:{placing.BRIEF_ROWS}>>",
     )
     tables = pin(placed.filter(F.size("pages") > 0), "tables", page_table(F.col("pages")))
     every = F.flatten(F.transform("tables", lambda t: F.array_repeat(t, t["listed"])))

@@ -30,7 +30,12 @@ _CLUSTER = pa.struct([("x", pa.float64()), ("right", pa.float64()), ("words", pa
 _ROW = pa.struct(
     [*[(k, pa.float64()) for k in ("anchor", "page_width", "y", "x", "right", "size")], ("text", pa.string()), ("chars", pa.int32()), ("clusters", pa.list_(_CLUSTER))]
 )
-#: The same type for Spark.
+#: What documents need of a row: ``wide`` and ``filled`` are its clusters of enough words to be a column, and of any.
+_BRIEF = pa.struct([("page_width", pa.float64()), ("x", pa.float64()), ("text", pa.string()), *[(k, pa.int32()) for k in ("chars", "wide", "filled")]])
+BRIEF_ROWS = "array<struct<page_width:double,x:double,text:string,chars:int,wide:int,filled:int>>"
+#: Words of a cluster that may be a column, and of one that is a cell.
+COLUMN_WORDS, CELL_WORDS = 3, 1
+#: The full type for Spark.
 ROWS = (
     "array<struct<anchor:double,page_width:double,y:double,x:double,right:double,size:double,text:string,chars:int,"
     "clusters:array<struct<x:double,right:double,words:int>>>>"
@@ -182,7 +187,7 @@ def pages_of_documents(batches: Iterator[pa.RecordBatch], *cuts: float) -> Itera
                     often.append(n)
             counts.append(len(first) - before)
             if held.n >= AT_ONCE or i + 1 == len(sizes):
-                found = pa.StructArray.from_arrays([page.take(pa.array(first, pa.int64())), pa.array(often, pa.int32()), held.rows(*cuts)], ["page", "listed", "rows"])
+                found = pa.StructArray.from_arrays([page.take(pa.array(first, pa.int64())), pa.array(often, pa.int32()), held.rows(*cuts, brief=True)], ["page", "listed", "rows"])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, i + 1 - start), pa.ListArray.from_arrays(_offsets(counts), found)], ["doc_id", "pages"])
                 start, held, first, often, counts = i + 1, _Held(), [], [], []
 
@@ -197,8 +202,8 @@ class _Held:
         self.pages.append(blocks)
         self.n += sum(_HEAD.unpack_from(b)[0] for b in blocks)
 
-    def rows(self, *cuts: float) -> pa.Array:
-        return _rows(self.pages, *cuts)
+    def rows(self, *cuts: float, brief: bool = False) -> pa.Array:
+        return _rows(self.pages, *cuts, brief)
 
 
 def _unpack(pages: list[list[pa.Buffer]]):
@@ -231,7 +236,7 @@ def _largest(values: np.ndarray, none: np.ndarray, begin: np.ndarray) -> pa.Arra
     return pa.array(np.maximum.reduceat(low, begin), mask=np.minimum.reduceat(none, begin))
 
 
-def _rows(pages: list[list[pa.Buffer]], tol: float, column_gap: float, word_gap: float) -> pa.Array:
+def _rows(pages: list[list[pa.Buffer]], tol: float, column_gap: float, word_gap: float, brief: bool) -> pa.Array:
     page, col, none, text = _unpack(pages)
     n = len(page)
     y = col["y"] + 0.0
@@ -273,16 +278,22 @@ def _rows(pages: list[list[pa.Buffer]], tol: float, column_gap: float, word_gap:
     middle = begin + count // 2
     size = col["size"][sized][np.minimum(middle, max(n - 1, 0))] if n else np.empty(0)
     given = np.add.reduceat((~none["size"]).astype(np.int64), begin) if n else np.empty(0, np.int64)
+    per_page = _offsets(np.bincount(key[fresh][starts], minlength=len(pages)))
+    texts, chars = _joined(pieces, begin, n).cast(pa.string()), _plain_chars(pieces, begin, n)
+    if brief:
+        enough = [words.to_numpy(zero_copy_only=False) >= k for k in (COLUMN_WORDS, CELL_WORDS)]
+        counts = [pa.array(np.bincount(row[cluster][e], minlength=len(begin)).astype(np.int32)) for e in enough]
+        width_x = [pa.array(col[k][begin], mask=none[k][begin]) for k in ("page_width", "x")]
+        return pa.ListArray.from_arrays(per_page, pa.StructArray.from_arrays([*width_x, texts, chars, *counts], type=_BRIEF)).cast(pa.list_(_BRIEF))
     rows = pa.StructArray.from_arrays(
         [
             pa.array(anchor), pa.array(col["page_width"][begin], mask=none["page_width"][begin]), pa.array(col["y"][begin]),
             pa.array(x[begin], mask=none["x"][begin]), _largest(right, none["right"], begin), pa.array(size, mask=count // 2 >= given),
-            _joined(pieces, begin, n).cast(pa.string()), _plain_chars(pieces, begin, n), pa.ListArray.from_arrays(_offsets(per_row), clusters),
+            texts, chars, pa.ListArray.from_arrays(_offsets(per_row), clusters),
         ],
         type=_ROW,
     )
-    per_page = np.bincount(key[fresh][starts], minlength=len(pages))
-    return pa.ListArray.from_arrays(_offsets(per_page), rows).cast(pa.list_(_ROW))
+    return pa.ListArray.from_arrays(per_page, rows).cast(pa.list_(_ROW))
 
 
 def _joined(pieces: pa.Array, begin: np.ndarray, n: int) -> pa.Array:
