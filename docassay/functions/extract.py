@@ -76,7 +76,7 @@ def has_location(header: Column) -> Column:
 
 def typos(lower: Column) -> Column:
     """Distinct known misspellings in order of appearance."""
-    tokens = F.array_distinct(F.regexp_extract_all(lower, F.lit(spelled("[a-z']{4,}")), F.lit(0)))
+    tokens = F.regexp_extract_all(lower, F.lit(spelled("[a-z']{4,}")), F.lit(0))
     return F.array_intersect(tokens, literals(lx.TYPOS))
 
 

@@ -107,9 +107,31 @@ def tokenise(c: Column) -> Column:
     return F.filter(bare, lambda t: t != "")
 
 
+#: Characters from the most frequent on; others are rarer than all of these.
+_FREQUENT = " etaoinsrhldcumfpgwybvkxjqz"
+
+
+def rare_part(phrase: str) -> str:
+    """The end of a phrase from its rarest character on, of three characters at least."""
+    places = range(max(len(phrase) - 2, 1))
+    rank = lambda i: _FREQUENT.find(phrase[i]) % 100
+    return phrase[max(places, key=lambda i: (rank(i), -i)) :] if phrase else phrase
+
+
 def find_phrases(lower: Column, phrases: list[str]) -> Column:
-    """Entries of the list contained anywhere in the text, in list order."""
-    return F.filter(literals(phrases), lambda p: F.contains(lower, p))
+    """Entries of the list contained anywhere in the text, in list order.
+
+    Bytes are searched twice as fast as strings. A search compares wherever the first byte stands, so each
+    phrase is first searched for from its rarest character on; few are then searched for as a whole.
+    """
+    whole, parts = literals(phrases), literals([rare_part(p) for p in phrases])
+
+    def found(text: Column) -> Column:
+        return F.filter(
+            whole, lambda p, i: F.contains(text, F.get(parts, i).cast("binary")) & F.contains(text, p.cast("binary"))
+        )
+
+    return F.get(F.transform(F.array(lower.cast("binary")), lambda text: F.when(text.isNotNull(), found(text))), F.lit(0))
 
 
 def between(array: Column, first: Column, last: Column, change=lambda x: x) -> Column:
@@ -178,7 +200,9 @@ def find_terms(lower: Column, terms: list[str]) -> Column:
         )
         return F.array_intersect(literals(terms), F.concat(hits, sure))
 
-    among = F.array_intersect(literals(list(wanted)), heads(lower))
+    # Probing the few wanted ones with all heads costs less than a set of all heads.
+    known = literals(list(wanted))
+    among = F.array_intersect(known, F.array_intersect(heads(lower), known))
     return F.get(F.transform(F.array(among), found), F.lit(0)) if multi else among
 
 

@@ -136,3 +136,15 @@ def test_texts_normalised_already_are_only_trimmed(spark):
     df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
     got = df.select("t", tx.normalise_text(F.col("t")).alias("a"), long.alias("b"), tx.words(F.col("t")).alias("c"), split.alias("d")).collect()
     assert [(r.t, r.a, r.c) for r in got] == [(r.t, r.b, r.d) for r in got]
+
+
+def test_phrases_are_searched_as_bytes_from_their_rarest_character(spark):
+    phrases = ["hardworking", "sincere and hardworking", "d.o.b", "i am a", "i am an", "ab", "z", "naïve é", "x ", "quiz"]
+    assert all(p.endswith(tx.rare_part(p)) and len(tx.rare_part(p)) >= min(3, len(p)) for p in phrases)
+    assert [tx.rare_part(p) for p in ("hardworking", "excellent", "quiz")] == ["king", "xcellent", "quiz"]
+    texts = ["", "i am an x z", "sincere and hardworking", "hard working", "d.o.b naïve é quiz", "naive e", "ab" * 50, "xquix quiz "] + phrases
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    found = df.select("t", tx.find_phrases(F.col("t"), phrases).alias("f"))
+    assert {r.t: r.f for r in found.collect()} == {t: [p for p in phrases if p in t] for t in texts} | {None: None}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "as binary" in plan and "Contains" not in plan
