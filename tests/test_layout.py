@@ -241,3 +241,24 @@ def test_a_page_in_many_blocks(monkeypatch):
 
     (few, whole), (many, parts) = rows(10**6), rows(100)
     assert many > few and whole == parts
+
+
+def test_rows_of_a_table_take_one_exchange(spark, sf):
+    from docassay import catalog_layout as cl
+
+    for run in (cl.c05_tabular_rows, cl.c08_layout_meta):
+        plan = run(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_a_table_in_many_splits_is_not_moved(spark, tmp_path):
+    from docassay.sources.corpus import read_corpus
+
+    spark.range(60).selectExpr("id AS doc_id", "'a' AS text").repartition(6).write.parquet(f"{tmp_path}/t")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")
+    try:
+        for wanted, moved in ((6, False), (7, True)):
+            plan = read_corpus(spark, f"{tmp_path}/t", partitions=wanted)._jdf.queryExecution().executedPlan().toString()
+            assert ("Exchange" in plan) == moved
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
